@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from layoutlens.llm import fingerprints
+from layoutlens.llm import decontaminate, fingerprints
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
+    "op4_decontaminate": decontaminate.op4,
 }
 ORACLES = {
     "op1_fingerprints": fingerprints.OP1_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
 }
