@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from layoutlens.llm import decontaminate, fingerprints
+from layoutlens.llm import bpe, decontaminate, fingerprints
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
     "op4_decontaminate": decontaminate.op4,
+    "op10_bpe": bpe.op10,
 }
 ORACLES = {
     "op1_fingerprints": fingerprints.OP1_SQL,
