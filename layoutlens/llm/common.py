@@ -38,3 +38,26 @@ def materialise(frame: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def labelled_sample(spark: SparkSession, sf_dir: str, label: str, most: dict[int, int], modulus: int = 5, most_chars: int = 100_000) -> list[tuple[str, int]]:
+    """Texts with their labels, of rows whose remainder is not 0, for fitting a model on the driver.
+
+    Bounded: at most `most[value]` rows of each label value, those of least hash of the id, and of these
+    the texts of up to `most_chars` code points. The order is fixed by the same hash.
+    """
+    rows = table(spark, sf_dir, "labels").filter((remainder(F.col("doc_id"), modulus) != 0) & F.col("doc_id").isNotNull())
+    rank = F.xxhash64("doc_id")
+    chosen = None
+    for value, limit in most.items():
+        part = rows.filter(F.col(label) == value).select("doc_id", F.lit(value).alias("label")).distinct().orderBy(rank, "doc_id").limit(limit)
+        chosen = part if chosen is None else chosen.union(part)
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.filter(F.length("text") <= most_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow()
+    order = sorted(zip(*(found[c].to_pylist() for c in ("doc_id", "text", "label")), strict=True), key=lambda r: (hash_of(r[0]), r[0], r[1], r[2]))
+    return [(text, value) for _, text, value in order]
+
+
+def hash_of(doc_id: int) -> int:
+    """A fixed order that has nothing to do with that of the ids."""
+    return (doc_id * 0x9E3779B97F4A7C15 ^ doc_id >> 7) % (1 << 64) * 0xD6E8FEB86659FD93 % (1 << 64)
