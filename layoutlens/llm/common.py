@@ -58,6 +58,14 @@ def labelled_sample(spark: SparkSession, sf_dir: str, label: str, most: dict[int
     return [(text, value) for _, text, value in order]
 
 
+def label_shares(spark: SparkSession, sf_dir: str, label: str, rows: int, modulus: int = 5) -> dict[int, int]:
+    """How many of `rows` labelled rows each label value would have in its natural share."""
+    labels = table(spark, sf_dir, "labels").filter((remainder(F.col("doc_id"), modulus) != 0) & F.col("doc_id").isNotNull())
+    found = {r[label]: r["count"] for r in labels.filter(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+    total = sum(found.values())
+    return {value: -(-rows * n // max(rows, total)) for value, n in sorted(found.items())} or {0: 0, 1: 0}
+
+
 def hash_of(doc_id: int) -> int:
     """A fixed order that has nothing to do with that of the ids."""
     return (doc_id * 0x9E3779B97F4A7C15 ^ doc_id >> 7) % (1 << 64) * 0xD6E8FEB86659FD93 % (1 << 64)

@@ -52,6 +52,44 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
+#: Kinds of bytes: 0 white space, 1 letters (and all of other code points), 2 digits, 3 other marks.
+_KIND = np.full(256, 3, dtype=np.int8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[[b for b in range(256) if chr(b).isalpha() and b < 128 or b >= 128]] = 1
+_KIND[48:58] = 2
+_UPPER = np.zeros(256, dtype=np.int64)
+_UPPER[65:91] = 1
+_LOWER = np.arange(1, 257, dtype=np.uint64)
+_LOWER[65:91] += 32
+
+
+def run_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one kind of byte: the hash of each (A-Z as a-z), its shape (below 96), and each text's number of runs.
+
+    A shape is the kind, whether all letters are capitals (two at least), whether the first is, and the length up to 7.
+    """
+    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join(encoded) + b" ", dtype=np.uint8)
+    kind = _KIND[data]
+    change = np.flatnonzero(np.diff(kind, prepend=0, append=0))
+    starts = change[:-1] if len(change) else change
+    ends = change[1:] if len(change) else change
+    solid = kind[starts] > 0
+    starts, ends = starts[solid], ends[solid]
+    power, inverse = _power(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_LOWER[data] * power[:-1], out=total[1:])
+    hashes = mix((total[ends] - total[starts]) * inverse[starts])
+    capitals = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(_UPPER[data], out=capitals[1:])
+    size = ends - starts
+    upper = capitals[ends] - capitals[starts]
+    case = np.where((upper == size) & (size > 1), 2, (_UPPER[data[starts]] > 0).astype(np.int64))
+    shape = ((kind[starts].astype(np.int64) * 3 + case) << 3) + np.minimum(size, 7)
+    bounds = np.cumsum(np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) + 1)
+    return hashes, shape, np.diff(np.searchsorted(starts, bounds), prepend=0)
+
+
 def shingle_hashes(texts: list[str], length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each run of `length` words, and how many each text has.
 
