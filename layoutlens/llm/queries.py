@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from layoutlens.llm import bpe, chat_format, decontaminate, fingerprints, near_dedup, quality, toxicity
+from layoutlens.llm import bpe, chat_format, decontaminate, fingerprints, language_id, near_dedup, quality, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
     "op3_toxicity": toxicity.op3,
     "op4_decontaminate": decontaminate.op4,
+    "op5_language_id": language_id.op5,
     "op6_chat_format": chat_format.op6,
     "op7_quality": quality.op7,
     "op8_near_dedup": near_dedup.op8,
