@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from layoutlens.llm import bpe, chat_format, decontaminate, fingerprints, language_id, near_dedup, quality, toxicity
+from layoutlens.llm import bpe, chat_format, decontaminate, fingerprints, language_id, near_dedup, quality, secrets, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_chat_format": chat_format.op6,
     "op7_quality": quality.op7,
     "op8_near_dedup": near_dedup.op8,
+    "op9_secrets": secrets.op9,
     "op10_bpe": bpe.op10,
 }
 ORACLES = {
