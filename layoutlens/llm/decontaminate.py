@@ -105,6 +105,13 @@ def leaked_texts(documents: DataFrame, benchmark: DataFrame, containment: float
     return contained_items(by_text, benchmark, containment).select(F.col("doc_id").alias("text_key")).distinct()
 
 
+def without_leaks(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """The documents that contain no item, with all their columns."""
+    leaked = materialise(leaked_texts(documents, benchmark, containment).withColumnRenamed("text_key", "__leak"), "decontaminate-leaked")
+    rows = documents.withColumn("__key", F.md5(F.coalesce("text", F.lit(""))))
+    return rows.join(_small(leaked, leaked.count()), F.col("__key") == F.col("__leak"), "left_anti").drop("__key")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

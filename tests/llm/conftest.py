@@ -1,5 +1,10 @@
+import sys
+from pathlib import Path
+
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
