@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from layoutlens.llm import bpe, chat_format, decontaminate, fingerprints, language_id, near_dedup, quality, secrets, toxicity
+from layoutlens.llm import bpe, chat_format, decontaminate, fingerprints, language_id, lm_scoring, near_dedup, quality, secrets, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
+    "op2_lm_scoring": lm_scoring.op2,
     "op3_toxicity": toxicity.op3,
     "op4_decontaminate": decontaminate.op4,
     "op5_language_id": language_id.op5,
