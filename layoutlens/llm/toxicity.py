@@ -81,7 +81,7 @@ class Distances:
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        for w in set(found) - cache.keys():
+        for w in {w for w in found if w not in cache}:
             if len(w) < 4:
                 cache[w] = 0
             else:
