@@ -1,10 +1,219 @@
-"""Names of the registered queries, their plans, and the SQL they are checked against."""
+"""The registered queries over the driver's tables, and the SQL they are checked against.
+
+English words are those of documents in English; the second language is French text rendered through the
+key map, so that collisions and wrong-layout words occur. Dictionary words occur twice or more; COMMON
+and FREQUENT are the sizes of the ranked tiers.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from layoutlens.functions import predicates as P
+from layoutlens.functions import text as T
+from layoutlens.functions.layout import ENGLISH, PERSIAN, TYPED_ENGLISH, TYPED_PERSIAN, ascii_lower, typed_persian
+from layoutlens.operators import classify as C
+from layoutlens.operators import context as X
+from layoutlens.operators import decide as D
+from layoutlens.operators import lexicon as L
+from layoutlens.operators import sequence as S
+from layoutlens.plans.oracles import ORACLES  # noqa: F401
+from layoutlens.streaming import session
+
+COMMON, FREQUENT = 2_000, 200
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang (1, 2), form of every word."""
+    documents = _table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "fr"))
+    found = documents.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    return found.select(F.when(F.col("lang") == "en", ENGLISH).otherwise(PERSIAN).alias("lang"), F.when(F.col("lang") == "en", F.col("w")).otherwise(typed_persian(F.col("w"))).alias("form"))
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, form, n; kept, since every tier, prior and typed word of a query starts from it."""
+    return tokens(spark, sf_dir).groupBy("lang", "form").agg(F.count(F.lit(1)).alias("n")).persist()
+
+
+def _tiers(spark: SparkSession, sf_dir: str, lang: int) -> dict[str, DataFrame]:
+    own = counts(spark, sf_dir).filter((F.col("lang") == lang) & F.length("form").between(3, T.MOST_KEYS))
+    ranked = own.select("form", (-F.col("n")).alias("rank"))
+    return {"words": own.filter("n >= 2").select("form"), "common": L.top_words(ranked, COMMON, False), "frequent": L.top_words(ranked, FREQUENT, False)}
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.build_lexicon({lang: _tiers(spark, sf_dir, lang) for lang in (ENGLISH, PERSIAN)}, spark).persist()
+
+
+def lexicon_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon(spark, sf_dir)
+
+
+def lexicon_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.report(lexicon(spark, sf_dir))
+
+
+def priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = counts(spark, sf_dir).filter(F.length("form").between(3, T.MOST_KEYS) & (F.col("n") >= 2))
+    sides = [own.filter(F.col("lang") == lang).select("form", "n") for lang in (ENGLISH, PERSIAN)]
+    return L.collision_priors(L.collisions(*sides), *[L.zipf_frequencies(s) for s in sides])
+
+
+def keymap_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct English word as typed and in the other layout."""
+    words = counts(spark, sf_dir).filter(F.col("lang") == ENGLISH).select("form")
+    return words.select(F.col("form").alias("english"), typed_persian(F.col("form")).alias("persian"), F.length("form").cast("bigint").alias("keys"))
+
+
+def word_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many white-space words of conversations have the shape of an English word, by length."""
+    words = _table(spark, sf_dir, "conversations").select(F.explode(F.split("text", r"\s+")).alias("w")).filter("w <> ''")
+    low = ascii_lower(F.col("w"))
+    return words.groupBy(T.english_shape(low).alias("shaped"), F.length("w").cast("bigint").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bloom_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = counts(spark, sf_dir).filter((F.col("lang") == PERSIAN) & (F.length("form") >= 3)).select("form", T.hash_pair(F.col("form")).alias("pair"))
+    return words.select("form", F.col("pair.h1").alias("h1"), F.col("pair.h2").alias("h2"), F.array_join(T.bit_positions(F.col("pair"), 1 << 20, 10).cast("array<string>"), ",").alias("positions"))
+
+
+def bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = counts(spark, sf_dir).filter((F.col("lang") == ENGLISH) & (F.length("form") >= 3)).select("form")
+    return L.bloom_bits(words, 1 << 17, 10)
+
+
+def lexicon_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = counts(spark, sf_dir).filter((F.col("lang") == ENGLISH) & (F.length("form") >= 3)).select("form")
+    return L.proper_prefixes(words)
+
+
+def _typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct word in both readings: the English ones, and the keys of the second language's."""
+    own = counts(spark, sf_dir).filter(F.length("form") <= T.MOST_KEYS)
+    en = F.when(F.col("lang") == ENGLISH, F.col("form")).otherwise(F.translate("form", TYPED_PERSIAN[:31], TYPED_ENGLISH[:31]))
+    return own.select(en.alias("en"), typed_persian(en).alias("fa")).distinct()
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.classify(_typed_words(spark, sf_dir), lexicon(spark, sf_dir))
+
+
+def classify_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(spark, sf_dir)
+
+
+def _decided(spark: SparkSession, sf_dir: str, phase: int) -> DataFrame:
+    words = C.with_priors(classified(spark, sf_dir), priors(spark, sf_dir))
+    cases = spark.createDataFrame([(a, s, c, k, b) for a in (1, 2) for s in (0, 1, 2) for c, k in ((0, 0), (1, 2), (2, 3), (1, 5)) for b in (False, True)], "active int, sensitivity int, context int, strength int, sentence_start boolean")
+    every = words.join(F.broadcast(cases), F.col("en_known") | F.col("fa_known"))
+    made = D.contextual(F.col("active"), F.col("sensitivity"), F.col("context"), F.col("strength"), F.col("sentence_start"), F.lit(phase))
+    keys = ["active", "sensitivity", "context", "strength", "sentence_start"]
+    rows = every.withColumn("d", made).groupBy(*keys, F.col("d.action").alias("action"), F.col("d.confidence").alias("confidence"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min("d.replacement").alias("first_replacement"))
+
+
+def decide_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir, D.LIVE)
+
+
+def decide_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir, D.IDLE)
+
+
+def decide_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir, D.BOUNDARY)
+
+
+def word_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: one-sided repairs of all words of every third document, typed in the wrong layout."""
+    documents = _table(spark, sf_dir, "documents").filter("lang = 'en'")
+    words = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("en"))
+    typed = words.withColumns({"fa": typed_persian(F.col("en")), "active": F.when(F.col("doc_id") % 3 == 0, PERSIAN).otherwise(ENGLISH)})
+    flagged = C.classify(typed, lexicon(spark, sf_dir)).withColumn("d", D.basic(F.col("active"), F.lit(2)))
+    return flagged.groupBy("doc_id", "active").agg(F.count(F.lit(1)).alias("words"), F.count_if("d.should_correct").alias("repaired"))
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of conversations: conv_id, turn, sentence, pos (from 1), en, fa, visible (by conv_id)."""
+    turns = _table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    parts = turns.select("conv_id", "turn", F.posexplode(F.split(F.lower("text"), r"[.!?\n]")).alias("sentence", "s"))
+    words = parts.select("conv_id", "turn", "sentence", F.posexplode(F.regexp_extract_all("s", F.lit("[a-z]+"), F.lit(0))).alias("pos", "en")).filter(F.length("en") <= T.MOST_KEYS)
+    order = Window.partitionBy("conv_id", "turn", "sentence").orderBy("pos")
+    numbered = words.withColumn("pos", F.row_number().over(order))
+    return numbered.select("conv_id", "turn", "sentence", "pos", "en", typed_persian(F.col("en")).alias("fa"), F.when(F.col("conv_id") % 2 == 0, PERSIAN).otherwise(ENGLISH).alias("visible"))
+
+
+_SENTENCE = ["conv_id", "turn", "sentence"]
+
+
+def sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = C.classify(_sentences(spark, sf_dir), lexicon(spark, sf_dir))
+    return S.score_sequences(words, _SENTENCE, F.lit(1), F.lit(ENGLISH), F.lit(2))
+
+
+def sequence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = C.classify(_sentences(spark, sf_dir), lexicon(spark, sf_dir))
+    runs = S.suffix_runs(words, _SENTENCE, F.lit(1), F.lit(0), F.lit(0))
+    return S.run_texts(words, runs, _SENTENCE)
+
+
+def context_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language context after all known words of each conversation's turn."""
+    words = C.classify(_sentences(spark, sf_dir), lexicon(spark, sf_dir))
+    known = F.when(F.col("visible") == ENGLISH, F.col("en_known")).otherwise(F.col("fa_known"))
+    often = F.when(F.col("visible") == ENGLISH, F.col("en_frequent")).otherwise(F.col("fa_frequent"))
+    evidence = F.when(F.col("en_known") & F.col("fa_known"), 1).when(often, 3).otherwise(2)
+    seen = words.withColumns({"language": F.when(known, F.col("visible")).otherwise(D.other_language(F.col("visible"))), "evidence": evidence, "order": F.col("sentence") * 1000 + F.col("pos")})
+    return X.fold_context(seen.filter(F.col("en_known") | F.col("fa_known")), ["conv_id", "turn"], "order")
+
+
+def cadence_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typing cadence of each user after all intervals of their events (in 20,000ths), and the pause it asks for."""
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    steps = X.key_intervals(events.withColumn("order", F.col("ts_ms") * 1_000_000 + F.col("event_id")), ["user_id"], "order")
+    scaled = steps.select("user_id", F.col("order").alias("pos"), F.floor(F.col("interval") / 1_000_000 / 20_000).cast("bigint").alias("interval"))
+    return X.fold_cadence(scaled, ["user_id"]).select("user_id", "cadence", *[T.idle_delay(F.lit(s), F.col("cadence")).cast("bigint").alias(f"delay_{s}") for s in (0, 1, 2)])
+
+
+def boundary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the keys of all conversations by what they do."""
+    turns = _table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    keys = session.keystrokes(turns.select("conv_id", "turn", "text"), F.concat_ws("-", "conv_id", "turn"), F.lit(0x409))
+    return keys.groupBy(P.is_boundary(F.col("vk"), F.col("shift")).alias("boundary"), P.ends_sentence(F.col("vk"), F.col("shift")).alias("ends"), (F.col("scan") > 0).alias("letter")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def excluded_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by program (made from their type), and whether it is left alone."""
+    events = _table(spark, sf_dir, "events").withColumn("app", F.concat(F.lit("C:\\Apps\\"), F.when(F.col("user_id") % 5 == 0, "KEEPASS.exe").otherwise(F.concat("event_type", F.lit(".exe")))))
+    return events.groupBy("app", P.is_excluded(F.col("app")).alias("excluded")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", "text")
+    return session.keystrokes(turns, F.concat_ws("-", "conv_id", "turn"), F.when(F.col("conv_id") % 2 == 0, 0x429).otherwise(0x409))
+
+
+def session_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edits that typing the conversations causes, every other one in the wrong layout."""
+    own = session.load_lexicon(lexicon(spark, sf_dir), priors(spark, sf_dir))
+    return session.repair_sessions(_session_events(spark, sf_dir), own)
+
+
+def session_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = session.load_lexicon(lexicon(spark, sf_dir), priors(spark, sf_dir))
+    return session.repair_sessions(_session_events(spark, sf_dir), own, counters=True)
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = word_repair
+QUERIES = {
+    f.__name__: f
+    for f in (
+        word_repair, keymap_words, word_shapes, bloom_positions, bloom_build, lexicon_prefixes, lexicon_tiers, lexicon_report, classify_words, decide_live, decide_idle,
+        decide_boundary, sequence_scores, sequence_repair, context_fold, cadence_fold, boundary_keys, excluded_apps, session_repair, session_counters,
+    )
+} | {"collision_priors": priors}
