@@ -1,0 +1,188 @@
+"""Word, sentence, timing and context rules against values known from the rules' own cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from layoutlens.functions import layout as Y
+from layoutlens.functions import predicates as P
+from layoutlens.functions import text as T
+from layoutlens.operators import classify as C
+from layoutlens.operators import context as X
+from layoutlens.operators import decide as D
+from layoutlens.operators import lexicon as L
+from layoutlens.operators import sequence as S
+
+EN, FA = Y.ENGLISH, Y.PERSIAN
+WORDS = {
+    EN: "password hello fish leg how are you this very good test looking really".split(),
+    FA: "سلام کمک مثل اخص آیا پیدا زمانی مرسی بهسازی".split(),
+}
+
+
+@pytest.fixture(scope="module")
+def lexicon(spark):
+    rows = []
+    for lang, words in WORDS.items():
+        prefixes = {w[:k] for w in words for k in range(3, len(w))}
+        for w in sorted(set(words) | prefixes):
+            rows.append((lang, w, False, w in words, w in words, w in ("how", "are", "you"), w in prefixes, w in prefixes))
+    rows += [(EN, w, True, False, False, True, False, False) for w in L.SHORT_ENGLISH] + [(FA, w, True, False, False, True, False, False) for w in L.SHORT_PERSIAN]
+    return spark.createDataFrame(rows, "lang int, form string, " + ", ".join(f"{t} boolean" for t in L.TIERS)).cache()
+
+
+@pytest.fixture(scope="module")
+def priors(spark):
+    return spark.createDataFrame([("leg", 31), ("of", -38), ("how", 0)], "english string, points int")
+
+
+def cases(spark, rows):
+    frame = spark.createDataFrame(rows, "en string, active int, context int, strength int, start boolean, phase int")
+    return frame.withColumn("fa", Y.typed_persian(F.col("en")))
+
+
+def test_key_readings(spark):
+    assert Y.key_readings(False, False)[0x1E] == ("a", "ش") and Y.key_readings(True, True)[0x1E] == ("a", "ش")
+    assert Y.key_readings(True, False)[0x2E] == ("C", "ژ") and Y.key_readings(True, False)[0x23] == ("H", "آ")
+    assert Y.key_readings(True, False)[0x27] == (":", "ک") and Y.key_readings(False, True)[0x27] == (";", "ک")
+    events = spark.createDataFrame([(0x39, "a"), (0x2B, "a"), (0x2B, "b"), (0x1E, "b")], "scan int, variant string").withColumns({"shift": F.lit(False), "caps": F.lit(False)})
+    variants = spark.createDataFrame([("b", 0x2B, False, False, "\\", "پ"), ("b", 0x39, False, False, " ", " ")], "variant string, scan int, shift boolean, caps boolean, english string, persian string")
+    found = {(r.scan, r.variant): (r.english, r.persian) for r in Y.read_keys(events, variants).collect()}
+    assert found == {(0x39, "a"): (None, None), (0x2B, "a"): (None, None), (0x2B, "b"): ("\\", "پ"), (0x1E, "b"): ("a", "ش")}
+    plain = Y.read_keys(events.drop("variant")).filter("scan = 43").first()
+    assert plain.english is None
+
+
+def test_text_functions(spark):
+    row = spark.range(1).select(
+        Y.typed_persian(F.lit("password")).alias("p"), Y.physical_persian(F.lit("it's")).alias("q"), Y.physical_persian(F.lit("a1")).alias("none"), Y.typed_english(F.lit("سلام")).alias("back"),
+        Y.language_of_layout(F.lit(0x429)).alias("fa"), Y.language_of_layout(F.lit(0x409)).alias("en"), Y.language_of_layout(F.lit(0x407)).alias("other"), Y.language_name(F.lit(2)).alias("name"),
+        T.normalise_persian(F.lit("كتا‌بيى")).alias("n"), T.normalise_persian(F.lit("cafe\u0301")).alias("nfc"), T.without_affix(F.lit("word/AB")).alias("affix"), T.phrase(F.array(F.lit("a"), F.lit("b"))).alias("phrase"),
+        T.phrase(F.array_repeat(F.lit("abcdefgh"), 60)).alias("long"), F.length(T.preview(F.repeat(F.lit("x"), 200))).alias("preview"),
+    ).first()
+    assert row.p == "حشسسصخقی" and row.q == "هفگس" and row.none is None and row.back == "sghl"
+    assert (row.fa, row.en, row.other, row["name"]) == (FA, EN, 0, "Persian")
+    assert row.n == "کتابیی" and row.nfc == "café" and row.affix == "word" and row.phrase == "a b" and row.long is None and row.preview == 96
+    shapes = spark.createDataFrame([("it's",), ("'a",), ("a'",), ("a'b'c",), ("",), ("abc",), ("ab1",)], "w string").select(T.english_shape(F.col("w")).alias("s")).collect()
+    assert [r.s for r in shapes] == [True, False, False, False, False, True, False]
+
+
+def test_hashes(spark):
+    rows = spark.createDataFrame([("hello",), ("سلام",), ("",)], "w string").select(T.hash_pair(F.col("w")).alias("h"), T.bit_positions(T.hash_pair(F.col("w")), 1 << 10, 3).alias("p")).collect()
+    assert [(r.h.h1, r.h.h2) for r in rows] == [(1335831723, 178056679), (2263956406, 3426475792), (2166136261, 5381)]
+    h1, h2 = 1335831723, ((178056679 << 1) | 1) & 0xFFFFFFFF
+    assert rows[0].p == [(h1 + i * h2 + i * i * 0x9E3779B9) & 1023 for i in range(3)]
+
+
+def test_timing(spark):
+    delays = spark.createDataFrame([(1, 100), (1, 250), (1, 400), (2, 100), (0, 100), (7, 100)], "s int, a int").select(T.idle_delay(F.col("s"), F.col("a")).alias("d")).collect()
+    assert [r.d for r in delays] == [450, 750, 900, 280, 650, 450]
+    paces = spark.createDataFrame([(150, 100), (150, 10), (150, 2000), (0, 200)], "a int, o int").select(T.next_cadence(F.col("a"), F.col("o")).alias("c")).collect()
+    assert [r.c for r in paces] == [137, 150, 150, 162]
+
+
+def test_context_chain(spark):
+    steps = [(FA, 3), (FA, 3), (EN, 2), (EN, 3), (0, 4)]
+    want = [(FA, 3, 1), (FA, 4, 2), (FA, 2, 3), (EN, 1, 4), (EN, 1, 4)]
+    rows = [(k, pos, *s) for k in range(5) for pos, s in enumerate(steps[: k + 1])]
+    found = X.fold_context(spark.createDataFrame(rows, "k int, pos int, language int, evidence int"), ["k"]).collect()
+    assert [(r.language, r.strength, r.observed_words) for r in sorted(found, key=lambda r: r.k)] == want
+    ages = spark.createDataFrame([(FA, 3, 90_000, 0), (FA, 3, 90_001, 0), (FA, 3, 0, 2), (0, 0, 0, 1)], "l int, s int, a int, m int")
+    now = ages.select(X.current(F.col("l"), F.col("s"), F.col("a"), F.col("m")).alias("c")).collect()
+    assert [(r.c.language, r.c.strength) for r in now] == [(FA, 3), (0, 0), (EN, 5), (FA, 5)]
+
+
+FULL = [
+    # keys, active, context, strength, sentence start, phase -> action, replacement
+    ("hello", FA, FA, 5, False, D.LIVE, D.NOW, "hello"),
+    ("fish", FA, 0, 0, False, D.LIVE, D.WAIT, "fish"),
+    ("fish", FA, 0, 0, False, D.IDLE, D.WAIT, "fish"),
+    (";l;", EN, 0, 0, False, D.LIVE, D.NOW, "کمک"),
+    ("hdh", EN, 0, 0, False, D.LIVE, D.NOW, "ایا"),
+    ("hdh", FA, 0, 0, False, D.BOUNDARY, D.NONE, ""),
+    ("jh", EN, 0, 0, False, D.LIVE, D.WAIT, "تا"),
+    ("jh", EN, 0, 0, False, D.IDLE, D.NOW, "تا"),
+    ("of", EN, 0, 0, False, D.BOUNDARY, D.NONE, ""),
+    ("of", EN, FA, 3, False, D.LIVE, D.WAIT, "خب"),
+    ("of", EN, FA, 3, False, D.IDLE, D.NOW, "خب"),
+    ("of", EN, 0, 0, True, D.BOUNDARY, D.NONE, ""),
+    ("of", FA, 0, 0, True, D.BOUNDARY, D.NONE, ""),
+    ("of", EN, FA, 5, True, D.BOUNDARY, D.NOW, "خب"),
+    ("leg", EN, 0, 0, False, D.LIVE, D.NONE, ""),
+    ("leg", EN, FA, 3, False, D.IDLE, D.NOW, "مثل"),
+    ("leg", EN, FA, 4, False, D.LIVE, D.NOW, "مثل"),
+    ("leg", EN, 0, 0, True, D.LIVE, D.WAIT, ""),
+    ("leg", EN, 0, 0, True, D.IDLE, D.NOW, "مثل"),
+    ("leg", FA, 0, 0, True, D.BOUNDARY, D.NONE, ""),
+    ("leg", EN, EN, 5, True, D.BOUNDARY, D.NONE, ""),
+    ("how", FA, 0, 0, True, D.BOUNDARY, D.NOW, "how"),
+    ("how", EN, 0, 0, True, D.BOUNDARY, D.NONE, ""),
+    ("a", FA, 0, 0, True, D.BOUNDARY, D.NONE, ""),
+]
+
+
+def test_contextual_decisions(spark, lexicon, priors):
+    words = C.with_priors(C.classify(cases(spark, [c[:6] for c in FULL]), lexicon), priors)
+    made = words.withColumn("d", D.contextual(F.col("active"), F.lit(1), F.col("context"), F.col("strength"), F.col("start"), F.col("phase"))).collect()
+    found = {(r.en, r.active, r.context, r.strength, r.start, r.phase): (r.d.action, r.d.replacement) for r in made}
+    for c in FULL:
+        assert found[c[:6]] == c[6:], c
+    assert next(r.d.confidence for r in made if r.en == "hello") == 100
+
+
+def test_reduced_and_basic_decisions(spark, lexicon, priors):
+    words = C.with_priors(D.reduced(C.classify(cases(spark, [("fish", FA, 0, 0, False, 1), ("hello", FA, 0, 0, False, 0), ("leg", FA, 0, 0, False, 0)]), lexicon)), priors)
+    rows = words.withColumns({"full": D.contextual(F.col("active"), F.lit(1), F.lit(0), F.lit(0), F.lit(False), F.col("phase")), "basic": D.basic(F.col("active"), F.lit(2)), "live": D.basic_live(F.col("active"), F.lit(2))}).collect()
+    found = {r.en: (r.full.action, r.basic.should_correct, r.basic.confidence, r.live.action) for r in rows}
+    assert found == {"fish": (D.NOW, True, 0, D.WAIT), "hello": (D.NOW, True, 0, D.NOW), "leg": (D.NONE, False, 0, D.NONE)}
+    assert not L.build_lexicon.__doc__ is None and D.without_common(lexicon).filter("is_common").count() == 0
+
+
+def test_sequences(spark, lexicon):
+    sentences = {"a": "nv clhkd ;i", "b": "how are you", "c": "this is a very good test", "d": "sghl test"}
+    rows = [(k, i + 1, w) for k, s in sentences.items() for i, w in enumerate(s.split())]
+    words = spark.createDataFrame(rows, "k string, pos int, en string").withColumn("fa", Y.typed_persian(F.col("en")))
+    flagged = C.classify(words, lexicon)
+    found = {r.k: (r.language, r.en_known, r.fa_known) for r in S.score_sequences(flagged, ["k"], F.lit(1), F.lit(0), F.lit(0)).collect()}
+    assert found["a"] == (FA, 0, 3) and found["b"][:2] == (EN, 3) and found["c"][:2] == (EN, 6) and found["d"][0] == 0
+    runs = S.suffix_runs(flagged, ["k"], F.lit(1), F.lit(0), F.lit(0))
+    texts = S.run_texts(flagged.withColumn("visible", F.lit(EN)), runs, ["k"]).collect()
+    last = {r.k: (r.start, r.original, r.replacement, r.needs_change) for r in sorted(texts, key=lambda r: r.pos)}
+    assert last["a"] == (1, "nv clhkd ;i", "در زمانی که", True) and last["c"][3] is False
+
+
+def test_lexicon_build(spark):
+    lines = spark.createDataFrame([("Word/S",), ("it's",), ("ab",), ("x1y",), ("word/X",)], "line string")
+    assert sorted(r.form for r in L.eligible_english(lines).collect()) == ["it's", "word"]
+    persian = spark.createDataFrame([("كتاب/x",), ("با",), ("می‌رود",)], "line string")
+    assert sorted(r.form for r in L.eligible_persian(persian).collect()) == sorted(["کتاب", "میرود"])
+    ranked = spark.createDataFrame([("می‌رود", 1), ("كتاب", 2), ("کتاب", 3), ("وگو", 4), ("سلام", 5)], "word string, rank bigint")
+    top = L.ranked_persian(ranked)
+    assert {r.form: r["rank"] for r in top.collect()} == {"کتاب": 2, "سلام": 5}
+    assert [r.form for r in L.top_words(top, 1).collect()] == ["کتاب"]
+    with pytest.raises(ValueError, match="expected 3"):
+        L.top_words(top, 3)
+    words = spark.createDataFrame([("word",), ("abc",)], "form string")
+    assert [r.form for r in L.proper_prefixes(words).collect()] == ["wor"]
+    with pytest.raises(ValueError, match="lacks frequent"):
+        L.build_lexicon({EN: {"words": words, "common": words}}, spark)
+    made = L.build_lexicon({EN: {"words": words, "common": words, "frequent": words}}, spark)
+    assert L.differences(made, made).count() == 0 and L.differences(made, made.filter("form <> 'abc'")).count() == 1
+    zipf = lambda z: spark.createDataFrame(z, "form string, zipf double")
+    pairs = L.collisions(spark.createDataFrame([("leg",), ("how",), ("x",)], "form string"), spark.createDataFrame([("مثل",), ("اخص",)], "form string"))
+    points = L.collision_priors(pairs, zipf([("leg", 4.0)]), zipf([("مثل", 5.3125), ("اخص", 2.0)]))
+    assert [(r.english, r.points) for r in points.collect()] == [("how", 0), ("leg", 32)]
+    edges = spark.createDataFrame([(1.0, 9.0), (9.0, 1.0), (0.0, 5.0)], "e double, p double").select(T.prior_points(F.col("e"), F.col("p")).alias("x")).collect()
+    assert [r.x for r in edges] == [75, -75, 0]
+    assert L.report(made).first().n_word == 2
+
+
+def test_predicates(spark):
+    rows = spark.createDataFrame([("Space", False), ("Period", False), ("Period", True), ("1", True), ("Slash", True), ("Return", False), ("Left", False), ("LShift", False)], "vk string, shift boolean")
+    found = rows.select("vk", P.is_boundary(F.col("vk"), F.col("shift")).alias("b"), P.ends_sentence(F.col("vk"), F.col("shift")).alias("e"), P.is_navigation(F.col("vk")).alias("n"), P.is_modifier(F.col("vk")).alias("m"), P.is_delimiter(F.col("vk")).alias("d")).collect()
+    assert [r.b for r in found] == [True, True, False, False, False, True, False, False]
+    assert [r.e for r in found] == [False, True, False, True, True, True, False, False]
+    assert [r.n for r in found][6] and [r.m for r in found][7] and [r.d for r in found][0]
+    apps = spark.createDataFrame([("C:\\x\\keepass.EXE",), ("notepad.exe",), (None,)], "app string").select(P.is_excluded(F.col("app"), " KeePass.exe ;; other.exe,").alias("x")).collect()
+    assert [r.x for r in apps] == [True, False, False]
+    events = spark.createDataFrame([(False, False, "a.exe"), (True, False, "a.exe"), (False, True, "a.exe"), (False, False, "KeePass.exe")], "injected boolean, protected boolean, app string")
+    assert P.accepted_events(events).count() == 1
