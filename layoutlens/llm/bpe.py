@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries inside each partition.
 
 Encoding: a text is cut into the matches of a pattern. The distinct matches that a partition has not met
-yet become token-position rows, one per byte; a recursive query joins neighbouring rows with the merge
-table, contracts each match's leftmost pair of least rank, and stops a match that has no pair left.
+yet become token-position rows, one per byte; each step of a recursive query joins neighbouring positions
+with the merge table, contracts each match's leftmost pair of least rank, and stops a match that has none left.
 Decoding: id-position rows of whole texts join the vocabulary, and an ordered aggregation joins the bytes.
 
 Memory is bounded: texts are taken some CHUNK_CHARS at a time, new matches WORD_CHUNK at a time, and the
@@ -26,22 +26,23 @@ from layoutlens.llm.common import table
 
 CHUNK_CHARS = 400_000
 WORD_CHUNK = 60_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 
 ENCODE_SQL = """
 WITH RECURSIVE state AS (
-    SELECT word, pos, token, true AS live FROM bytes_in
+    SELECT word, list(token ORDER BY pos) AS ids, true AS live FROM bytes_in GROUP BY word
     UNION ALL
     (WITH pair AS (
-        SELECT word, pos, token, lead(token) OVER by_pos AS next_token, lag(pos) OVER by_pos AS previous
-        FROM state WHERE live WINDOW by_pos AS (PARTITION BY word ORDER BY pos)),
+        SELECT word, unnest(range(1, len(ids))) AS pos, unnest(ids[:-2]) AS token, unnest(ids[2:]) AS next_token FROM state WHERE live),
      best AS (
-        SELECT pair.word, min(merged::BIGINT * 4294967296 + pos) AS chosen
-        FROM pair JOIN merges ON merges.l = token AND merges.r = next_token GROUP BY pair.word)
-     SELECT pair.word, pos, CASE WHEN pos = (chosen & 4294967295) THEN (chosen >> 32)::INTEGER ELSE token END, chosen IS NOT NULL
-     FROM pair LEFT JOIN best ON pair.word = best.word
-     WHERE chosen IS NULL OR previous IS DISTINCT FROM (chosen & 4294967295)))
-SELECT word, list(token ORDER BY pos) AS ids FROM state WHERE NOT live GROUP BY word ORDER BY word
+        SELECT word, min(merged::BIGINT * 4294967296 + pos) AS chosen
+        FROM pair JOIN merges ON merges.l = token AND merges.r = next_token GROUP BY word)
+     SELECT word,
+            CASE WHEN chosen IS NULL THEN ids
+                 ELSE ids[: (chosen & 4294967295) - 1] || [(chosen >> 32)::INTEGER] || ids[(chosen & 4294967295) + 2 :] END,
+            chosen IS NOT NULL
+     FROM state LEFT JOIN best USING (word) WHERE live))
+SELECT word, ids FROM state WHERE NOT live ORDER BY word
 """
 DECODE_SQL = """
 SELECT text, string_agg(hex, '' ORDER BY pos) AS hex FROM ids_in JOIN vocabulary USING (token) GROUP BY text ORDER BY text
@@ -73,7 +74,8 @@ class Codec:
         columns = np.array(pairs, dtype=np.int32).reshape(-1, 3).T
         self._load("merges", pa.table({"l": columns[0], "r": columns[1], "merged": columns[2]}))
         self._load("vocabulary", pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
-        self.cache: dict[str, list[int]] = {}
+        #: match -> its ids as the bytes of 32-bit numbers: a text's ids are their concatenation.
+        self.cache: dict[str, bytes] = {}
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("rows_in", rows)
@@ -96,24 +98,31 @@ class Codec:
             word = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             found = self._query("bytes_in", pa.table({"word": word, "pos": pos.astype(np.int32), "token": tokens}), ENCODE_SQL)
-            self.cache.update(zip(part, found["ids"].to_pylist(), strict=True))
+            ids = found["ids"].combine_chunks()
+            flat = ids.flatten().to_numpy().astype(np.int32, copy=False).tobytes()
+            ends = (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
+            self.cache.update(zip(part, map(flat.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> pa.ListArray:
         """The ids of each text."""
+        np = self.np
         found = [self.find(t) for t in texts]
         wanted = set().union(*found) if found else set()
         if len(self.cache) + len(wanted) > CACHE_WORDS:
             self.cache = {}
-        self._learn(sorted(wanted - self.cache.keys()))
+        self._learn(sorted(w for w in wanted if w not in self.cache))
         get = self.cache.__getitem__
-        return [[i for ids in map(get, words) for i in ids] for words in found]
+        ids = [b"".join(map(get, words)) for words in found]
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
 
-    def decode(self, texts: list[list[int]]) -> list[bytes]:
+    def decode(self, texts: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids."""
         np = self.np
-        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        tokens = np.fromiter((i for ids in texts for i in ids), dtype=np.int32, count=int(sizes.sum()))
-        rows = pa.table({"text": np.repeat(np.arange(len(texts), dtype=np.int32), sizes), "pos": np.arange(len(tokens)), "token": tokens})
+        ends = texts.offsets.to_numpy()
+        tokens = texts.values.to_numpy()[ends[0] : ends[-1]]
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))
+        rows = pa.table({"text": owner, "pos": np.arange(len(tokens), dtype=np.int32), "token": tokens})
         found = self._query("ids_in", rows, DECODE_SQL)
         out = [b""] * len(texts)
         for k, digits in zip(found["text"].to_pylist(), found["hex"].to_pylist(), strict=True):
@@ -165,7 +174,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, pattern: str
             for start, part in chunks(texts):
                 ids = own.encode(part)
                 yield pa.RecordBatch.from_arrays(
-                    [ids_of.slice(start, len(part)), pa.array(ids, pa.list_(pa.int32())), pa.array(own.decode(ids), pa.binary())],
+                    [ids_of.slice(start, len(part)), ids, pa.array(own.decode(ids), pa.binary())],
                     names=["doc_id", "ids", "decoded"],
                 )
 
