@@ -48,7 +48,7 @@ def collision_evidence(active: Column, context: Column, strength: Column, senten
     from_frequency = F.when(target_often & ~often, 45).when(often & ~target_often, -45).otherwise(0)
     prior = F.when(target == ENGLISH, -F.col("prior")).otherwise(F.col("prior"))
     # Two keys say too little at the start of a sentence: a quarter (towards zero) counts, as inside one.
-    quarter = F.expr("int(0)") + (F.signum(prior) * F.floor(F.abs(prior) / 4)).cast("int")
+    quarter = (F.signum(prior) * F.floor(F.abs(prior) / 4)).cast("int")
     from_prior = F.when(sentence_start & (F.length("en") >= 3), prior).otherwise(quarter)
     from_phase = F.when(phase == IDLE, 5).when(phase == BOUNDARY, 10).otherwise(0)
     return from_context + from_frequency + from_prior + from_phase
