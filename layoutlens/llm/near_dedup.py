@@ -9,9 +9,9 @@ Every point carries a register; a register's value is its earliest point. Two te
 with the probability of their weighted Jaccard similarity.
 
 Bands of ROWS registers make buckets. Within a bucket every text is verified (exact multiset overlap)
-against the bucket's least text; whatever fails is afterwards verified against all texts of the bucket
-that it is not yet connected with, so no link between texts that share a bucket is lost and no bucket of
-alike texts is expanded into pairs. Classes are the connected components, found by repeated contraction.
+against the bucket's most central text; whatever fails, and is not connected with it otherwise, is
+afterwards verified against those texts of the bucket that it may be linked to by exact bounds, so no link
+between texts that share a bucket is lost and no bucket of alike texts is expanded into pairs. Classes are the connected components, found by repeated contraction.
 
 Edge cases: null texts count as empty; equal texts are one class at any length, also without words; a text
 without words links to nothing else; null doc_ids are kept, and a class's id is its least doc_id (null if it
@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layoutlens.llm.common import materialise, table
@@ -33,6 +33,8 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 CHUNK_CHARS = 500_000
+#: Keys of 16 bytes (some 60 in a hash table) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def _unit(x):
@@ -164,30 +166,98 @@ def components(links: DataFrame) -> DataFrame:
             return root
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """Keys with a broadcast hint if counted to be few; else the join shuffles the documents."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def _hubs(nodes: DataFrame) -> DataFrame:
+    """bucket, node, hub of every bucket of two texts or more.
+
+    The hub is the member that shares most places with others over all its buckets: in a group of
+    copies, the one nearest to them all.
+    """
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    inside = materialise(members.join(shared, "bucket"), "near-shared")
+    central = inside.groupBy("node").agg(F.sum(F.col("n") - 1).alias("met"))
+    hubs = inside.join(central, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("most"))
+    return inside.select("bucket", "node").join(hubs.select("bucket", F.col("most.node").alias("hub")), "bucket")
+
+
+def _rare_first(texts: DataFrame, similarity: float) -> DataFrame:
+    """node, element, place, size: what of each text must contain something that a linked text has too.
+
+    A text is a set of elements (shingle, number of its occurrence). With the elements of all these texts in one
+    order, the rarest first, two texts of this similarity share one of the first (1 - similarity) of either. Elements
+    of one text only are left out, but count for the places.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        from layoutlens.llm.shingles import mix, multisets, shingle_hashes
+
+        for batch in batches:
+            found = batch.column(1).to_pylist()
+            for a, b in _chunks(found, CHUNK_CHARS):
+                owner, hashes, weight = multisets(*shingle_hashes(found[a:b]))
+                number = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+                elements = mix(np.repeat(hashes, weight) + number.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+                nodes = batch.column(0).slice(a, b - a).take(pa.array(np.repeat(owner, weight)))
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(elements.view(np.int64))], names=["node", "element"])
+
+    parts = materialise(texts.select("node", "text").mapInArrow(run, "node binary, element bigint"), "near-elements")
+    met = parts.groupBy("element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "element")
+    placed = parts.join(met, "element", "left").withColumns(
+        {"place": F.row_number().over(order) - 1, "size": F.count(F.lit(1)).over(Window.partitionBy("node"))}
+    )
+    return placed.filter(F.col("n").isNotNull() & (F.col("place") <= (1 - similarity) * F.col("size") + 1e-6)).drop("n")
+
+
+def _left_open(inside: DataFrame, root: DataFrame, failed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (f, node) that may be linked although f failed against its hub, and that nothing connects so far.
+
+    In play are the texts of all buckets that hold such an f. Exact: texts that share none of their rarest
+    elements, or share the first one so late that too few remain, cannot be linked. A copy with many edits
+    of its own so costs nothing, however large its group is.
+    """
+    rooted = inside.join(root, "node", "left").select("bucket", "hub", "node", F.coalesce("root", "node").alias("root"))
+    hub_root = root.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    rooted = materialise(rooted.join(hub_root, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")), "near-rooted")
+    open_ones = materialise(rooted.filter("root <> hub_root").join(failed, ["hub", "node"]).select("bucket", "node", "root"), "near-open")
+    mates = rooted.join(open_ones.select("bucket").distinct(), "bucket", "left_semi").select("node", "root").distinct()
+    mates = materialise(mates, "near-mates")
+    elements = materialise(_rare_first(texts.join(mates.select("node"), "node", "left_semi"), similarity).join(mates, "node"), "near-rare")
+    remaining = lambda size, place: size - place
+    enough = lambda shared, a, b: shared + 1e-6 >= similarity * (a + b - shared)
+    least = elements.groupBy("element").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    left = elements.join(open_ones.select("node").distinct(), "node", "left_semi").join(least, "element")
+    rest = remaining(F.col("size"), F.col("place"))
+    left = left.filter(enough(rest, F.col("size"), F.greatest("least", rest)))
+    left = left.select(F.col("element").alias("e"), F.col("node").alias("f"), F.col("root").alias("f_root"), F.col("size").alias("f_size"), rest.alias("f_rest"))
+    shared = F.least(F.col("f_rest"), rest)
+    return left.join(elements, (F.col("e") == F.col("element")) & (F.col("f_root") != F.col("root")) & enough(shared, F.col("f_size"), F.col("size")))
+
+
 def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, node, class_id, keep_node: every document row; `keep_node` is the text that stands for the class."""
     banded = materialise(_banded(documents), "near-banded")
     nodes = materialise(
         banded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "near-nodes"
     )
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("bucket", "hub")
-    inside = materialise(members.join(shared, "bucket"), "near-buckets")
+    inside = materialise(_hubs(nodes), "near-buckets")
     pairs = materialise(inside.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
     wanted = materialise(inside.select("node").distinct(), "near-wanted")
     text = F.coalesce("text", F.lit(""))
     keyed = documents.select(F.unhex(F.md5(text)).alias("node"), text.alias("text"))
-    texts = materialise(keyed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+    texts = materialise(keyed.join(_small(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
     first = materialise(_verified(pairs, texts, similarity), "near-first")
-    links, failed = first.filter("linked").select("a", "b"), first.filter("NOT linked").select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    links = first.filter("linked").select("a", "b")
     root = components(links)
-    # What failed against its hub meets the rest of the bucket, but for what it is connected with by now.
-    rooted = inside.join(root, "node", "left").select("bucket", "hub", "node", F.coalesce("root", "node").alias("root"))
-    rooted = materialise(rooted, "near-rooted")
-    left_out = rooted.join(failed, ["hub", "node"]).select("bucket", F.col("node").alias("f"), F.col("root").alias("f_root"))
-    rest = left_out.join(rooted.filter("node <> hub"), "bucket").filter("f_root <> root")
-    more = rest.select(F.least("f", "node").alias("a"), F.greatest("f", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialise(more, "near-more")
+    more = _left_open(inside, root, first.filter("NOT linked").select(F.col("a").alias("hub"), F.col("b").alias("node")), texts, similarity)
+    more = materialise(more.select(F.least("f", "node").alias("a"), F.greatest("f", "node").alias("b")).distinct(), "near-more")
     if not more.isEmpty():
         second = materialise(_verified(more, texts, similarity).filter("linked").select("a", "b"), "near-second")
         if not second.isEmpty():
