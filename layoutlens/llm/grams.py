@@ -1,0 +1,245 @@
+"""Exact byte contexts for the mixing of `mixing`, in shards that hold all that a decision needs.
+
+A place of a lower-cased text is one number: the six bytes before it (latest first, BEFORE where the text has not begun)
+and its own byte, or END. Capitals never occur, so BEFORE and END take two of their values, and 56 bits hold a
+place exactly: there are no hashes to collide. Places are dealt by their last two bytes; a shard therefore has every
+context of orders 2 and more that its places need, and order 1 is a table of 256 x 256 that all share.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from layoutlens.llm import mixing
+
+BEFORE, END = 65, 66
+ORDERS = mixing.ORDERS
+PIECE_BYTES = 1_000_000
+_BYTE = np.uint64(255)
+
+
+def places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of every place of the texts, and the text it belongs to."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    starts = np.cumsum(sizes) - sizes
+    own = np.full(int(sizes.sum()), END, dtype=np.uint8)
+    inside = np.ones(len(own), dtype=bool)
+    inside[starts + sizes - 1] = False
+    own[inside] = mixing._LOWER[np.frombuffer(b"".join(texts), dtype=np.uint8)]
+    keys = own.astype(np.uint64)
+    before = np.empty_like(own)
+    for n in range(1, 7):
+        before[:n], before[n:] = BEFORE, own[:-n]
+        for k in range(n):
+            before[(starts + k)[sizes > k]] = BEFORE
+        keys |= before.astype(np.uint64) << np.uint64(56 - 8 * n)
+    return keys, np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and how often each occurs (or the sum of its counts)."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    if counts is None:
+        return keys[first], np.diff(np.append(first, len(keys)))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    return summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+
+
+def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """(shard, the places of `keys` that it gets, in order)."""
+    shard = (((keys >> np.uint64(40)) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    return [(int(shard[part[0]]), part) for part in np.split(order, cuts) if len(part)]
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 8 bytes as planes of bytes of their differences, which compress well when in order."""
+    return np.diff(numbers, prepend=numbers.dtype.type(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(dtype), dtype=dtype)
+
+
+def pairs(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """256 x 256 sums by the byte before and the own one."""
+    at = (keys >> np.uint64(48) << np.uint64(8) | keys & _BYTE).astype(np.int64)
+    return np.bincount(at, weights=counts, minlength=1 << 16).astype(np.int64)
+
+
+def histogram(pair_counts: np.ndarray) -> np.ndarray:
+    """Occurrences of each of the 257 symbols."""
+    found = np.append(pair_counts.reshape(256, 256).sum(axis=0), 0)
+    found[[mixing.END, END]] = found[[END, mixing.END]]
+    return found
+
+
+def _symbols(keys: np.ndarray) -> np.ndarray:
+    found = (keys & _BYTE).astype(np.int64)
+    found[found == END] = mixing.END
+    return found
+
+
+def first_order(pair_counts: np.ndarray, code) -> tuple[np.ndarray, np.ndarray]:
+    """(ones, seen) of order 1, by the byte before and the node."""
+    length, node, bit = code
+    at = np.flatnonzero(pair_counts)
+    ones, seen = np.zeros(1 << 16), np.zeros(1 << 16)
+    symbol = _symbols(at.astype(np.uint64))
+    for depth in range(node.shape[1]):
+        on = length[symbol] > depth
+        spot = (at[on] & ~255) | node[symbol[on], depth]
+        seen += np.bincount(spot, weights=pair_counts[at[on]], minlength=1 << 16)
+        ones += np.bincount(spot, weights=pair_counts[at[on]] * bit[symbol[on], depth], minlength=1 << 16)
+    return ones, seen
+
+
+class Decisions:
+    """The distinct decisions (six bytes, node) of distinct places, with the counts of every order.
+
+    `counts` may be 0: such a place is only looked up.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, code, first: tuple[np.ndarray, np.ndarray]) -> None:
+        length, node, bit = code
+        symbol = _symbols(keys)
+        ats, names, bits = [], [], []
+        for depth in range(node.shape[1]):
+            on = np.flatnonzero(length[symbol] > depth)
+            ats.append(on)
+            names.append((keys[on] & ~_BYTE) | node[symbol[on], depth].astype(np.uint64))
+            bits.append(bit[symbol[on], depth])
+        self.at, self.bit, self.places = np.concatenate(ats), np.concatenate(bits), len(keys)
+        name, self.inverse = np.unique(np.concatenate(names), return_inverse=True)
+        weight = counts[self.at].astype(np.float64)
+        seen = np.bincount(self.inverse, weights=weight, minlength=len(name))
+        ones = np.bincount(self.inverse, weights=weight * self.bit, minlength=len(name))
+        own = (name & _BYTE).astype(np.int64)
+        depth_of = np.zeros(256, dtype=np.int64)
+        for d in range(node.shape[1]):
+            depth_of[node[length > d, d]] = min(d, mixing.DEPTHS - 1)
+        self.depth = depth_of[own]
+        self.ones, self.seen = [], []
+        for order in ORDERS:
+            if order == 1:
+                spot = (name >> np.uint64(48) << np.uint64(8)).astype(np.int64) | own
+                some_ones, some_seen = first[0][spot], first[1][spot]
+            elif order == 6:
+                some_ones, some_seen = ones, seen
+            else:
+                _, to = np.unique(name >> np.uint64(56 - 8 * order) << np.uint64(8) | name & _BYTE, return_inverse=True)
+                some_ones, some_seen = np.bincount(to, weights=ones)[to], np.bincount(to, weights=seen)[to]
+            self.ones.append(some_ones)
+            self.seen.append(some_seen)
+
+    def inputs(self, on=slice(None), less: int = 0, bit: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The orders' values (int16) and the gate of the decisions `on`, with `less` occurrences of `bit` left out."""
+        values = np.stack([mixing.predictions(o[on] - less * bit, s[on] - less) for o, s in zip(self.ones, self.seen, strict=True)])
+        met = np.zeros(values.shape[1], dtype=np.int64)
+        for k, value in enumerate(values):
+            met[value != 0] = k + 1
+        return values, met * mixing.DEPTHS + self.depth[on]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(values, gate, bit, weight) to learn from: each decision that was taken, its own count left out."""
+        made = []
+        for bit in (0, 1):
+            taken = self.ones[-1] if bit else self.seen[-1] - self.ones[-1]
+            on = np.flatnonzero(taken > 0)
+            values, gate = self.inputs(on, 1, bit)
+            made.append((values, gate.astype(np.uint8), np.full(len(on), bit, dtype=np.uint8), taken[on]))
+        return tuple(np.concatenate(parts, axis=-1) for parts in zip(*made, strict=True))
+
+    def losses(self, model: mixing.Model) -> np.ndarray:
+        """Minus the natural logarithm of the probability of each place."""
+        values, gate = self.inputs()
+        z = model.refined(model.mixed(scaled(values), gate), gate).astype(np.float64)
+        loss = np.stack([np.logaddexp(0, z), np.logaddexp(0, -z)])
+        return np.bincount(self.at, weights=loss[self.bit, self.inverse], minlength=self.places)
+
+
+def scaled(values: np.ndarray) -> list[np.ndarray]:
+    return [v.astype(np.float32) * np.float32(1 / 1024) for v in values]
+
+
+def weight_sums(rows, weights: np.ndarray) -> np.ndarray:
+    """By gate: loss, the gradient and the curvature of the weights, of rows of `Decisions.rows`."""
+    values, gate, bit, weight = rows
+    n = len(ORDERS)
+    total = np.zeros((1 + n + n * n, mixing.GATES))
+    for a in range(0, len(gate), 1 << 18):
+        g, w = gate[a : a + (1 << 18)].astype(np.int64), weight[a : a + (1 << 18)]
+        x = [v.astype(np.float64) / 1024 for v in values[:, a : a + (1 << 18)]]
+        z = sum(v * weights[k][g] for k, v in enumerate(x))
+        y = bit[a : a + (1 << 18)]
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        total[0] += np.bincount(g, weights=w * (np.logaddexp(0, z) - y * z), minlength=mixing.GATES)
+        error, bend = w * (y - p), w * p * (1 - p)
+        for k in range(n):
+            total[1 + k] += np.bincount(g, weights=error * x[k], minlength=mixing.GATES)
+            for m in range(k + 1):
+                total[1 + n + k * n + m] += np.bincount(g, weights=bend * x[k] * x[m], minlength=mixing.GATES)
+    return total
+
+
+def map_sums(rows, model: mixing.Model) -> np.ndarray:
+    """By cell of the refining map: the gradient, and a bound on the curvature."""
+    values, gate, bit, weight = rows
+    total = np.zeros((2, model.map.size))
+    for a in range(0, len(gate), 1 << 18):
+        g, w, y = (v[a : a + (1 << 18)] for v in (gate.astype(np.int64), weight, bit))
+        z = model.mixed(scaled(values[:, a : a + (1 << 18)]), g)
+        p = mixing._squash(model.refined(z, g).astype(np.float64))
+        spot = (z + 8.0) * ((mixing.CELLS - 1) / 16)
+        low = spot.astype(np.int64)
+        for step, share in ((0, 1 - (spot - low)), (1, spot - low)):
+            at = g * mixing.CELLS + low + step
+            total[0] += np.bincount(at, weights=0.5 * share * w * (y - p), minlength=model.map.size)
+            total[1] += np.bincount(at, weights=0.25 * share * w * p * (1 - p), minlength=model.map.size)
+    return total
+
+
+def learned(model: mixing.Model, over, weight_passes: int = 8, map_passes: int = 4) -> mixing.Model:
+    """Fit weights, then map. `over(f)` gives the sum of f(rows) over all rows.
+
+    Each gate takes Newton steps, halved where its loss rose; the map takes steps that its curvature bounds. A little
+    curvature of our own keeps what was rarely met near its start.
+    """
+    n = len(ORDERS)
+    start = np.full((n, mixing.GATES), 0.3)
+    best, step, lowest = start.copy(), np.zeros_like(start), np.full(mixing.GATES, np.inf)
+    for _ in range(weight_passes):
+        now = best + step
+        total = over(lambda rows, now=now: weight_sums(rows, now))
+        loss = total[0] + 0.5 * ((now - start) ** 2).sum(axis=0)
+        better = loss < lowest
+        gain = np.where(better & np.isfinite(lowest), lowest - loss, 0).sum()
+        settled = np.isfinite(lowest).all() and better.all() and gain < 1e-6 * max(1.0, loss.sum())
+        lowest = np.where(better, loss, lowest)
+        best = np.where(better, now, best)
+        for g in range(mixing.GATES):
+            if better[g]:
+                bend = total[1 + n :, g].reshape(n, n)
+                bend = bend + bend.T - np.diag(np.diag(bend)) + np.eye(n)
+                step[:, g] = np.linalg.solve(bend, total[1 : 1 + n, g] - (now - start)[:, g])
+            else:
+                step[:, g] /= 2
+        if settled:
+            break
+    model.weights = best.astype(np.float32)
+    for _ in range(map_passes):
+        total = over(lambda rows: map_sums(rows, model))
+        model.map = np.clip(model.map + (total[0] / (total[1] + 1)).reshape(model.map.shape), -12, 12).astype(np.float32)
+    return model

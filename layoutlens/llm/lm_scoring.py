@@ -1,10 +1,12 @@
-"""Language-model scoring: a word base line and a byte model by logistic context mixing (see `mixing`).
+"""Language-model scoring: a word base line and a byte model by logistic context mixing (see `mixing` and `grams`).
 
-Learning covers every training document. Word counts are aggregated in Spark. The byte model's counts are
-gathered in one pass: a task adds its documents to the hashed tables of all orders, the tables (of fixed size) are
-cut into blocks, and the blocks are summed by a shuffle. The mixing weights and the refining map then learn
-online, decision by decision, on a stream of at most STREAM_ROWS training documents, whose own counts are
-left out; the finished model (some 14 MB, fixed) is broadcast.
+Learning covers every training document. Word counts are aggregated in Spark. For the byte model, a task counts the
+distinct places (a byte with the six before it) of its documents, and a shuffle deals them by their last two bytes to shards, one for each
+SHARD_BYTES of training text: what is kept grows with the corpus, and every count is exact. The tree, the mixing weights
+and the refining map are fitted to all training rows: each pass adds up gradients over the decisions of all shards,
+each decision's own count left out. Only the word list, the tree, the table of order 1, weights and map are
+broadcast, all of them of fixed size. Documents are scored in chunks: a chunk sends its distinct places to their shards, which
+send back what each costs, and a document's score is the sum over its places.
 
 Base line without a broadcast that grows: the words at or above a count that at most FREQUENT words
 reach are broadcast, and sum up within the text's own row; the other words are joined with their counts by shuffle and
@@ -22,17 +24,18 @@ import string
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlens.llm import mixing
+from layoutlens.llm import grams, mixing
 from layoutlens.llm.common import materialise, remainder, table
 
 FREQUENT = 100_000
-STREAM_ROWS = 400
-BLOCK = 1 << 15
+SHARD_BYTES, LEAST_SHARDS = 4_000_000, 16
+CHUNK_BYTES = 12_000_000
+MOST_PLACES = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -44,59 +47,121 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
 
-def stream(training: DataFrame, rows: int = STREAM_ROWS) -> list[bytes]:
-    """A bounded sample of training texts, in the order of their hashes."""
-    known = training.filter((F.length("text") < 50_000) & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = known.join(F.broadcast(chosen), "doc_id").toArrow()
-    pairs = sorted(zip(found["doc_id"].to_pylist(), found["text"].to_pylist(), strict=True), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), r))
-    return [t.encode("utf-8", "surrogatepass") for _, t in pairs]
-
-
-def byte_counts(training: DataFrame, code) -> np.ndarray:
-    """The summed tables: decisions seen in the low half of each number, ones in the high half."""
+def gram_counts(training: DataFrame, shards: int) -> DataFrame:
+    """shard, keys, counts (packed, in order of the keys), pairs of every shard's training places."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, some = np.zeros(mixing.SLOTS, dtype=np.int64), False
+        held, more = [], 0
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
-            for run in mixing.texts_of(texts, mixing.CHUNK_BYTES):
-                mixing.count(run, code, own)
-                some = True
-        for k in range(0, mixing.SLOTS if some else 0, BLOCK):
-            part = own[k : k + BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(c, dtype=np.int64) for c in group["counts"]]
-        seen, ones = sum(p & 0xFFFFFFFF for p in parts), sum(p >> 32 for p in parts)
-        # Both halves are scaled down together where a sum would outgrow its half.
-        scale = np.maximum(seen / (1 << 30), 1.0)
-        total = ((ones / scale).astype(np.int64) << 32) + (seen / scale).astype(np.int64)
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "counts": [total.tobytes()]})
-
-    tasks = 2 * training.sparkSession.sparkContext.defaultParallelism
-    parts = training.select("text").coalesce(tasks).mapInArrow(gather, "block bigint, counts binary")
-    summed = parts.groupBy("block").applyInPandas(add, "block bigint, counts binary").toArrow()
-    found = np.zeros(mixing.SLOTS, dtype=np.int64)
-    for k, data in zip(summed["block"].to_pylist(), summed["counts"].to_pylist(), strict=True):
-        part = np.frombuffer(data, dtype=np.int64)
-        found[k : k + len(part)] = part
-    return found
-
-
-def train(training: DataFrame) -> mixing.Model:
-    texts = stream(training)
-    histogram = np.bincount(mixing._LOWER[np.frombuffer(b"".join(texts), dtype=np.uint8)], minlength=257)
-    histogram[mixing.END] = len(texts)
-    code = mixing.huffman(histogram)
-    counts = byte_counts(training, code)
-    ones, seen = (counts >> 32).astype(np.int32), (counts & 0xFFFFFFFF).astype(np.int32)
-    del counts
-    model = mixing.Model(code, mixing.predictions(ones, seen))
-    model.learn(texts, ones, seen)
-    return model
+            for run in mixing.texts_of(texts, grams.PIECE_BYTES):
+                held.append(grams.summed(grams.places(run)[0]))
+                more += len(held[-1][0])
+                # Merged where what came since is as much as what was merged before.
+                if more > max(MOST_PLACES // 2, len(held[0][0])):
+                    held, more = [grams.merged(held)], 0
+                    if len(held[0][0]) > MOST_PLACES:
+                        yield dealt(*held.pop())
+        if held:
+            yield dealt(*grams.merged(held))
+
+    def dealt(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        rows = [(k, grams.packed(keys[at]), grams.packed(counts[at])) for k, at in grams.by_shard(keys, shards)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        keys, counts = grams.merged([(grams.unpacked(k, np.uint64), grams.unpacked(c, np.int64)) for k, c in zip(group["keys"].to_pylist(), group["counts"].to_pylist(), strict=True)])
+        both = grams.pairs(keys, counts)
+        at = np.flatnonzero(both)
+        return pa.table({"shard": group["shard"][:1], "keys": [grams.packed(keys)], "counts": [grams.packed(counts)], "pairs": [np.stack([at, both[at]]).tobytes()]})
+
+    parts = training.select("text").mapInArrow(gather, "shard bigint, keys binary, counts binary")
+    return materialise(parts.groupBy("shard").applyInArrow(add, "shard bigint, keys binary, counts binary, pairs binary"), "lm-grams")
+
+
+def train(counted: DataFrame) -> tuple[mixing.Model, tuple[np.ndarray, np.ndarray]]:
+    """The model, its table of order 1 beside it, of the frame of `gram_counts`."""
+    both = np.zeros(1 << 16, dtype=np.int64)
+    for row in counted.select("pairs").toLocalIterator():
+        at, n = np.frombuffer(row["pairs"], dtype=np.int64).reshape(2, -1)
+        both[at] += n
+    code = mixing.huffman(grams.histogram(both))
+    first = grams.first_order(both, code)
+    model = mixing.Model(code, np.zeros(0, dtype=np.int16))
+    if not both.any():
+        return model, first
+    schema = "x binary, gate binary, bit binary, weight binary"
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
+                rows = grams.Decisions(grams.unpacked(keys.as_py(), np.uint64), grams.unpacked(counts.as_py(), np.int64), code, first).rows()
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(r).tobytes()], pa.binary()) for r in rows], names=["x", "gate", "bit", "weight"])
+
+    decisions = materialise(counted.select("keys", "counts").mapInArrow(decide, schema), "lm-decisions")
+
+    def over(f) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for r in batch.to_pylist():
+                    x, gate, bit, weight = (np.frombuffer(r[c], dtype=t) for c, t in (("x", np.int16), ("gate", np.uint8), ("bit", np.uint8), ("weight", np.float64)))
+                    own = f((x.reshape(len(grams.ORDERS), -1), gate, bit, weight))
+                    total = own if total is None else total + own
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([list(total.shape)], pa.list_(pa.int64()))], names=["total", "shape"])
+
+        total = 0.0
+        for row in decisions.mapInArrow(run, "total binary, shape array<bigint>").collect():
+            total = total + np.frombuffer(row["total"]).reshape(row["shape"])
+        return total
+
+    return grams.learned(model, over), first
+
+
+def costs(asked: DataFrame, counted: DataFrame, shared) -> DataFrame:
+    """chunk, keys, losses of the rows (chunk, shard, keys) of `asked`."""
+
+    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        model, first = shared.value[2:]
+        wanted = [grams.unpacked(k, np.uint64) for k in asked["keys"].to_pylist()]
+        if not wanted:
+            return pa.table({"chunk": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "losses": pa.array([], pa.binary())})
+        parts = [(w, np.zeros(len(w), dtype=np.int64)) for w in wanted]
+        parts += [(grams.unpacked(k, np.uint64), grams.unpacked(c, np.int64)) for k, c in zip(counted["keys"].to_pylist(), counted["counts"].to_pylist(), strict=True)]
+        keys, counts = grams.merged(parts)
+        losses = grams.Decisions(keys, counts, model.code, first).losses(model).astype(np.float32)
+        return pa.table({"chunk": asked["chunk"], "keys": asked["keys"], "losses": pa.array([losses[np.searchsorted(keys, w)].tobytes() for w in wanted], pa.binary())})
+
+    return asked.groupBy("shard").cogroup(counted.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(answer, "chunk bigint, keys binary, losses binary")
+
+
+def chunk_scores(texts: DataFrame, answers: DataFrame) -> DataFrame:
+    """row, score of the rows (chunk, row, text) of `texts`: log10 of the probability of each text with its end."""
+
+    def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.zeros(0, dtype=np.uint64), *[grams.unpacked(k, np.uint64) for k in answers["keys"].to_pylist()]])
+        losses = np.concatenate([np.zeros(0, dtype=np.float32), *[np.frombuffer(v, dtype=np.float32) for v in answers["losses"].to_pylist()]])
+        order = np.argsort(keys)
+        keys, losses = keys[order], losses[order]
+        scores = []
+        for run in mixing.texts_of(texts["text"].to_pylist(), grams.PIECE_BYTES):
+            own, owner = grams.places(run)
+            order = np.argsort(own)
+            own = own[order]
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            cost = losses[np.searchsorted(keys, own[new])]
+            scores.append(np.bincount(owner[order], weights=cost[np.cumsum(new) - 1], minlength=len(run)) / -np.log(10))
+        return pa.table({"row": texts["row"], "score": pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())})
+
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add, "row bigint, score double")
+
+
+def in_pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list]]:
+    texts, ids, at = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()], batch.column(0).to_pylist(), 0
+    for run in mixing.texts_of(texts, grams.PIECE_BYTES):
+        yield run, ids[at : at + len(run)]
+        at += len(run)
 
 
 def score(documents: DataFrame, training: DataFrame) -> DataFrame:
@@ -104,7 +169,8 @@ def score(documents: DataFrame, training: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     counts = materialise(word_counts(training), "lm-counts")
     facts = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("total")).first()
-    ends = training.count()
+    size = training.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    ends, shards = size["n"], max(LEAST_SHARDS, size["bytes"] // SHARD_BYTES)
     distinct, total = facts["n"] + (ends > 0), facts["total"] + ends
     # The least count that at most FREQUENT words reach; there are few different counts, whatever the corpus.
     reached, least = 0, 1 << 62
@@ -113,39 +179,54 @@ def score(documents: DataFrame, training: DataFrame) -> DataFrame:
         if reached > FREQUENT:
             break
         least = row["count"]
+    counted = gram_counts(training, shards)
     frequent = counts.filter(F.col("count") >= least).toArrow()
-    shared = spark.sparkContext.broadcast((frequent["word"].to_pylist(), frequent["count"].to_pylist(), train(training)))
+    shared = spark.sparkContext.broadcast((frequent["word"].to_pylist(), frequent["count"].to_pylist(), *train(counted)))
     denominator = math.log10(total + distinct + 1)
     end_known, end_part = int(ends > 0), math.log10(ends + 1)
 
+    names = ["doc_id", "n_tokens", "n_known", "part", "rare", "n_bytes", "row", "text", "chunk", "shard", "keys"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, numbers, model = shared.value
-        part_of = {w.encode("utf-8", "surrogatepass"): math.log10(c + 1) for w, c in zip(names, numbers, strict=True)}
+        """A row of each text, and for each chunk of texts a row of each shard with the places that it asks for (doc_id to text null)."""
+        part_of = {w.encode("utf-8", "surrogatepass"): math.log10(c + 1) for w, c in zip(*shared.value[:2], strict=True)}
+        row = chunk = TaskContext.get().partitionId() << 33
+        held, held_bytes = [], 0
+
+        def asked() -> pa.RecordBatch:
+            keys, _ = grams.summed(np.concatenate(held))
+            rows = [(*[None] * 8, chunk, k, grams.packed(keys[at])) for k, at in grams.by_shard(keys, shards)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            n_tokens, n_known, parts, rare = [], [], [], []
-            for text in texts:
-                tokens = text.lower().split()
-                found = [part_of[w] for w in tokens if w in part_of]
-                n_tokens.append(len(tokens) + 1)
-                n_known.append(len(found) + end_known)
-                parts.append(sum(found) + end_part)
-                rare.append([w.decode("utf-8", "surrogatepass") for w in tokens if w not in part_of] if len(found) < len(tokens) else [])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(parts, pa.float64()),
-                    pa.array(rare, pa.list_(pa.string())), pa.array(model.score(texts), pa.float64()), pa.array(list(map(len, texts)), pa.int64()),
-                ],
-                names=["doc_id", "n_tokens", "n_known", "part", "rare", "score", "n_bytes"],
-            )
-
-    schema = "doc_id bigint, n_tokens bigint, n_known bigint, part double, rare array<string>, score double, n_bytes bigint"
-    own = documents.select("doc_id", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
-    own = materialise(own, "lm-rows")
+            for texts, ids in in_pieces(batch):
+                if held and held_bytes + sum(map(len, texts)) > CHUNK_BYTES:
+                    yield asked()
+                    held, held_bytes, chunk = [], 0, row
+                held.append(grams.summed(grams.places(texts)[0])[0])
+                held_bytes += sum(map(len, texts))
+                rows = []
+                for doc_id, text in zip(ids, texts, strict=True):
+                    tokens = text.lower().split()
+                    found = [part_of[w] for w in tokens if w in part_of]
+                    rare = [w.decode("utf-8", "surrogatepass") for w in tokens if w not in part_of] if len(found) < len(tokens) else []
+                    rows.append((doc_id, len(tokens) + 1, len(found) + end_known, sum(found) + end_part, rare, len(text), row, text, chunk, None, None))
+                    row += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        if held:
+            yield asked()
+
+    schema = "doc_id bigint, n_tokens bigint, n_known bigint, part double, rare array<string>, n_bytes bigint, row bigint, text binary, chunk bigint, shard bigint, keys binary"
+    every = materialise(documents.select("doc_id", "text").mapInArrow(run, schema), "lm-rows")
+    texts = every.filter(F.col("shard").isNull())
+    own = texts.drop("text", "chunk", "shard", "keys")
+    answers = costs(every.filter(F.col("shard").isNotNull()).select("chunk", "shard", "keys"), counted, shared)
+    scores = chunk_scores(texts.select("chunk", "row", "text"), answers)
     rest = counts.filter(F.col("count") < least)
     joined = own.select("row", F.explode("rare").alias("word")).join(rest, "word")
     summed = joined.groupBy("row").agg(F.sum(F.log10(F.col("count") + 1)).alias("more"), F.count(F.lit(1)).alias("known"))
-    both = own.drop("rare").join(summed, "row", "left")
+    both = own.drop("rare").join(scores, "row").join(summed, "row", "left")
     return both.select(
         "doc_id",
         "n_tokens",

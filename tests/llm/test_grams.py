@@ -1,0 +1,93 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+
+from layoutlens.llm import grams, lm_scoring, mixing
+
+LETTERS = b"abcdefghijklmnopqrstuvwxyz \xc3\xa9"
+
+
+def some_texts(n, size, seed):
+    rng = random.Random(seed)
+    return [bytes(rng.choices(LETTERS, k=rng.randrange(size))) for _ in range(n)]
+
+
+def taken(texts, code):
+    """(order, context, node, bit) of every decision, text by text."""
+    _, node, bit = code
+    length = code[0]
+    for t in texts:
+        symbols = [*t.lower(), mixing.END]
+        for place, s in enumerate(symbols):
+            before = tuple([-1] * 6 + symbols[:place])[-6:]
+            for depth in range(length[s]):
+                for order in grams.ORDERS:
+                    yield order, before[-order:], node[s, depth], bit[s, depth]
+
+
+def fitted_here(texts):
+    keys, counts = grams.summed(grams.places(texts)[0])
+    both = grams.pairs(keys, counts)
+    code = mixing.huffman(grams.histogram(both))
+    return keys, counts, code, grams.first_order(both, code)
+
+
+def test_counts_are_exact_however_many_contexts():
+    texts = [*some_texts(60, 900, 1), b"", b"A bA", b"AAAA"]
+    keys, counts, code, first = fitted_here(texts)
+    seen, ones = Counter(), Counter()
+    for order, before, node, bit in taken(texts, code):
+        seen[order, before, node] += 1
+        ones[order, before, node] += int(bit)
+    # Places of other texts, most of them never met, are looked up among those that were.
+    other, _ = grams.summed(grams.places(some_texts(60, 900, 2))[0])
+    every = grams.merged([(keys, counts), (other, np.zeros(len(other), dtype=np.int64))])
+    decisions = grams.Decisions(*every, code, first)
+    checked, nodes = 0, nodes_of(decisions, every[0], code)
+    for at, to in zip(decisions.at, decisions.inverse, strict=True):
+        key = int(every[0][at])
+        before = tuple(-1 if b == grams.BEFORE else b for b in (key >> 8).to_bytes(6, "little"))
+        for k, order in enumerate(grams.ORDERS):
+            node = int(nodes[to])
+            assert (decisions.seen[k][to], decisions.ones[k][to]) == (seen[order, before[-order:], node], ones[order, before[-order:], node])
+            checked += 1
+    assert checked > 100_000
+    met = decisions.inputs()[1] // mixing.DEPTHS
+    assert ((met == len(grams.ORDERS)) == (decisions.seen[-1] > 0)).all() and (met < len(grams.ORDERS)).mean() > 0.3
+
+
+def nodes_of(decisions, keys, code):
+    """The node of every distinct decision."""
+    symbols = grams._symbols(keys)
+    depth = np.concatenate([np.full(int((code[0][symbols] > d).sum()), d) for d in range(code[1].shape[1])])
+    found = np.zeros(len(decisions.depth), dtype=np.int64)
+    found[decisions.inverse] = code[1][symbols[decisions.at], depth]
+    return found
+
+
+def test_table_grows_where_hashed_slots_were_full():
+    """More decisions than a fixed table had slots: contexts never seen must still be told from those seen."""
+    rng = np.random.default_rng(3)
+    texts = [rng.choice(np.frombuffer(LETTERS, dtype=np.uint8), 600_000).tobytes()]
+    keys, counts, code, first = fitted_here(texts)
+    other, _ = grams.summed(grams.places([rng.choice(np.frombuffer(LETTERS, dtype=np.uint8), 20_000).tobytes()])[0])
+    other = other[~np.isin(other >> np.uint64(8), keys >> np.uint64(8))]
+    every = grams.merged([(keys, counts), (other, np.zeros(len(other), dtype=np.int64))])
+    decisions = grams.Decisions(*every, code, first)
+    assert (decisions.seen[-1] > 0).sum() > 1 << 21
+    asked = np.isin(every[0][decisions.at], other)
+    assert (decisions.inputs()[1][decisions.inverse[asked]] // mixing.DEPTHS < len(grams.ORDERS)).all()
+
+
+def test_scores_are_those_of_one_shard_and_chunk(spark, make_documents, monkeypatch):
+    texts = [t.decode("utf-8", "replace") for t in some_texts(60, 400, 4)]
+    documents = make_documents([(k, t) for k, t in enumerate([*texts, "", None, texts[0]])]).select("doc_id", "text").repartition(3)
+    training = documents.filter("doc_id % 3 <> 1").na.fill("", ["text"])
+    want = {r.doc_id: r.score for r in lm_scoring.score(documents, training).collect()}
+    for name, value in (("LEAST_SHARDS", 1), ("CHUNK_BYTES", 1_000), ("MOST_PLACES", 50)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    monkeypatch.setattr(grams, "PIECE_BYTES", 700)
+    found = {r.doc_id: r.score for r in lm_scoring.score(documents, training).collect()}
+    assert len(want) == 63 and all(math.isclose(found[k], v, rel_tol=1e-4, abs_tol=1e-4) for k, v in want.items())
