@@ -91,3 +91,18 @@ def test_scores_are_those_of_one_shard_and_chunk(spark, make_documents, monkeypa
     monkeypatch.setattr(grams, "PIECE_BYTES", 700)
     found = {r.doc_id: r.score for r in lm_scoring.score(documents, training).collect()}
     assert len(want) == 63 and all(math.isclose(found[k], v, rel_tol=1e-4, abs_tol=1e-4) for k, v in want.items())
+
+
+def test_weights_learn_from_every_row(spark, make_documents):
+    """Long texts, and more rows than a sample held, all reach the weights and the map."""
+    texts = [t.decode("utf-8", "replace") for t in some_texts(450, 60, 5)] + ["the cat sat on the mat. " * 3_000]
+    training = make_documents(list(enumerate(texts))).select("doc_id", "text").repartition(3)
+    model, _ = lm_scoring.train(lm_scoring.gram_counts(training, 16))
+    keys, counts, code, first = fitted_here([t.encode() for t in texts])
+    rows = grams.Decisions(keys, counts, code, first).rows()
+    assert rows[3].sum() == sum(int(code[0][s]) for t in texts for s in [*t.encode().lower(), mixing.END])
+    want = grams.learned(mixing.Model(code, np.zeros(0, dtype=np.int16)), lambda f: f(rows))
+    assert np.allclose(model.weights, want.weights, atol=1e-3) and np.allclose(model.map, want.map, atol=1e-2)
+    start = np.full((len(grams.ORDERS), mixing.GATES), 0.3)
+    assert grams.weight_sums(rows, model.weights.astype(float))[0].sum() < 0.98 * grams.weight_sums(rows, start)[0].sum()
+    assert (np.abs(model.weights[:, -1] - 0.3) > 0.01).any()
