@@ -200,13 +200,11 @@ def _session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edits that typing the conversations causes, every other one in the wrong layout."""
-    own = session.load_lexicon(lexicon(spark, sf_dir), priors(spark, sf_dir))
-    return session.repair_sessions(_session_events(spark, sf_dir), own)
+    return session.repair(_session_events(spark, sf_dir), lexicon(spark, sf_dir), priors(spark, sf_dir))
 
 
 def session_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = session.load_lexicon(lexicon(spark, sf_dir), priors(spark, sf_dir))
-    return session.repair_sessions(_session_events(spark, sf_dir), own, counters=True)
+    return session.repair(_session_events(spark, sf_dir), lexicon(spark, sf_dir), priors(spark, sf_dir), counters=True)
 
 
 flagship = word_repair
