@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -34,17 +35,75 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def materialise(frame: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = frame.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return Scratch(frame.sparkSession).keep(frame, label)
 
 
-def labelled_sample(spark: SparkSession, sf_dir: str, label: str, most: dict[int, int], modulus: int = 5, most_chars: int = 100_000) -> list[tuple[str, int]]:
+class Scratch:
+    """Tables that one run of an operator writes to the shared folder, and drops as soon as nothing reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+        self.root = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+    def keep(self, frame: DataFrame, label: str) -> DataFrame:
+        """Write a frame and read it back: cuts lineage, survives lost executors."""
+        path = f"{self.root}/{label}-{len(self.paths)}"
+        self.paths[path] = label
+        frame.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def drop(self, *but: str) -> None:
+        """Delete all tables written so far but those of the labels `but`."""
+        for path in [p for p, label in self.paths.items() if label not in but]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            del self.paths[path]
+
+
+def runs_of(texts, size: int, *more):
+    """Ranges (from, to) of rows of an Arrow array (with the arrays `more` beside it) with some `size` bytes of text; a longer row is a range of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = [pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (texts, *more)]
+    ends = np.cumsum(sum(lengths))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield a, b
+        a = b
+
+
+def trim() -> None:
+    """Give memory that is no longer used back to the system, where the platform can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def released(run):
+    """A function over Arrow batches after which its worker gives its memory back.
+
+    Workers outlive their tasks, so what one stage held would otherwise still count in the next. (Functions over groups
+    call `trim` themselves: Spark wants to see their arguments.)
+    """
+
+    def over(batches):
+        yield from run(batches)
+        trim()
+
+    return over
+
+
+def labelled_sample(spark: SparkSession, sf_dir: str, label: str, most: dict[int, int], modulus: int = 5) -> list[tuple[str, int]]:
     """Texts with their labels, of rows whose remainder is not 0, for fitting a model on the driver.
 
-    Bounded: at most `most[value]` rows of each label value, those of least hash of the id, and of these
-    the texts of up to `most_chars` code points. The order is fixed by the same hash.
+    Bounded: at most `most[value]` ids of each label value, those of least hash, and of their texts as many as ids at
+    most, in the order of a hash of id and text, whatever ids repeat. Texts come whole.
     """
     rows = table(spark, sf_dir, "labels").filter((remainder(F.col("doc_id"), modulus) != 0) & F.col("doc_id").isNotNull())
     rank = F.xxhash64("doc_id")
@@ -53,9 +112,9 @@ def labelled_sample(spark: SparkSession, sf_dir: str, label: str, most: dict[int
         part = rows.filter(F.col(label) == value).select("doc_id", F.lit(value).alias("label")).distinct().orderBy(rank, "doc_id").limit(limit)
         chosen = part if chosen is None else chosen.union(part)
     texts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.filter(F.length("text") <= most_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow()
-    order = sorted(zip(*(found[c].to_pylist() for c in ("doc_id", "text", "label")), strict=True), key=lambda r: (hash_of(r[0]), r[0], r[1], r[2]))
-    return [(text, value) for _, text, value in order]
+    joined = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "label").limit(sum(most.values()))
+    found = joined.select("text", "label").toArrow()
+    return list(zip(found["text"].to_pylist(), found["label"].to_pylist(), strict=True))
 
 
 def label_shares(spark: SparkSession, sf_dir: str, label: str, rows: int, modulus: int = 5) -> dict[int, int]:
@@ -64,8 +123,3 @@ def label_shares(spark: SparkSession, sf_dir: str, label: str, rows: int, modulu
     found = {r[label]: r["count"] for r in labels.filter(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     total = sum(found.values())
     return {value: -(-rows * n // max(rows, total)) for value, n in sorted(found.items())} or {0: 0, 1: 0}
-
-
-def hash_of(doc_id: int) -> int:
-    """A fixed order that has nothing to do with that of the ids."""
-    return (doc_id * 0x9E3779B97F4A7C15 ^ doc_id >> 7) % (1 << 64) * 0xD6E8FEB86659FD93 % (1 << 64)

@@ -1,26 +1,29 @@
-"""Language-model scoring: a word base line and a byte model by logistic context mixing (see `mixing` and `grams`).
+"""Language-model scoring: a word base line and a byte model by logistic context mixing (see `mixing`).
 
-Learning covers every training document. Word counts are aggregated in Spark. For the byte model, a task counts the
-distinct places (a byte with the six before it) of its documents, and a shuffle deals them by their last two bytes to shards, one for each
-SHARD_BYTES of training text: what is kept grows with the corpus, and every count is exact. The tree, the mixing weights
-and the refining map are fitted to all training rows: each pass adds up gradients over the decisions of all shards,
-each decision's own count left out. Only the word list, the tree, the table of order 1, weights and map are
-broadcast, all of them of fixed size. Documents are scored in chunks: a chunk sends its distinct places to their shards, which
-send back what each costs, and a document's score is the sum over its places.
+Learning covers every training document; nothing is sampled, and nothing that is kept has a fixed size but order 1 and the tree:
 
-Base line without a broadcast that grows: the words at or above a count that at most FREQUENT words
-reach are broadcast, and sum up within the text's own row; the other words are joined with their counts by shuffle and
-summed back by row, so every count is exact.
+1. One pass over the documents makes chunks of CHUNK_BYTES of text. A chunk lists its distinct places (a byte with the six before
+   it) with their training counts, and its distinct words (as hashes of 63 bits) with theirs.
+2. The lists are dealt to shards, one for each SHARD_PLACES of them, by hash of the last two bytes of a context, words by their
+   own hash. Contexts that hold too much for one shard, as counted over all chunks, are dealt by three to six bytes
+   (their orders up to the split then count what their shard has).
+3. A shard adds the counts of all chunks up, learns its weights and its refining map from all its training decisions, and sends
+   back to each chunk what its places cost and how often its words occur, in the order of the chunk's own list.
+4. A chunk adds up its texts' places and words.
+
+So what is gathered from the corpus grows with it, in the number of shards alone; a task holds one shard or one chunk.
+Broadcast are the tree with the table of order 1 (256 x 256 counts) and the marks of split contexts (at most
+len(LEVELS) x SPLIT_SHARE): both of a fixed size. Texts and lists travel compressed.
 
 Edge cases: null texts count as empty and have one token, the end; a null doc_id counts as the text '' for the
-split; without training documents all counts are 0 and so is the base score; repeated rows get a row each;
-extra columns are not read. Texts are read whole; a long one is a chunk of its own.
+split; without training documents all counts are 0 and so is the base score, and every place costs what the start of the
+model gives it; repeated rows get a row each; extra columns are not read, whatever their names. Texts are read whole, a long one in
+pieces that know the bytes before them.
 """
 
 from __future__ import annotations
 
 import math
-import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,219 +32,259 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlens.llm import grams, mixing
-from layoutlens.llm.common import materialise, remainder, table
+from layoutlens.llm import mixing
+from layoutlens.llm.common import Scratch, released, remainder, runs_of, table, trim
 
-FREQUENT = 100_000
-SHARD_BYTES, LEAST_SHARDS = 4_000_000, 16
-CHUNK_BYTES = 12_000_000
-MOST_PLACES = 2_000_000
+CHUNK_BYTES = 10_000_000
+SHARD_PLACES, LEAST_SHARDS = 600_000, 16
+#: A context is split where it holds more than a shard's places and than this part of all.
+SPLIT_SHARE = 1_024
+_INTS, _BLOB, _MANY = pa.int64(), pa.binary(), pa.list_(pa.int64())
+#: Rows of texts (chunk to texts: a run of texts, compressed) and of chunks (lists from keys on).
+_CHUNKS = pa.schema(
+    [("chunk", _INTS), ("doc_ids", _MANY), ("sizes", _MANY), ("texts", _BLOB), ("keys", _BLOB), ("counts", _BLOB), ("words", _BLOB), ("word_counts", _BLOB)]
+    + [("marks", _MANY), ("marked", _MANY), ("n_words", _INTS), ("n_places", _INTS)]
+)
+_CHUNKS_DDL = "chunk bigint, doc_ids array<bigint>, sizes array<bigint>, texts binary, keys binary, counts binary, words binary, word_counts binary, marks array<bigint>, marked array<bigint>, n_words bigint, n_places bigint"
+_DEALT = pa.schema([("shard", _INTS), ("chunk", _INTS), ("keys", _BLOB), ("counts", _BLOB), ("words", _BLOB), ("word_counts", _BLOB)])
+_DEALT_DDL = "shard bigint, chunk bigint, keys binary, counts binary, words binary, word_counts binary"
+_ANSWERS_DDL = "shard bigint, chunk bigint, losses binary, word_counts binary, n_distinct bigint"
+_SCORES_DDL = "doc_id bigint, n_tokens bigint, n_known bigint, part double, score double, n_bytes bigint, n_distinct bigint"
 
 
-def words(text: Column) -> Column:
-    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.array_remove(F.split(low, r"[\x20\x09-\x0D]+"), "")
+def _pressed(data: bytes) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
-def word_counts(training: DataFrame) -> DataFrame:
-    return training.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
+def _open(data: bytes) -> bytes:
+    import zstandard
 
-def gram_counts(training: DataFrame, shards: int) -> DataFrame:
-    """shard, keys, counts (packed, in order of the keys), pairs of every shard's training places."""
+    return zstandard.ZstdDecompressor().decompress(data)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, more = [], 0
-        for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
-            for run in mixing.texts_of(texts, grams.PIECE_BYTES):
-                held.append(grams.summed(grams.places(run)[0]))
-                more += len(held[-1][0])
-                # Merged where what came since is as much as what was merged before.
-                if more > max(MOST_PLACES // 2, len(held[0][0])):
-                    held, more = [grams.merged(held)], 0
-                    if len(held[0][0]) > MOST_PLACES:
-                        yield dealt(*held.pop())
-        if held:
-            yield dealt(*grams.merged(held))
-
-    def dealt(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        rows = [(k, grams.packed(keys[at]), grams.packed(counts[at])) for k, at in grams.by_shard(keys, shards)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "counts"])
-
-    def add(group: pa.Table) -> pa.Table:
-        keys, counts = grams.merged([(grams.unpacked(k, np.uint64), grams.unpacked(c, np.int64)) for k, c in zip(group["keys"].to_pylist(), group["counts"].to_pylist(), strict=True)])
-        both = grams.pairs(keys, counts)
-        at = np.flatnonzero(both)
-        return pa.table({"shard": group["shard"][:1], "keys": [grams.packed(keys)], "counts": [grams.packed(counts)], "pairs": [np.stack([at, both[at]]).tobytes()]})
-
-    parts = training.select("text").mapInArrow(gather, "shard bigint, keys binary, counts binary")
-    return materialise(parts.groupBy("shard").applyInArrow(add, "shard bigint, keys binary, counts binary, pairs binary"), "lm-grams")
-
-
-def train(counted: DataFrame) -> tuple[mixing.Model, tuple[np.ndarray, np.ndarray]]:
-    """The model, its table of order 1 beside it, of the frame of `gram_counts`."""
-    both = np.zeros(1 << 16, dtype=np.int64)
-    for row in counted.select("pairs").toLocalIterator():
-        at, n = np.frombuffer(row["pairs"], dtype=np.int64).reshape(2, -1)
-        both[at] += n
-    code = mixing.huffman(grams.histogram(both))
-    first = grams.first_order(both, code)
-    model = mixing.Model(code, np.zeros(0, dtype=np.int16))
-    if not both.any():
-        return model, first
-    schema = "x binary, gate binary, bit binary, weight binary"
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
-                rows = grams.Decisions(grams.unpacked(keys.as_py(), np.uint64), grams.unpacked(counts.as_py(), np.int64), code, first).rows()
-                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(r).tobytes()], pa.binary()) for r in rows], names=["x", "gate", "bit", "weight"])
-
-    decisions = materialise(counted.select("keys", "counts").mapInArrow(decide, schema), "lm-decisions")
-
-    def over(f) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                for r in batch.to_pylist():
-                    x, gate, bit, weight = (np.frombuffer(r[c], dtype=t) for c, t in (("x", np.int16), ("gate", np.uint8), ("bit", np.uint8), ("weight", np.float64)))
-                    own = f((x.reshape(len(grams.ORDERS), -1), gate, bit, weight))
-                    total = own if total is None else total + own
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([list(total.shape)], pa.list_(pa.int64()))], names=["total", "shape"])
-
-        total = 0.0
-        for row in decisions.mapInArrow(run, "total binary, shape array<bigint>").collect():
-            total = total + np.frombuffer(row["total"]).reshape(row["shape"])
-        return total
-
-    return grams.learned(model, over), first
-
-
-def costs(asked: DataFrame, counted: DataFrame, shared) -> DataFrame:
-    """chunk, keys, losses of the rows (chunk, shard, keys) of `asked`."""
-
-    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        model, first = shared.value[2:]
-        wanted = [grams.unpacked(k, np.uint64) for k in asked["keys"].to_pylist()]
-        if not wanted:
-            return pa.table({"chunk": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "losses": pa.array([], pa.binary())})
-        parts = [(w, np.zeros(len(w), dtype=np.int64)) for w in wanted]
-        parts += [(grams.unpacked(k, np.uint64), grams.unpacked(c, np.int64)) for k, c in zip(counted["keys"].to_pylist(), counted["counts"].to_pylist(), strict=True)]
-        keys, counts = grams.merged(parts)
-        losses = grams.Decisions(keys, counts, model.code, first).losses(model).astype(np.float32)
-        return pa.table({"chunk": asked["chunk"], "keys": asked["keys"], "losses": pa.array([losses[np.searchsorted(keys, w)].tobytes() for w in wanted], pa.binary())})
-
-    return asked.groupBy("shard").cogroup(counted.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(answer, "chunk bigint, keys binary, losses binary")
-
-
-def chunk_scores(texts: DataFrame, answers: DataFrame) -> DataFrame:
-    """row, score of the rows (chunk, row, text) of `texts`: log10 of the probability of each text with its end."""
-
-    def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.zeros(0, dtype=np.uint64), *[grams.unpacked(k, np.uint64) for k in answers["keys"].to_pylist()]])
-        losses = np.concatenate([np.zeros(0, dtype=np.float32), *[np.frombuffer(v, dtype=np.float32) for v in answers["losses"].to_pylist()]])
-        order = np.argsort(keys)
-        keys, losses = keys[order], losses[order]
-        scores = []
-        for run in mixing.texts_of(texts["text"].to_pylist(), grams.PIECE_BYTES):
-            own, owner = grams.places(run)
-            order = np.argsort(own)
-            own = own[order]
-            new = np.concatenate([[True], own[1:] != own[:-1]])
-            cost = losses[np.searchsorted(keys, own[new])]
-            scores.append(np.bincount(owner[order], weights=cost[np.cumsum(new) - 1], minlength=len(run)) / -np.log(10))
-        return pa.table({"row": texts["row"], "score": pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())})
-
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add, "row bigint, score double")
-
-
-def in_pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list]]:
-    texts, ids, at = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()], batch.column(0).to_pylist(), 0
-    for run in mixing.texts_of(texts, grams.PIECE_BYTES):
-        yield run, ids[at : at + len(run)]
-        at += len(run)
-
-
-def score(documents: DataFrame, training: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every row of `documents`."""
-    spark = documents.sparkSession
-    counts = materialise(word_counts(training), "lm-counts")
-    facts = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("total")).first()
-    size = training.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    ends, shards = size["n"], max(LEAST_SHARDS, size["bytes"] // SHARD_BYTES)
-    distinct, total = facts["n"] + (ends > 0), facts["total"] + ends
-    # The least count that at most FREQUENT words reach; there are few different counts, whatever the corpus.
-    reached, least = 0, 1 << 62
-    for row in counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).toLocalIterator():
-        reached += row["n"]
-        if reached > FREQUENT:
-            break
-        least = row["count"]
-    counted = gram_counts(training, shards)
-    frequent = counts.filter(F.col("count") >= least).toArrow()
-    shared = spark.sparkContext.broadcast((frequent["word"].to_pylist(), frequent["count"].to_pylist(), *train(counted)))
-    denominator = math.log10(total + distinct + 1)
-    end_known, end_part = int(ends > 0), math.log10(ends + 1)
-
-    names = ["doc_id", "n_tokens", "n_known", "part", "rare", "n_bytes", "row", "text", "chunk", "shard", "keys"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of each text, and for each chunk of texts a row of each shard with the places that it asks for (doc_id to text null)."""
-        part_of = {w.encode("utf-8", "surrogatepass"): math.log10(c + 1) for w, c in zip(*shared.value[:2], strict=True)}
-        row = chunk = TaskContext.get().partitionId() << 33
-        held, held_bytes = [], 0
+def _keys_out(keys: np.ndarray) -> bytes:
+    return _pressed(mixing.packed(keys))
+
+
+def _keys_in(data: bytes) -> np.ndarray:
+    return mixing.unpacked(_open(data))
+
+
+def _counts_out(counts: np.ndarray) -> bytes:
+    return _pressed(mixing.packed_counts(counts))
+
+
+def _counts_in(data: bytes) -> np.ndarray:
+    return mixing.unpacked_counts(_open(data))
+
+
+def _losses_out(losses: np.ndarray) -> bytes:
+    """Steps of 1/2048 (or larger, where the largest loss needs it) in 16 bits, as planes of bytes, the step first."""
+    step = max(1 / 2048, float(losses.max(initial=0.0)) / 65_535)
+    whole = np.round(losses / step).astype("<u2")
+    return _pressed(np.float64(step).tobytes() + np.ascontiguousarray(whole.view(np.uint8).reshape(-1, 2).T).tobytes())
 
-        def asked() -> pa.RecordBatch:
-            keys, _ = grams.summed(np.concatenate(held))
-            rows = [(*[None] * 8, chunk, k, grams.packed(keys[at])) for k, at in grams.by_shard(keys, shards)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+def _losses_in(data: bytes) -> np.ndarray:
+    raw = _open(data)
+    planes = np.frombuffer(raw, dtype=np.uint8, offset=8).reshape(2, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u2") * np.frombuffer(raw, dtype=np.float64, count=1)
+
+
+class Chunk:
+    """The places and words of some texts, and which of them are learned from."""
+
+    def __init__(self) -> None:
+        self.size, self.places, self.words = 0, [], []
+
+    def add(self, texts: list[bytes], learn: list[bool]) -> None:
+        for owner, run in mixing.segments(texts):
+            keys, of = mixing.places(run)
+            self.places.append(mixing.marked(keys, np.array([learn[k] for k in owner])[of]))
+        words, n = mixing.words(texts)
+        self.words.append(mixing.marked(words, np.repeat(np.array(learn), n)))
+        self.size += sum(map(len, texts))
+
+    def row(self, chunk: int, ends: int) -> pa.RecordBatch:
+        (keys, counts), (words, word_counts) = mixing.taught(self.places), mixing.taught(self.words)
+        marks, sizes = mixing.heavy(keys)
+        pairs = np.bincount((mixing.context(keys, 1) << np.uint64(8) | keys & np.uint64(255)).astype(np.int64), weights=counts, minlength=1 << 16).astype(np.int64)
+        some = np.flatnonzero(pairs)
+        row = {
+            "chunk": chunk, "keys": _keys_out(keys), "counts": _counts_out(counts), "words": _keys_out(words), "word_counts": _counts_out(word_counts),
+            "marks": np.concatenate([some, marks]).tolist(), "marked": np.concatenate([pairs[some], sizes]).tolist(), "n_words": int(word_counts.sum()) + ends, "n_places": len(keys),
+        }
+        return pa.RecordBatch.from_pylist([row], schema=_CHUNKS)
+
+
+def chunks(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of the rows (doc_id, text, learn): rows of texts, and one of each chunk of texts (`keys` not null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number, ends = Chunk(), TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            for a, b in runs_of(batch.column(1), mixing.PIECE_BYTES):
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).slice(a, b - a).to_pylist()]
+                learn = batch.column(2).slice(a, b - a).to_pylist()
+                if own.size and own.size + sum(map(len, texts)) > CHUNK_BYTES:
+                    yield own.row(number, ends)
+                    own, number, ends = Chunk(), number + 1, 0
+                own.add(texts, learn)
+                ends += sum(learn)
+                row = {"chunk": number, "doc_ids": batch.column(0).slice(a, b - a).to_pylist(), "sizes": list(map(len, texts)), "texts": _pressed(b"".join(texts))}
+                yield pa.RecordBatch.from_pylist([row], schema=_CHUNKS)
+        if own.places:
+            yield own.row(number, ends)
+
+    return scratch.keep(documents.select("doc_id", "text", "learn").mapInArrow(released(run), _CHUNKS_DDL), "chunks")
+
+
+def shares(keys: np.ndarray, words: np.ndarray, shards: int, split: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, the places of `keys` and the words that it gets) of a chunk's lists, by shard."""
+    nothing = np.zeros(0, dtype=np.int64)
+    places = dict(mixing.by_shard(mixing.dealt(keys, shards, split)))
+    spoken = dict(mixing.by_shard((words % np.uint64(shards)).astype(np.int64)))
+    for shard in sorted(places.keys() | spoken.keys()):
+        yield shard, places.get(shard, nothing), spoken.get(shard, nothing)
+
+
+def dealt(listed: DataFrame, shards: int, split: np.ndarray) -> DataFrame:
+    """The lists of all chunks, cut into what each shard gets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts, ids in in_pieces(batch):
-                if held and held_bytes + sum(map(len, texts)) > CHUNK_BYTES:
-                    yield asked()
-                    held, held_bytes, chunk = [], 0, row
-                held.append(grams.summed(grams.places(texts)[0])[0])
-                held_bytes += sum(map(len, texts))
-                rows = []
-                for doc_id, text in zip(ids, texts, strict=True):
-                    tokens = text.lower().split()
-                    found = [part_of[w] for w in tokens if w in part_of]
-                    rare = [w.decode("utf-8", "surrogatepass") for w in tokens if w not in part_of] if len(found) < len(tokens) else []
-                    rows.append((doc_id, len(tokens) + 1, len(found) + end_known, sum(found) + end_part, rare, len(text), row, text, chunk, None, None))
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-        if held:
-            yield asked()
-
-    schema = "doc_id bigint, n_tokens bigint, n_known bigint, part double, rare array<string>, n_bytes bigint, row bigint, text binary, chunk bigint, shard bigint, keys binary"
-    every = materialise(documents.select("doc_id", "text").mapInArrow(run, schema), "lm-rows")
-    texts = every.filter(F.col("shard").isNull())
-    own = texts.drop("text", "chunk", "shard", "keys")
-    answers = costs(every.filter(F.col("shard").isNotNull()).select("chunk", "shard", "keys"), counted, shared)
-    scores = chunk_scores(texts.select("chunk", "row", "text"), answers)
-    rest = counts.filter(F.col("count") < least)
-    joined = own.select("row", F.explode("rare").alias("word")).join(rest, "word")
-    summed = joined.groupBy("row").agg(F.sum(F.log10(F.col("count") + 1)).alias("more"), F.count(F.lit(1)).alias("known"))
-    both = own.drop("rare").join(scores, "row").join(summed, "row", "left")
-    return both.select(
+            for r in batch.to_pylist():
+                keys, counts, words, word_counts = _keys_in(r["keys"]), _counts_in(r["counts"]), _keys_in(r["words"]), _counts_in(r["word_counts"])
+                rows = [
+                    (shard, r["chunk"], _keys_out(keys[at]), _counts_out(counts[at]), _keys_out(words[to]), _counts_out(word_counts[to]))
+                    for shard, at, to in shares(keys, words, shards, split)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DEALT, strict=True)], schema=_DEALT)
+
+    return listed.select("chunk", "keys", "counts", "words", "word_counts").mapInArrow(released(run), _DEALT_DDL)
+
+
+def answers(rows: DataFrame, common) -> DataFrame:
+    """For each shard and chunk what the chunk's places cost and how often its words occur in training.
+
+    n_distinct, the number of a shard's words that do occur, stands in one of its rows.
+    """
+
+    def answer(rows: pa.Table) -> pa.Table:
+        asked = rows.to_pylist()
+        wanted, spoken = [_keys_in(r["keys"]) for r in asked], [_keys_in(r["words"]) for r in asked]
+        keys, counts = mixing.merged([(k, _counts_in(r["counts"])) for k, r in zip(wanted, asked, strict=True)])
+        losses = mixing.costs(keys, counts, common.value)
+        words, total = mixing.merged([(w, _counts_in(r["word_counts"])) for w, r in zip(spoken, asked, strict=True)])
+        found = pa.table(
+            {
+                "shard": rows["shard"],
+                "chunk": rows["chunk"],
+                "losses": pa.array([_losses_out(losses[np.searchsorted(keys, k)]) for k in wanted], _BLOB),
+                "word_counts": pa.array([_counts_out(total[np.searchsorted(words, w)]) for w in spoken], _BLOB),
+                "n_distinct": pa.array([int((total > 0).sum()), *[0] * (len(asked) - 1)], _INTS),
+            }
+        )
+        trim()
+        return found
+
+    return rows.groupBy("shard").applyInArrow(answer, _ANSWERS_DDL)
+
+
+def _texts(row: dict) -> list[bytes]:
+    data, stops = _open(row["texts"]), np.cumsum(row["sizes"])
+    return [data[b - size : b] for b, size in zip(stops.tolist(), row["sizes"], strict=True)]
+
+
+def chunk_scores(texts: DataFrame, answered: DataFrame, shards: int, split: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, n_known, part, score, n_bytes of every text, and n_distinct of the chunk's answers on one of its rows.
+
+    `part` is the sum of log10(c + 1) over a text's words without its end, `score` log10 of the probability of the text
+    with its end.
+    """
+
+    def add(texts: pa.Table, answered: pa.Table) -> pa.Table:
+        # The chunk's lists are made again from its texts, which is cheaper than to send them once more.
+        runs, keys, spoken = texts.to_pylist(), [], []
+        for r in runs:
+            found = _texts(r)
+            keys += [mixing.distinct(mixing.places(run)[0]) for _, run in mixing.segments(found)]
+            spoken.append(mixing.distinct(mixing.words(found)[0]))
+        keys, spoken = mixing.distinct(np.concatenate(keys)), mixing.distinct(np.concatenate(spoken))
+        of = {r["shard"]: r for r in answered.to_pylist()}
+        losses, logs = np.zeros(len(keys)), np.zeros(len(spoken))
+        for shard, at, to in shares(keys, spoken, shards, split):
+            losses[at] = _losses_in(of[shard]["losses"])
+            logs[to] = np.log10(_counts_in(of[shard]["word_counts"]) + 1.0)
+        place, word = mixing.Found(keys), mixing.Found(spoken)
+        rows = {name: [] for name in ("doc_id", "n_tokens", "n_known", "part", "score", "n_bytes")}
+        for r in runs:
+            found, n = _texts(r), len(r["sizes"])
+            score = np.zeros(n)
+            for owner, run in mixing.segments(found):
+                numbers, segment = mixing.places(run)
+                np.add.at(score, owner, np.bincount(segment, weights=losses[place(numbers)], minlength=len(owner)))
+            words, sizes = mixing.words(found)
+            log, text = logs[word(words)] if len(words) else np.zeros(0), np.repeat(np.arange(n), sizes)
+            rows["doc_id"].append(pa.array(r["doc_ids"], _INTS))
+            rows["n_tokens"].append(sizes + 1)
+            rows["n_known"].append(np.bincount(text, weights=log > 0, minlength=n).astype(np.int64))
+            rows["part"].append(np.bincount(text, weights=log, minlength=n).astype(np.float64))
+            rows["score"].append(score / -math.log(10))
+            rows["n_bytes"].append(np.array(r["sizes"], dtype=np.int64))
+        made = {name: pa.chunked_array(parts) for name, parts in rows.items()}
+        n = len(made["doc_id"])
+        made["n_distinct"] = pa.array([sum(r["n_distinct"] for r in of.values()), *[0] * (n - 1)], _INTS)
+        trim()
+        return pa.table(made)
+
+    return texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(add, _SCORES_DDL)
+
+
+def score(documents: DataFrame, learn: Column) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every row of `documents` (doc_id, text).
+
+    The rows for which `learn` holds are the training documents.
+    """
+    spark = documents.sparkSession
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))
+    scratch = Scratch(spark)
+    every = chunks(rows, scratch)
+    listed = every.filter(F.col("keys").isNotNull())
+    facts = listed.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("total"), F.coalesce(F.sum("n_places"), F.lit(0)).alias("places")).first()
+    shards = max(LEAST_SHARDS, -(-facts["places"] // SHARD_PLACES))
+    least = max(SHARD_PLACES, facts["places"] // SPLIT_SHARE)
+    marks = listed.select(F.explode(F.arrays_zip("marks", "marked")).alias("m")).groupBy("m.marks").agg(F.sum("m.marked").alias("n"))
+    pairs, marked = np.zeros((256, 256)), []
+    for mark, n in marks.filter((F.col("marks") < 1 << 16) | (F.col("n") > least)).collect():
+        if mark < 1 << 16:
+            pairs.flat[mark] = n
+        else:
+            marked.append(mark)
+    split = np.array(sorted(marked), dtype=np.int64)
+    common = spark.sparkContext.broadcast(mixing.Common(pairs))
+    answered = answers(dealt(listed, shards, split), common)
+    texts = every.filter(F.col("texts").isNotNull()).select("chunk", "doc_ids", "sizes", "texts")
+    # Some 50 bytes a document, and complete only with the numbers of words of all shards.
+    scores = scratch.keep(chunk_scores(texts, answered, shards, split), "scores")
+    scratch.drop("scores")
+    total, ends = facts["total"], int(pairs[:, mixing.END].sum())
+    distinct = (scores.agg(F.coalesce(F.sum("n_distinct"), F.lit(0)).alias("n")).first()["n"]) + (ends > 0)
+    return scores.select(
         "doc_id",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + int(ends > 0)).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("part") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * denominator).alias("base_score"),
+        (F.col("part") + math.log10(ends + 1) - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
         "score",
         "n_bytes",
     )
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder(F.col("doc_id"), 7) == 2
-    training = documents.filter(~held_out).withColumn("text", F.coalesce("text", F.lit("")))
-    scored = score(documents, training).withColumn("held_out", held_out)
+    scored = score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
     bits = -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))

@@ -5,10 +5,105 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
+from pyspark.sql import functions as F
 
 from layoutlens.llm import lm_scoring, mixing
 
+LETTERS = b"abcdefghijklmnopqrstuvwxyz \xc3\xa9"
+
+
+def some_texts(n, size, seed):
+    rng = random.Random(seed)
+    return [bytes(rng.choices(LETTERS, k=rng.randrange(size))) for _ in range(n)]
+
+
+def counted(texts):
+    parts = [mixing.summed(mixing.places(run)[0]) for _, run in mixing.segments(texts)]
+    return mixing.merged(parts)
+
+
+def common_of(keys, counts):
+    at = (mixing.context(keys, 1) << np.uint64(8) | keys & np.uint64(255)).astype(np.int64)
+    return mixing.Common(np.bincount(at, weights=counts, minlength=1 << 16).reshape(256, 256))
+
+
+def taken(texts, code):
+    """(order, context, depth, node, bit) of every decision, text by text."""
+    for t in texts:
+        symbols = [*t.lower(), mixing.END]
+        for place, s in enumerate(symbols):
+            before = tuple([-1] * 6 + symbols[:place])[-6:]
+            for depth in range(code.length[s]):
+                for order in mixing.ORDERS:
+                    yield order, before[-order:], depth, code.node[depth, s], code.bit[depth, s]
+
+
+def test_counts_are_exact_whatever_is_asked():
+    texts = [*some_texts(60, 900, 1), b"", b"A bA", b"AAAA"]
+    keys, counts = counted(texts)
+    common = common_of(keys, counts)
+    seen, ones = Counter(), Counter()
+    for order, before, depth, node, bit in taken(texts, common.code):
+        seen[order, before, depth, node] += 1
+        ones[order, before, depth, node] += int(bit)
+    # Places of other texts, most of them never met, are looked up among those that were.
+    other, _ = counted(some_texts(60, 900, 2))
+    every, n = mixing.merged([(keys, counts), (other, np.zeros(len(other), dtype=np.int64))])
+    checked = 0
+    for depth, on, bit, o, s in mixing.decisions(every, n, common):
+        for j, at in enumerate(on):
+            key = int(every[at])
+            before = tuple(-1 if b == mixing.BEFORE else b for b in (key >> 8).to_bytes(6, "little"))
+            node = common.code.node[depth, key & 255]
+            assert bit[j] == common.code.bit[depth, key & 255]
+            for k, order in enumerate(mixing.ORDERS):
+                name = (order, before[-order:], depth, node)
+                assert (s[k][j], o[k][j]) == (seen[name], ones[name])
+                checked += 1
+    assert checked > 100_000
+
+
+def test_probabilities_sum_to_one():
+    keys, counts = counted([b"abracadabra, abra cadabra\xc3\xa9"] * 20)
+    for before in (b"", b"abr", b"zz", b"acadab"):
+        own = mixing.places([(b"", before[-6:], True)])[0] & ~np.uint64(255)
+        asked = own + mixing.SYMBOLS.astype(np.uint64)
+        every, n = mixing.merged([(keys, counts), (asked, np.zeros(len(asked), dtype=np.int64))])
+        cost = mixing.costs(every, n, common_of(keys, counts))[np.searchsorted(every, asked)]
+        assert len(asked) == 231 and abs(np.exp(-cost).sum() - 1) < 1e-9
+
+
+def test_learning_lowers_the_cost_of_new_text():
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) for _ in range(200)]
+    texts = [" ".join(rng.choices(words, k=60)).encode() for _ in range(120)]
+    keys, counts = counted(texts[:100])
+    other, n = counted(texts[100:])
+    every, both = mixing.merged([(keys, counts), (other, np.zeros(len(other), dtype=np.int64))])
+    cost = mixing.costs(every, both, common_of(keys, counts))[np.searchsorted(every, other)] @ n
+    plain = sum(map(len, texts[100:])) * math.log(9)
+    assert cost < 0.75 * plain
+
+
+def test_long_texts_in_pieces_have_the_places_of_whole_ones():
+    text = some_texts(1, 9_000, 3)[0] + b"END of it"
+    whole = mixing.places(next(mixing.segments([text]))[1])[0]
+    parts = np.concatenate([mixing.places(run)[0] for _, run in mixing.segments([text], 700)])
+    assert (whole == parts).all() and len(whole) == len(text) + 1
+
+
+def test_split_contexts_stay_whole_below_the_split():
+    keys, _ = counted(some_texts(200, 900, 4))
+    marks, sizes = mixing.heavy(keys, 2_000)
+    split = np.sort(marks[sizes > len(keys) // 750])
+    shard = mixing.dealt(keys, 64, split)
+    assert len(split) and len(set(shard.tolist())) > 50
+    opened = {int(m) & ((1 << 16) - 1) for m in split if m >> 48 == 2}
+    by_pair = {}
+    for k, s in zip(keys.tolist(), shard.tolist(), strict=True):
+        by_pair.setdefault(k >> 40, set()).add(s)
+    assert all(len(s) == 1 for p, s in by_pair.items() if p not in opened) and any(len(by_pair[p]) > 1 for p in opened)
+
 
 def brute(rows):
     tokens = {k: [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w] for k, t in rows}
@@ -25,72 +120,47 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("frequent", [100_000, 40, 0])
-def test_base_matches_brute_force(spark, monkeypatch, frequent):
-    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+def test_base_line_and_score_match_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     want = brute(rows)
-    for r in lm_scoring.op2(spark, "/root/testdata/sf0.001").collect():
-        n_tokens, n_known, n, base = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n_tokens, n_known, n, zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+    found = {r.doc_id: r for r in lm_scoring.op2(spark, "/root/testdata/sf0.001").collect()}
+    assert found.keys() == want.keys()
+    for doc_id, r in found.items():
+        n_tokens, n_known, n, base = want[doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n_tokens, n_known, n, zlib.crc32(str(doc_id).encode()) % 7 == 2)
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
-
-
-def model(texts):
-    histogram = np.bincount(np.frombuffer(b"".join(texts), dtype=np.uint8), minlength=257)
-    code = mixing.huffman(histogram)
-    counts = np.zeros(mixing.SLOTS, dtype=np.int64)
-    mixing.count(texts, code, counts)
-    own = mixing.Model(code, mixing.predictions(counts >> 32, counts & 0xFFFFFFFF))
-    own.learn(texts, counts >> 32, counts & 0xFFFFFFFF)
-    return own
-
-
-def test_probabilities_sum_to_one():
-    own = model([b"abracadabra, abra cadabra"] * 20)
-    for start in (b"", b"abr", b"zz"):
-        # The end's probability after `start` and that of each next byte sum to one, but for what capitals, which
-        # the tree has and a lowered text never shows, are given.
-        nexts = sum(_first(own, start + bytes([b])) for b in range(256) if not 65 <= b < 91)
-        ends = 10 ** own.score([start])[0] / _before(own, start)
-        assert 0.8 < nexts + ends <= 1 + 1e-6
-
-
-def _before(own, text):
-    value = 1.0
-    for k in range(len(text)):
-        value *= _first(own, text[: k + 1])
-    return value
-
-
-def _first(own, text):
-    """Probability of the last byte of `text` given the others."""
-    decisions = mixing.Decisions([text], own.code)
-    p = 1.0
-    for depth, at, slots, bit in decisions:
-        x, gate = own.inputs(slots, depth)
-        z = own.refined(own.mixed(x, gate), gate)
-        for place, s, b in zip(at, z, bit, strict=True):
-            if place == len(text) - 1:
-                p *= 1 / (1 + math.exp(-s)) if b else 1 - 1 / (1 + math.exp(-s))
-    return p
-
-
-def test_scores_do_not_depend_on_company():
-    rng = random.Random(2)
-    texts = [bytes(rng.choices(b"abc de\n", k=rng.randrange(300))) for _ in range(40)]
-    own = model(texts)
-    together = own.score(texts)
-    assert np.allclose(together, [own.score([t])[0] for t in texts])
-    assert np.mean(together) > np.mean([-len(t) * math.log10(7) for t in texts]) * 1.1
+    # The same model without Spark: places of all training rows, dealt to as many shards.
+    texts = {k: (t or "").encode() for k, t in rows}
+    keys, counts = counted([t for k, t in texts.items() if not found[k].held_out])
+    every, n = mixing.merged([(keys, counts), *((k, np.zeros(len(k), dtype=np.int64)) for k in [counted([t])[0] for t in texts.values()])])
+    cost, common = np.zeros(len(every)), common_of(keys, counts)
+    for _, part in mixing.by_shard(mixing.dealt(every, lm_scoring.LEAST_SHARDS, np.zeros(0, dtype=np.int64))):
+        cost[part] = mixing.costs(every[part], n[part], common)
+    for doc_id, text in texts.items():
+        own, times = counted([text])
+        assert math.isclose(-(cost[np.searchsorted(every, own)] @ times) / math.log(10), found[doc_id].score, rel_tol=1e-4, abs_tol=1e-3)
+    held = [r for r in found.values() if r.held_out]
+    assert sum(r.bits_per_byte * (len(texts[r.doc_id]) + 1) for r in held) / sum(len(texts[r.doc_id]) + 1 for r in held) < 2.6
+
+
+def test_chunks_and_pieces_change_nothing(spark, make_documents, monkeypatch):
+    texts = [t.decode("utf-8", "replace") for t in some_texts(60, 400, 4)]
+    documents = make_documents([(k, t) for k, t in enumerate([*texts, "", None, texts[0]])]).repartition(3)
+    learn = F.col("doc_id") % 3 != 1
+    want = {r.doc_id: r for r in lm_scoring.score(documents, learn).collect()}
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 1_000)
+    monkeypatch.setattr(mixing, "PIECE_BYTES", 700)
+    found = {r.doc_id: r for r in lm_scoring.score(documents, learn).collect()}
+    assert len(want) == 63
+    for k, v in want.items():
+        assert math.isclose(found[k].score, v.score, rel_tol=1e-4, abs_tol=2e-3) and math.isclose(found[k].base_score, v.base_score, rel_tol=1e-9)
 
 
 def test_edge_cases(make_documents):
     rows = [(None, None), (1, ""), (2, "A a"), (2, "A a"), (3, "word " * 30_000)]
-    documents = make_documents(rows).select("doc_id", "text", "lang")
-    training = documents.na.fill("", ["text"])
-    found = lm_scoring.score(documents, training).collect()
+    documents = make_documents(rows).withColumn("chunk", F.lit("own")).withColumn("learn", F.lit(7))
+    found = lm_scoring.score(documents, F.lit(True)).collect()
     assert sorted(r.n_tokens for r in found) == [1, 1, 3, 3, 30_001]
-    empty = make_documents([])
-    assert all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in lm_scoring.score(documents, empty).collect())
-    assert lm_scoring.score(empty, training).count() == 0
+    assert all(r.base_score == 0 or r.n_known == r.n_tokens for r in found)
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and r.score < 0 for r in lm_scoring.score(documents, F.lit(False)).collect())
+    assert lm_scoring.score(make_documents([]), F.lit(True)).count() == 0
