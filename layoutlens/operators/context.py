@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from layoutlens.functions.layout import ENGLISH, OTHER, PERSIAN
-from layoutlens.functions.text import next_cadence
 
 TTL_MS = 90_000
 STATE = "struct<language:int,strength:int,observed_words:bigint>"
 
 
-def _ordered(order: str, *fields: str) -> Column:
-    return F.array_sort(F.collect_list(F.struct(order, *fields)))
-
-
 def observe(state: Column, language: Column, evidence: Column) -> Column:
     """The context after one more word; only English and Persian words are observed."""
     weight = F.greatest(F.least(evidence, F.lit(4)), F.lit(1)).cast("int")
@@ -30,12 +28,51 @@ def observe(state: Column, language: Column, evidence: Column) -> Column:
     return F.when(language.isin(ENGLISH, PERSIAN), updated).otherwise(state).cast(STATE)
 
 
+#: Words that one aggregate takes as a list; longer groups go on in the next round.
+SEGMENT = 1_000
+
+
+def _steps(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """`rows` numbered within their group by `order`, with the segment of SEGMENT rows that each falls in."""
+    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return numbered.withColumn("__segment", F.floor((F.col("__n") - 1) / SEGMENT))
+
+
 def fold_context(observations: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
-    """The final context of each group of (language, evidence) in `order`: keys, language, strength, observed_words."""
-    start = F.struct(F.lit(OTHER).alias("language"), F.lit(0).alias("strength"), F.lit(0).cast("bigint").alias("observed_words")).cast(STATE)
-    rows = observations.groupBy(*keys).agg(_ordered(order, "language", "evidence").alias("__rows"))
-    folded = F.aggregate("__rows", start, lambda s, r: observe(s, r["language"], r["evidence"]))
-    return rows.withColumn("__s", folded).select(*keys, "__s.*")
+    """The final context of each group of (language, evidence) in `order` (a column that sorts, a struct for instance): keys, language, strength, observed_words.
+
+    What a run of words does to a context depends on nothing but the context before it, and there are few: none, and
+    four strengths of either language. Each segment of SEGMENT words is folded from all of them at once, so segments of one group
+    are folded apart and only their tables (nine entries) are put together: no row holds a whole group.
+    """
+    starts = F.array(*[F.struct(F.lit(lang).alias("language"), F.lit(s).alias("strength")) for lang, s in _CONTEXTS])
+    as_state = lambda x: F.struct(x["language"].alias("language"), x["strength"].alias("strength"), F.lit(0).cast("bigint").alias("observed_words")).cast(STATE)
+    row = F.struct(F.col("__n"), F.col("language"), F.col("evidence"))
+    lists = _steps(observations, keys, [order]).groupBy(*keys, "__segment").agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+    folded = F.transform(starts, lambda s: F.aggregate(F.col("__rows"), as_state(s), lambda a, r: observe(a, r["language"], r["evidence"])))
+    tables = lists.select(*keys, "__segment", folded.alias("__to"))
+    # Groups of one segment are done; longer ones are put together in rounds, pairs of neighbours at a time.
+    longest = observations.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    for _ in range(max(0, -(-longest // SEGMENT) - 1).bit_length()):
+        pairs = tables.withColumns({"__half": F.floor(F.col("__segment") / 2), "__second": F.col("__segment") % 2 == 1})
+        both = pairs.groupBy(*keys, F.col("__half").alias("__segment")).agg(
+            F.max(F.when(~F.col("__second"), F.col("__to"))).alias("__a"), F.max(F.when(F.col("__second"), F.col("__to"))).alias("__b")
+        )
+        joined = F.transform("__a", lambda s: _after(s, F.col("__b")))
+        tables = both.select(*keys, "__segment", F.when(F.col("__b").isNull(), F.col("__a")).otherwise(joined).alias("__to"))
+    return tables.select(*keys, F.get("__to", F.lit(0)).alias("__s")).select(*keys, "__s.*")
+
+
+_CONTEXTS = [(OTHER, 0)] + [(lang, s) for lang in (ENGLISH, PERSIAN) for s in (1, 2, 3, 4)]
+
+
+def _after(state: Column, table: Column) -> Column:
+    """What a later segment's table makes of a state."""
+    spot = F.when((state["language"] == OTHER) | (state["strength"] <= 0), 0).otherwise((state["language"] - 1) * 4 + state["strength"])
+    later = F.get(table, spot)
+    return F.struct(
+        later["language"].alias("language"), later["strength"].alias("strength"), (state["observed_words"] + later["observed_words"]).alias("observed_words")
+    ).cast(STATE)
 
 
 def current(language: Column, strength: Column, age_ms: Column, mode: Column) -> Column:
@@ -47,16 +84,44 @@ def current(language: Column, strength: Column, age_ms: Column, mode: Column) ->
     )
 
 
-def key_intervals(events: DataFrame, keys: list[str], order: str = "ts_ms") -> DataFrame:
-    """`events` with `interval`: ms since the key before in the same word, null for a word's first."""
-    return events.withColumn("interval", F.col(order) - F.lag(order).over(Window.partitionBy(*keys).orderBy(order)))
+def key_intervals(events: DataFrame, keys: list[str], time: str = "ts_ms", tie: str | None = None) -> DataFrame:
+    """`events` with `interval`: ms since the key before in the same word, null for a word's first. `tie` orders events of one time."""
+    order = Window.partitionBy(*keys).orderBy(time, *([tie] if tie else []))
+    return events.withColumn("interval", F.col(time) - F.lag(time).over(order))
 
 
 def fold_cadence(intervals: DataFrame, keys: list[str], order: str = "pos", start: int = 150) -> DataFrame:
-    """The running key interval of each group after its intervals in `order`: keys, cadence."""
-    rows = intervals.filter(F.col("interval").isNotNull()).groupBy(*keys).agg(_ordered(order, "interval").alias("__rows"))
-    folded = F.aggregate("__rows", F.lit(start).cast("bigint"), lambda a, r: next_cadence(a, r["interval"].cast("bigint")))
-    return rows.select(*keys, folded.alias("cadence"))
+    """The running key interval of each group after its intervals in `order`: keys, cadence.
+
+    Every step rounds down, so segments cannot be folded apart: groups are dealt, sorted (Spark spills where a group is
+    large) and streamed past one number, however long they are.
+    """
+    rows = intervals.filter(F.col("interval").isNotNull()).select(*keys, order, F.col("interval").cast("bigint").alias("interval"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first, cadence = None, None, start
+        for batch in batches:
+            done = []
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True))
+            for k, (name, x) in enumerate(zip(names, batch.column(len(keys)).to_pylist(), strict=True)):
+                if name != group:
+                    if group is not None:
+                        done.append((first, cadence))
+                    group, first, cadence = name, batch.slice(k, 1).select(keys), start
+                cadence = cadence if 40 <= cadence <= 500 else 150
+                if 20 <= x <= 1_500:
+                    cadence = (3 * cadence + x) // 4
+            yield from _with_cadence(done)
+        yield from _with_cadence([(first, cadence)] if group is not None else [])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keys).dtypes) + ", cadence bigint"
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).select(*keys, "interval").mapInArrow(run, schema)
+
+
+def _with_cadence(done: list) -> Iterator[pa.RecordBatch]:
+    if done:
+        found = pa.Table.from_batches([row for row, _ in done]).append_column("cadence", pa.array([c for _, c in done], pa.int64()))
+        yield from found.combine_chunks().to_batches()
 
 
 def with_sentence_start(words: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:

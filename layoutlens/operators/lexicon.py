@@ -81,12 +81,12 @@ TIERS = ("is_short", "is_word", "is_common", "is_frequent", "is_prefix", "is_com
 def build_lexicon(tiers: dict[int, dict[str, DataFrame]], spark: SparkSession) -> DataFrame:
     """One row for each language and form with its flags, from frames (form) of words, common and frequent.
 
-    All tiers must be there and have rows, or nothing is built. Frequent words take in the short ones.
+    All tiers must be there, or nothing is built; `require_complete` tells whether they have rows. Frequent words take in the short ones.
     """
     parts = []
     short = short_words(spark)
     for lang, own in tiers.items():
-        missing = [name for name in ("words", "common", "frequent") if name not in own or own[name].isEmpty()]
+        missing = [name for name in ("words", "common", "frequent") if name not in own]
         if missing:
             raise ValueError(f"lexicon {lang} lacks {', '.join(missing)}")
         brief = short.filter(F.col("lang") == lang).select("form")
@@ -101,6 +101,22 @@ def build_lexicon(tiers: dict[int, dict[str, DataFrame]], spark: SparkSession) -
     return every.groupBy("lang", "form").agg(*[F.max(F.col("tier") == name).alias(name) for name in TIERS])
 
 
+def require_complete(lexicon: DataFrame, langs: tuple[int, ...] = (ENGLISH, PERSIAN)) -> DataFrame:
+    """The lexicon, if words, common and frequent words (beyond the short ones) of every language have rows."""
+    wanted = ("is_word", "is_common", "is_frequent")
+    found = {r["lang"]: r for r in lexicon.groupBy("lang").agg(*[F.bool_or(F.col(t) & ~F.col("is_short")).alias(t) for t in wanted]).collect()}
+    missing = [f"{lang} lacks {t}" for lang in langs for t in wanted if lang not in found or not found[lang][t]]
+    if missing:
+        raise ValueError(f"lexicon {', '.join(missing)}")
+    return lexicon
+
+
+def require_same(made: DataFrame, stored: DataFrame) -> None:
+    """The reproducibility gate: any row that only one of the frames has ends the build."""
+    if row := differences(made, stored.select(*made.columns)).first():
+        raise ValueError(f"only {row['side']}: {row.asDict()}")
+
+
 def differences(made: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of either frame that the other lacks; the reproducibility gate wants none."""
     return made.exceptAll(stored).withColumn("side", F.lit("made")).union(stored.exceptAll(made).withColumn("side", F.lit("stored")))

@@ -1,15 +1,19 @@
 """The registered queries over the driver's tables, and the SQL they are checked against.
 
-English words are those of documents in English; the second language is French text rendered through the
-key map, so that collisions and wrong-layout words occur. Dictionary words occur twice or more; COMMON
-and FREQUENT are the sizes of the ranked tiers.
+The first language has the words of documents in English and German; the second one all other documents, rendered through the
+key map, so that collisions and wrong-layout words occur. Dictionary words occur twice or more. The ranked tiers have the
+operators' own sizes, or all words there are where a corpus has fewer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from layoutlens.functions import layout as Y
 from layoutlens.functions import predicates as P
 from layoutlens.functions import text as T
 from layoutlens.functions.layout import ENGLISH, PERSIAN, TYPED_ENGLISH, TYPED_PERSIAN, ascii_lower, typed_persian
@@ -19,35 +23,58 @@ from layoutlens.operators import decide as D
 from layoutlens.operators import lexicon as L
 from layoutlens.operators import sequence as S
 from layoutlens.plans.oracles import ORACLES  # noqa: F401
+from layoutlens.sources import lexicon_files as files
 from layoutlens.streaming import session
 
-COMMON, FREQUENT = 2_000, 200
+COMMON, FREQUENT = L.COMMON, L.FREQUENT
+LATIN = "[a-z]+"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under the one that the cluster shares; one of our own is set only where none is configured (tests)."""
+    context = spark.sparkContext
+    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
+        held = context._jsc.sc().getCheckpointDir()
+        root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="layoutlens-")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """The frame as a checkpoint in the shared folder: made once for all that a query takes from it, and cleaned up by Spark."""
+    shared_folder(frame.sparkSession, "kept")
+    return frame.checkpoint()
+
+
+def side(lang: Column) -> Column:
+    return F.when(F.coalesce(lang, F.lit("")).isin("en", "de"), ENGLISH).otherwise(PERSIAN)
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lang (1, 2), form of every word."""
-    documents = _table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "fr"))
-    found = documents.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    return found.select(F.when(F.col("lang") == "en", ENGLISH).otherwise(PERSIAN).alias("lang"), F.when(F.col("lang") == "en", F.col("w")).otherwise(typed_persian(F.col("w"))).alias("form"))
+    found = _table(spark, sf_dir, "documents").select(side(F.col("lang")).alias("lang"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LATIN), F.lit(0))).alias("w"))
+    return found.select("lang", F.when(F.col("lang") == ENGLISH, F.col("w")).otherwise(typed_persian(F.col("w"))).alias("form"))
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lang, form, n; kept, since every tier, prior and typed word of a query starts from it."""
-    return tokens(spark, sf_dir).groupBy("lang", "form").agg(F.count(F.lit(1)).alias("n")).persist()
+    """lang, form, n; every tier, prior and typed word of a query starts from it."""
+    return kept(tokens(spark, sf_dir).groupBy("lang", "form").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _tiers(spark: SparkSession, sf_dir: str, lang: int) -> dict[str, DataFrame]:
-    own = counts(spark, sf_dir).filter((F.col("lang") == lang) & F.length("form").between(3, T.MOST_KEYS))
-    ranked = own.select("form", (-F.col("n")).alias("rank"))
-    return {"words": own.filter("n >= 2").select("form"), "common": L.top_words(ranked, COMMON, False), "frequent": L.top_words(ranked, FREQUENT, False)}
+def _tiers(own: DataFrame, lang: int) -> dict[str, DataFrame]:
+    fit = own.filter((F.col("lang") == lang) & F.length("form").between(3, T.MOST_KEYS))
+    ranked = fit.select("form", (-F.col("n")).alias("rank"))
+    return {"words": fit.filter("n >= 2").select("form"), "common": L.top_words(ranked, COMMON, False), "frequent": L.top_words(ranked, FREQUENT, False)}
 
 
-def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.build_lexicon({lang: _tiers(spark, sf_dir, lang) for lang in (ENGLISH, PERSIAN)}, spark).persist()
+def lexicon(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    own = counts(spark, sf_dir) if own is None else own
+    return L.require_complete(kept(L.build_lexicon({lang: _tiers(own, lang) for lang in (ENGLISH, PERSIAN)}, spark)))
 
 
 def lexicon_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,16 +85,21 @@ def lexicon_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.report(lexicon(spark, sf_dir))
 
 
-def priors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = counts(spark, sf_dir).filter(F.length("form").between(3, T.MOST_KEYS) & (F.col("n") >= 2))
-    sides = [own.filter(F.col("lang") == lang).select("form", "n") for lang in (ENGLISH, PERSIAN)]
+def priors(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    own = counts(spark, sf_dir) if own is None else own
+    fit = own.filter(F.length("form").between(3, T.MOST_KEYS) & (F.col("n") >= 2))
+    sides = [fit.filter(F.col("lang") == lang).select("form", "n") for lang in (ENGLISH, PERSIAN)]
     return L.collision_priors(L.collisions(*sides), *[L.zipf_frequencies(s) for s in sides])
 
 
 def keymap_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct English word as typed and in the other layout."""
-    words = counts(spark, sf_dir).filter(F.col("lang") == ENGLISH).select("form")
-    return words.select(F.col("form").alias("english"), typed_persian(F.col("form")).alias("persian"), F.length("form").cast("bigint").alias("keys"))
+    """Every distinct word of the first language as typed and in the other layout, with its first letter raised too."""
+    words = tokens(spark, sf_dir).filter(F.col("lang") == ENGLISH).select("form").distinct()
+    raised = F.initcap("form")
+    return words.select(
+        F.col("form").alias("english"), typed_persian(F.col("form")).alias("persian"), typed_persian(raised).alias("raised"),
+        Y.typed_english(typed_persian(F.col("form"))).alias("back"), F.length("form").cast("bigint").alias("keys"),
+    )
 
 
 def word_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,109 +109,283 @@ def word_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy(T.english_shape(low).alias("shaped"), F.length("w").cast("bigint").alias("length")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _long_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(spark, sf_dir).filter(F.length("form") >= 3).distinct()
+
+
 def bloom_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = counts(spark, sf_dir).filter((F.col("lang") == PERSIAN) & (F.length("form") >= 3)).select("form", T.hash_pair(F.col("form")).alias("pair"))
-    return words.select("form", F.col("pair.h1").alias("h1"), F.col("pair.h2").alias("h2"), F.array_join(T.bit_positions(F.col("pair"), 1 << 20, 10).cast("array<string>"), ",").alias("positions"))
+    words = _long_forms(spark, sf_dir).withColumn("pair", T.hash_pair(F.col("form")))
+    return words.select("lang", "form", F.col("pair.h1").alias("h1"), F.col("pair.h2").alias("h2"), F.array_join(T.bit_positions(F.col("pair"), 1 << 20, 10).cast("array<string>"), ",").alias("positions"))
 
 
 def bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = counts(spark, sf_dir).filter((F.col("lang") == ENGLISH) & (F.length("form") >= 3)).select("form")
-    return L.bloom_bits(words, 1 << 17, 10)
+    words = _long_forms(spark, sf_dir)
+    made = [L.bloom_bits(words.filter(F.col("lang") == lang).select("form"), 1 << 17, 10).withColumn("lang", F.lit(lang)) for lang in (ENGLISH, PERSIAN)]
+    return made[0].union(made[1])
 
 
-def lexicon_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = counts(spark, sf_dir).filter((F.col("lang") == ENGLISH) & (F.length("form") >= 3)).select("form")
-    return L.proper_prefixes(words)
+def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of either language a filter of the first one's frequent words takes for its own."""
+    own = kept(tokens(spark, sf_dir).groupBy("lang", "form").agg(F.count(F.lit(1)).alias("n")).filter(F.length("form") >= 3))
+    bits = L.bloom_bits(own.filter((F.col("lang") == ENGLISH) & (F.col("n") >= 3)).select("form"), 1 << 14, 4)
+    return L.bloom_contains(own.select("form").distinct(), bits, 1 << 14, 4)
 
 
-def _typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct word in both readings: the English ones, and the keys of the second language's."""
-    own = counts(spark, sf_dir).filter(F.length("form") <= T.MOST_KEYS)
+def lexicon_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _long_forms(spark, sf_dir)
+    made = [L.proper_prefixes(words.filter(F.col("lang") == lang).select("form")).withColumn("lang", F.lit(lang)) for lang in (ENGLISH, PERSIAN)]
+    return made[0].union(made[1])
+
+
+def lexicon_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicon, priors and Bloom files written, loaded with all checks and compared with what was built: rows of each tier, bits of each file."""
+    own = counts(spark, sf_dir)
+    made, path = lexicon(spark, sf_dir, own), shared_folder(spark, "package")
+    files.write_package(made, priors(spark, sf_dir, own), path)
+    stored, stored_priors, blooms = files.read_package(spark, path, made)
+    tiers = [t for t in L.TIERS if t != "is_short"]
+    rows = stored.select("lang", F.explode(F.filter(F.array(*[F.when(F.col(t), F.lit(t)) for t in tiers]), lambda x: x.isNotNull())).alias("tier")).groupBy("lang", "tier").agg(F.count(F.lit(1)).alias("words"))
+    name = F.regexp_extract("path", "([12])-([a-z_]+)[.]kswb$", 0)
+    facts = blooms.select("path", "bits", "hashes", "valid").join(files.bloom_positions(blooms).groupBy("path").agg(F.count(F.lit(1)).alias("bits_set")), "path")
+    facts = facts.select(F.left(name, F.lit(1)).cast("int").alias("lang"), F.regexp_extract(name, "-([a-z_]+)", 1).alias("tier"), "bits", "hashes", "valid", "bits_set")
+    return facts.join(rows, ["lang", "tier"]).crossJoin(F.broadcast(stored_priors.agg(F.count(F.lit(1)).alias("priors"), F.sum("points").alias("points"))))
+
+
+def _number(word: Column) -> Column:
+    """A number of a word that SQL has as well."""
+    return F.ascii(word) * 7 + F.ascii(F.right(word, F.lit(1))) + F.length(word) * 3
+
+
+def _decorated(words: DataFrame) -> DataFrame:
+    """Words of the second language as raw lists have them: Arabic letters, joiners, marks and affixes here and there, by its letters."""
+    k = _number(F.col("form"))
+    raw = F.translate("form", "یک", "يك")
+    raw = F.when(k % 5 == 0, F.concat(F.left(raw, F.lit(2)), F.lit("\u200c"), F.substring(raw, 3, 99))).otherwise(raw)
+    raw = F.when(k % 7 == 0, F.concat(raw, F.lit("\u064e"))).otherwise(raw)
+    return words.withColumn("raw", F.when(k % 11 == 0, F.concat(raw, F.lit("9"))).otherwise(raw))
+
+
+def eligible_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary files with a mark, a count and affixes, written and read back: the words of either language that may be taken."""
+    words = kept(tokens(spark, sf_dir).distinct())
+    first = words.filter(F.col("lang") == ENGLISH).select(F.concat(F.initcap("form"), F.when(F.length("form") % 3 == 0, "'s").otherwise(F.when(F.length("form") % 3 == 1, "/SM").otherwise("")), F.when(_number(F.col("form")) % 9 == 0, "-x").otherwise("")).alias("line"))
+    second = _decorated(words.filter(F.col("lang") == PERSIAN)).select(F.concat("raw", F.lit("/x")).alias("line"))
+    out = None
+    for lang, lines, eligible in ((ENGLISH, first, L.eligible_english), (PERSIAN, second, L.eligible_persian)):
+        path = shared_folder(spark, "dictionary")
+        headed = spark.createDataFrame([(0, "\ufeff12345")], "k int, line string").union(lines.select(F.lit(1).alias("k"), "line"))
+        # Two files, each with its mark and count.
+        for half in (0, 1):
+            part = headed.filter((F.col("k") == 0) | (F.crc32(F.encode("line", "UTF-8")) % 2 == half))
+            part.repartitionByRange(1, "k").sortWithinPartitions("k", "line").select("line").write.mode("append").text(path)
+        found = eligible(files.dictionary_lines(spark, path)).select(F.lit(lang).alias("lang"), "form")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def ranked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequency lists with a header, written and read back: the first rank of every word that may be taken."""
+    own = kept(tokens(spark, sf_dir).groupBy("lang", "form").agg(F.count(F.lit(1)).alias("n")))
+    first = own.filter(F.col("lang") == ENGLISH).select(F.when(F.col("n") % 2 == 0, F.initcap("form")).otherwise(F.col("form")).alias("word"), (1_000_000 - F.col("n")).alias("rank"))
+    refused = spark.createDataFrame([(w,) for w in L.REJECTED_PERSIAN], "form string").select(F.col("form").alias("word"), F.lit(5).cast("bigint").alias("rank"))
+    second = _decorated(own.filter(F.col("lang") == PERSIAN)).select(F.col("raw").alias("word"), (1_000_000 - F.col("n")).alias("rank")).union(refused)
+    out = None
+    for lang, rows, ranked in ((ENGLISH, first, L.ranked_english), (PERSIAN, second, L.ranked_persian)):
+        path = shared_folder(spark, "ranked")
+        rows.write.option("header", True).csv(path)
+        found = ranked(files.ranked_words(spark, path)).select(F.lit(lang).alias("lang"), "form", "rank")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _typed_words(own: DataFrame) -> DataFrame:
+    """Every distinct word in both readings: the first language's, and the keys of the second one's."""
+    fit = own.filter(F.length("form") <= T.MOST_KEYS)
     en = F.when(F.col("lang") == ENGLISH, F.col("form")).otherwise(F.translate("form", TYPED_PERSIAN[:31], TYPED_ENGLISH[:31]))
-    return own.select(en.alias("en"), typed_persian(en).alias("fa")).distinct()
+    return fit.select(en.alias("en"), typed_persian(en).alias("fa")).distinct()
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.classify(_typed_words(spark, sf_dir), lexicon(spark, sf_dir))
+def classify_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = counts(spark, sf_dir)
+    return C.classify(_typed_words(own), lexicon(spark, sf_dir, own))
 
 
-def classify_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(spark, sf_dir)
+_CASE = ["active", "sensitivity", "context", "strength", "sentence_start"]
+
+
+def _cases(spark: SparkSession) -> DataFrame:
+    """The 48 settings of a decision (a fixed number of rows)."""
+    rows = [(a, s, c, k, b) for a in (1, 2) for s in (0, 1, 2) for c, k in ((0, 0), (1, 2), (2, 3), (1, 5)) for b in (False, True)]
+    return F.broadcast(spark.createDataFrame(rows, "active int, sensitivity int, context int, strength int, sentence_start boolean"))
 
 
-def _decided(spark: SparkSession, sf_dir: str, phase: int) -> DataFrame:
-    words = C.with_priors(classified(spark, sf_dir), priors(spark, sf_dir))
-    cases = spark.createDataFrame([(a, s, c, k, b) for a in (1, 2) for s in (0, 1, 2) for c, k in ((0, 0), (1, 2), (2, 3), (1, 5)) for b in (False, True)], "active int, sensitivity int, context int, strength int, sentence_start boolean")
-    every = words.join(F.broadcast(cases), F.col("en_known") | F.col("fa_known"))
+def _decided(words: DataFrame, phase: int, keys: list[str] = _CASE) -> DataFrame:
+    """Decisions on classified words with priors in all cases, counted by outcome."""
+    every = words.filter(F.col("en_known") | F.col("fa_known")).join(_cases(words.sparkSession))
     made = D.contextual(F.col("active"), F.col("sensitivity"), F.col("context"), F.col("strength"), F.col("sentence_start"), F.lit(phase))
-    keys = ["active", "sensitivity", "context", "strength", "sentence_start"]
     rows = every.withColumn("d", made).groupBy(*keys, F.col("d.action").alias("action"), F.col("d.confidence").alias("confidence"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.min("d.replacement").alias("first_replacement"))
 
 
+def _decisions(spark: SparkSession, sf_dir: str, phase: int) -> DataFrame:
+    own = counts(spark, sf_dir)
+    return _decided(C.with_priors(C.classify(_typed_words(own), lexicon(spark, sf_dir, own)), priors(spark, sf_dir, own)), phase)
+
+
+def decide_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reduced rules at a word's end: with common words but no frequent ones (`common`), and without either."""
+    own = counts(spark, sf_dir)
+    whole, points, typed = lexicon(spark, sf_dir, own), priors(spark, sf_dir, own), _typed_words(own)
+    out = None
+    for common, lex in ((True, whole), (False, D.without_common(whole))):
+        words = D.reduced(C.with_priors(C.classify(typed, lex), points))
+        made = [_decided(words, phase).withColumns({"common": F.lit(common), "phase": F.lit(phase)}) for phase in (D.IDLE, D.BOUNDARY)]
+        out = made[0].union(made[1]) if out is None else out.union(made[0]).union(made[1])
+    return out
+
+
+def decide_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one-sided rules from two and from four keys: at once, and while typing."""
+    own = counts(spark, sf_dir)
+    words = C.classify(_typed_words(own), lexicon(spark, sf_dir, own))
+    asked = words.withColumn("active", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("least", F.explode(F.array(F.lit(2), F.lit(4))))
+    made = asked.select("active", "least", D.basic(F.col("active"), F.col("least")).alias("d"), D.basic_live(F.col("active"), F.col("least"))["action"].alias("live"))
+    return made.groupBy("active", "least", F.col("d.action").alias("action"), F.col("d.key_count").alias("keys"), F.col("d.target").alias("target"), "live").agg(F.count(F.lit(1)).alias("n"), F.max("d.original").alias("last_original"))
+
+
 def decide_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir, D.LIVE)
+    return _decisions(spark, sf_dir, D.LIVE)
 
 
 def decide_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir, D.IDLE)
+    return _decisions(spark, sf_dir, D.IDLE)
 
 
 def decide_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir, D.BOUNDARY)
+    return _decisions(spark, sf_dir, D.BOUNDARY)
 
 
 def word_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: one-sided repairs of all words of every third document, typed in the wrong layout."""
-    documents = _table(spark, sf_dir, "documents").filter("lang = 'en'")
-    words = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("en"))
-    typed = words.withColumns({"fa": typed_persian(F.col("en")), "active": F.when(F.col("doc_id") % 3 == 0, PERSIAN).otherwise(ENGLISH)})
-    flagged = C.classify(typed, lexicon(spark, sf_dir)).withColumn("d", D.basic(F.col("active"), F.lit(2)))
-    return flagged.groupBy("doc_id", "active").agg(F.count(F.lit(1)).alias("words"), F.count_if("d.should_correct").alias("repaired"))
+    """The flagship: one-sided repairs of all words of all documents, every third one typed in the wrong layout.
+
+    What is to be repaired is settled once for each distinct word and layout, and looked up for each occurrence.
+    """
+    words = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LATIN), F.lit(0))).alias("en"))
+    own = counts(spark, sf_dir)
+    typed = words.withColumn("active", F.when(F.col("doc_id") % 3 == 0, PERSIAN).otherwise(ENGLISH))
+    vocabulary = own.select(F.when(F.col("lang") == ENGLISH, F.col("form")).otherwise(Y.typed_english(F.col("form"))).alias("en")).distinct()
+    flagged = C.classify(vocabulary.withColumn("fa", typed_persian(F.col("en"))), lexicon(spark, sf_dir, own)).withColumn("active", F.explode(F.array(F.lit(ENGLISH), F.lit(PERSIAN))))
+    wrong = flagged.select("en", "active", D.basic(F.col("active"), F.lit(2))["should_correct"].alias("repair")).filter("repair")
+    found = typed.join(L.small(kept(wrong)), ["en", "active"], "left")
+    return found.groupBy("doc_id", "active").agg(F.count(F.lit(1)).alias("words"), F.count("repair").alias("repaired"))
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of conversations: conv_id, turn, sentence, pos (from 1), en, fa, visible (by conv_id)."""
+    """Words of conversations: conv_id, turn, sentence, part, pos (from 1), en, fa, visible (by conv_id).
+
+    A word of more keys than can be followed ends what may be rescanned: what comes after it is another part.
+    """
     turns = _table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
     parts = turns.select("conv_id", "turn", F.posexplode(F.split(F.lower("text"), r"[.!?\n]")).alias("sentence", "s"))
-    words = parts.select("conv_id", "turn", "sentence", F.posexplode(F.regexp_extract_all("s", F.lit("[a-z]+"), F.lit(0))).alias("pos", "en")).filter(F.length("en") <= T.MOST_KEYS)
-    order = Window.partitionBy("conv_id", "turn", "sentence").orderBy("pos")
-    numbered = words.withColumn("pos", F.row_number().over(order))
-    return numbered.select("conv_id", "turn", "sentence", "pos", "en", typed_persian(F.col("en")).alias("fa"), F.when(F.col("conv_id") % 2 == 0, PERSIAN).otherwise(ENGLISH).alias("visible"))
+    words = parts.select("conv_id", "turn", "sentence", F.posexplode(F.regexp_extract_all("s", F.lit(LATIN), F.lit(0))).alias("at", "en"))
+    keys = ["conv_id", "turn", "sentence"]
+    cut = words.withColumn("part", F.count_if(F.length("en") > T.MOST_KEYS).over(Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = cut.filter(F.length("en") <= T.MOST_KEYS).withColumn("pos", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("at")))
+    return numbered.select(*keys, "part", "pos", "en", typed_persian(F.col("en")).alias("fa"), F.when(F.col("conv_id") % 2 == 0, PERSIAN).otherwise(ENGLISH).alias("visible"))
+
 
+def _classified_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.classify(_sentences(spark, sf_dir), lexicon(spark, sf_dir))
 
-_SENTENCE = ["conv_id", "turn", "sentence"]
+
+_SENTENCE = ["conv_id", "turn", "sentence", "part"]
 
 
 def sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = C.classify(_sentences(spark, sf_dir), lexicon(spark, sf_dir))
-    return S.score_sequences(words, _SENTENCE, F.lit(1), F.lit(ENGLISH), F.lit(2))
+    """Every sentence as one run, at all sensitivities and with and without a context."""
+    words, out = kept(_classified_sentences(spark, sf_dir)), None
+    for sensitivity in (0, 1, 2):
+        for context, strength in ((ENGLISH, 2), (PERSIAN, 5)):
+            made = S.score_sequences(words, _SENTENCE, F.lit(sensitivity), F.lit(context), F.lit(strength)).withColumns({"sensitivity": F.lit(sensitivity), "strength": F.lit(strength)})
+            out = made if out is None else out.union(made)
+    return out
 
 
 def sequence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = C.classify(_sentences(spark, sf_dir), lexicon(spark, sf_dir))
-    runs = S.suffix_runs(words, _SENTENCE, F.lit(1), F.lit(0), F.lit(0))
-    return S.run_texts(words, runs, _SENTENCE)
+    words = kept(_classified_sentences(spark, sf_dir))
+    return S.run_texts(words, S.suffix_runs(words, _SENTENCE, F.lit(1), F.lit(0), F.lit(0)), _SENTENCE)
+
+
+def sentence_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that begin the sentences of conversations, and how often."""
+    words = X.with_sentence_start(_sentences(spark, sf_dir), _SENTENCE)
+    return words.groupBy("en").agg(F.count_if("sentence_start").alias("starts"), F.count(F.lit(1)).alias("n"))
 
 
 def context_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language context after all known words of each conversation's turn."""
-    words = C.classify(_sentences(spark, sf_dir), lexicon(spark, sf_dir))
+    words = _classified_sentences(spark, sf_dir)
     known = F.when(F.col("visible") == ENGLISH, F.col("en_known")).otherwise(F.col("fa_known"))
     often = F.when(F.col("visible") == ENGLISH, F.col("en_frequent")).otherwise(F.col("fa_frequent"))
     evidence = F.when(F.col("en_known") & F.col("fa_known"), 1).when(often, 3).otherwise(2)
-    seen = words.withColumns({"language": F.when(known, F.col("visible")).otherwise(D.other_language(F.col("visible"))), "evidence": evidence, "order": F.col("sentence") * 1000 + F.col("pos")})
+    seen = words.withColumns({"language": F.when(known, F.col("visible")).otherwise(D.other_language(F.col("visible"))), "evidence": evidence, "order": F.struct("sentence", "part", "pos")})
     return X.fold_context(seen.filter(F.col("en_known") | F.col("fa_known")), ["conv_id", "turn"], "order")
 
 
+def context_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What context is in force for events of every language, strength, age and mode."""
+    events = _table(spark, sf_dir, "events")
+    language, strength, mode = ((F.col("event_id") % n).cast("int") for n in (3, 5, 4))
+    age = (F.col("event_id") * 7919 % 180_001).cast("bigint")
+    now = X.current(language, strength, age, mode)
+    return events.select(now["language"].alias("language"), now["strength"].alias("strength"), mode.alias("mode")).groupBy("language", "strength", "mode").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cadence_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typing cadence of each user after all intervals of their events (in 20,000ths), and the pause it asks for."""
     events = _table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
-    steps = X.key_intervals(events.withColumn("order", F.col("ts_ms") * 1_000_000 + F.col("event_id")), ["user_id"], "order")
-    scaled = steps.select("user_id", F.col("order").alias("pos"), F.floor(F.col("interval") / 1_000_000 / 20_000).cast("bigint").alias("interval"))
+    steps = X.key_intervals(events, ["user_id"], tie="event_id")
+    scaled = steps.select("user_id", F.struct("ts_ms", "event_id").alias("pos"), F.expr("interval div 20000").alias("interval"))
     return X.fold_cadence(scaled, ["user_id"]).select("user_id", "cadence", *[T.idle_delay(F.lit(s), F.col("cadence")).cast("bigint").alias(f"delay_{s}") for s in (0, 1, 2)])
 
 
+def key_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys struck by every event (its number gives scan code, shift and caps), read in the common map or in a layout variant with a key of its own."""
+    events = _table(spark, sf_dir, "events").select(
+        (F.col("event_id") % 64).cast("int").alias("scan"), (F.col("event_id") % 3 == 0).alias("shift"), (F.col("event_id") % 5 == 0).alias("caps"), F.when(F.col("user_id") % 2 == 0, "back").alias("variant")
+    )
+    own = [("back", 0x2B, s, c, "|" if s else "\\", "پ") for s in (False, True) for c in (False, True)] + [("back", 0x32, False, False, None, "ئ"), ("back", 0x39, False, False, " ", " ")]
+    variants = spark.createDataFrame(own, "variant string, scan int, shift boolean, caps boolean, english string, persian string")
+    read = Y.read_keys(events, variants)
+    return read.groupBy("scan", "shift", "caps", "variant", "english", "persian", Y.is_word_key(F.col("scan")).alias("word_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def layout_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the language of a layout number made from theirs."""
+    layout = (F.lit(0x0400) + F.col("event_id") % 64 + F.when(F.col("user_id") % 2 == 0, 0x10000).otherwise(0)).cast("int")
+    language = Y.language_of_layout(layout)
+    return _table(spark, sf_dir, "events").groupBy(language.alias("language"), Y.language_name(language).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def event_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as keys of every kind, some injected or in protected fields: what kind of key, and whether it is taken."""
+    names = [*P.MODIFIERS, *P.NAVIGATION, *P.DELIMITERS, "Letter"]
+    events = _table(spark, sf_dir, "events").select(
+        "event_id", F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int")).alias("vk"), (F.col("event_id") % 4 == 0).alias("injected"),
+        (F.col("user_id") % 3 == 0).alias("protected"), F.when(F.col("user_id") % 5 == 0, "D:\\Safe\\LastPass.EXE").when(F.col("user_id") % 7 != 0, "notepad.exe").alias("app"),
+    )
+    taken = P.accepted_events(events).select("event_id", F.lit(True).alias("taken"))
+    kinds = {"modifier": P.is_modifier(F.col("vk")), "navigation": P.is_navigation(F.col("vk")), "delimiter": P.is_delimiter(F.col("vk"))}
+    return events.join(taken, "event_id", "left").groupBy("vk", *[v.alias(k) for k, v in kinds.items()], F.coalesce("taken", F.lit(False)).alias("taken")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown of every turn, and the phrase of its first words if it fits."""
+    turns = _table(spark, sf_dir, "conversations")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(LATIN), F.lit(0))
+    return turns.select("conv_id", "turn", T.preview(F.col("text")).alias("preview"), F.length(T.phrase(F.slice(words, 1, 90))).cast("bigint").alias("phrase_chars"))
+
+
 def boundary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the keys of all conversations by what they do."""
     turns = _table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
@@ -200,18 +406,21 @@ def _session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edits that typing the conversations causes, every other one in the wrong layout."""
-    return session.repair(_session_events(spark, sf_dir), lexicon(spark, sf_dir), priors(spark, sf_dir))
+    own = counts(spark, sf_dir)
+    return session.repair(_session_events(spark, sf_dir), lexicon(spark, sf_dir, own), kept(priors(spark, sf_dir, own)))
 
 
 def session_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session.repair(_session_events(spark, sf_dir), lexicon(spark, sf_dir), priors(spark, sf_dir), counters=True)
+    own = counts(spark, sf_dir)
+    return session.repair(_session_events(spark, sf_dir), lexicon(spark, sf_dir, own), kept(priors(spark, sf_dir, own)), counters=True)
 
 
 flagship = word_repair
 QUERIES = {
     f.__name__: f
     for f in (
-        word_repair, keymap_words, word_shapes, bloom_positions, bloom_build, lexicon_prefixes, lexicon_tiers, lexicon_report, classify_words, decide_live, decide_idle,
-        decide_boundary, sequence_scores, sequence_repair, context_fold, cadence_fold, boundary_keys, excluded_apps, session_repair, session_counters,
+        word_repair, keymap_words, word_shapes, bloom_positions, bloom_build, bloom_members, lexicon_prefixes, lexicon_tiers, lexicon_report, lexicon_package, eligible_words, ranked_words,
+        classify_words, decide_live, decide_idle, decide_boundary, decide_reduced, decide_basic, sequence_scores, sequence_repair, sentence_starts, context_fold, context_in_force, cadence_fold,
+        key_readings, layout_languages, event_gates, previews, boundary_keys, excluded_apps, session_repair, session_counters,
     )
 } | {"collision_priors": priors}

@@ -7,7 +7,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlens.operators.lexicon import bloom_bits
+from layoutlens.operators.lexicon import TIERS, bloom_bits, require_same
 
 MAGIC = "KSWB"
 HEADER = 16
@@ -15,11 +15,14 @@ MOST_HASHES = 16
 
 
 def dictionary_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line: the lines of a UTF-8 dictionary without its first (a count) and without a byte order mark."""
-    raw = spark.read.text(path).withColumn("__row", F.col("_metadata.file_block_start") + F.monotonically_increasing_id())
-    first = raw.agg(F.min("__row").alias("first"))
-    kept = raw.join(F.broadcast(first), F.col("__row") > F.col("first"), "left_semi")
-    return kept.select(F.regexp_replace("value", "^﻿", "").alias("line"))
+    """line: the lines of UTF-8 dictionaries (a file or a folder of them) without each file's first (a count) and without byte order marks.
+
+    A file's first line is the least row of its block at 0: rows of a block are numbered in order, whatever the partition.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    first = raw.filter("block = 0").groupBy(F.col("file").alias("of")).agg(F.min("row").alias("first"))
+    kept = raw.join(first, (F.col("file") == F.col("of")) & (F.col("row") == F.col("first")), "left_anti")
+    return kept.select(F.regexp_replace("value", "^\ufeff", "").alias("line"))
 
 
 def ranked_words(spark: SparkSession, path: str) -> DataFrame:
@@ -74,6 +77,14 @@ def bloom_positions(files: DataFrame) -> DataFrame:
     return places.select("path", F.explode(bits).alias("k"), "byte").select("path", (F.col("byte") * 8 + F.col("k")).cast("bigint").alias("bit"))
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, wherever Spark's paths reach."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(data)
+    out.close()
+
+
 def bloom_blob(words: DataFrame, bits: int, hashes: int) -> bytes:
     """A Bloom file of the words (form). Its size is fixed by `bits`; the set bytes alone come to the driver."""
     filled = bloom_bits(words, bits, hashes).groupBy(F.shiftright("bit", 3).alias("byte")).agg(F.sum(F.expr("shiftleft(1, cast(bit & 7 AS int))")).alias("value"))
@@ -81,3 +92,37 @@ def bloom_blob(words: DataFrame, bits: int, hashes: int) -> bytes:
     for row in filled.toLocalIterator():
         body[row["byte"]] = row["value"]
     return MAGIC.encode() + struct.pack("<III", 1, bits, hashes) + bytes(body)
+
+
+# Bits and hashes of the filters of either language.
+FILTERS = {
+    (1, "is_word"): (1 << 21, 9), (2, "is_word"): (1 << 22, 9), (1, "is_prefix"): (1 << 21, 14), (2, "is_prefix"): (1 << 21, 14),
+    (1, "is_common"): (1 << 20, 10), (2, "is_common"): (1 << 20, 10), (1, "is_frequent"): (1 << 17, 10), (2, "is_frequent"): (1 << 17, 10),
+    (1, "is_common_prefix"): (1 << 20, 14), (2, "is_common_prefix"): (1 << 20, 14),
+}
+
+
+def write_package(lexicon: DataFrame, priors: DataFrame, path: str) -> None:
+    """The lexicon, the priors in order of the English word, and the ten Bloom files (each of a fixed size)."""
+    spark = lexicon.sparkSession
+    lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
+    priors.orderBy("english").write.mode("overwrite").parquet(f"{path}/priors")
+    stored = spark.read.schema(lexicon.schema).parquet(f"{path}/lexicon")
+    for (lang, tier), (bits, hashes) in FILTERS.items():
+        write_bytes(spark, f"{path}/bloom/{lang}-{tier}.kswb", bloom_blob(stored.filter((F.col("lang") == lang) & F.col(tier)).select("form"), bits, hashes))
+
+
+def read_package(spark: SparkSession, path: str, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """lexicon, priors and Bloom files of a package. All ten filters must be valid and all tiers there, or nothing is loaded; with `expected`, so must its rows."""
+    lexicon, priors = spark.read.parquet(f"{path}/lexicon"), spark.read.parquet(f"{path}/priors")
+    files = bloom_files(spark, f"{path}/bloom")
+    name = F.element_at(F.split("path", "/"), -1)
+    valid = {r["name"] for r in files.filter("valid").select(name.alias("name")).collect()}
+    missing = [f"{lang}-{tier}.kswb" for lang, tier in FILTERS if f"{lang}-{tier}.kswb" not in valid]
+    present = {r["lang"]: [r[t] for t in TIERS] for r in lexicon.groupBy("lang").agg(*[F.bool_or(t).alias(t) for t in TIERS]).collect()}
+    missing += [f"lexicon {lang}" for lang in (1, 2) if not all(present.get(lang, [False]))]
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    if expected is not None:
+        require_same(lexicon, expected)
+    return lexicon, priors, files
