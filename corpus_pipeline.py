@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layoutlens.llm import bpe, decontaminate, near_dedup, quality, secrets
-from layoutlens.llm.common import materialise, table
+from layoutlens.llm.common import Scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's rows written to the shared folder and read by the next."""
+    """All stages over documents, each one's rows written to the shared folder and read by the next; a stage's rows go once the next has written its own."""
     docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, docs)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(name)
     return STAGES[-1][1](spark, docs, sf_dir)
