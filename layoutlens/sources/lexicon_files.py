@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlens.operators.lexicon import TIERS, bloom_bits, require_same
+from layoutlens.functions import text as T
+from layoutlens.operators.lexicon import TIERS, require_same
 
 MAGIC = "KSWB"
 HEADER = 16
@@ -86,12 +89,32 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
 
 
 def bloom_blob(words: DataFrame, bits: int, hashes: int) -> bytes:
-    """A Bloom file of the words (form). Its size is fixed by `bits`; the set bytes alone come to the driver."""
-    filled = bloom_bits(words, bits, hashes).groupBy(F.shiftright("bit", 3).alias("byte")).agg(F.sum(F.expr("shiftleft(1, cast(bit & 7 AS int))")).alias("value"))
-    body = bytearray(bits // 8)
-    for row in filled.toLocalIterator():
-        body[row["byte"]] = row["value"]
-    return MAGIC.encode() + struct.pack("<III", 1, bits, hashes) + bytes(body)
+    """A Bloom file of the words (form)."""
+    return bloom_blobs(words, {"": (F.lit(True), bits, hashes)})[""]
+
+
+def bloom_blobs(words: DataFrame, filters: dict) -> dict:
+    """Bloom files of the words (form and more): of each name those for which its condition holds, with its bits and hashes.
+
+    Every word is hashed once for all of them. Their sizes are fixed by `bits`; the set bytes alone come to the driver.
+    """
+    names, nothing = list(filters), F.array().cast("array<struct<file:int,bit:bigint>>")
+    own = words.withColumn("pair", T.hash_pair(F.col("form")))
+
+    def mark(k: int, holds: Column, bits: int, hashes: int) -> Column:
+        spots = T.bit_positions(F.col("pair"), bits, hashes)
+        return F.when(holds, F.transform(spots, lambda b: F.struct(F.lit(k).alias("file"), b.alias("bit")))).otherwise(nothing)
+
+    marks = [mark(k, *each) for k, each in enumerate(filters.values())]
+    found = own.select(F.explode(F.concat(*marks)).alias("m")).select("m.*").distinct()
+    filled = found.groupBy("file", F.shiftright("bit", 3).alias("byte")).agg(F.sum(F.expr("shiftleft(1, cast(bit & 7 AS int))")).cast("int").alias("value")).toArrow()
+    out = {}
+    for k, name in enumerate(names):
+        _, bits, hashes = filters[name]
+        body, here = np.zeros(bits // 8, dtype=np.uint8), filled.filter(pc.equal(filled["file"], k))
+        body[here["byte"].to_numpy()] = here["value"].to_numpy()
+        out[name] = MAGIC.encode() + struct.pack("<III", 1, bits, hashes) + body.tobytes()
+    return out
 
 
 # Bits and hashes of the filters of either language.
@@ -108,8 +131,9 @@ def write_package(lexicon: DataFrame, priors: DataFrame, path: str) -> None:
     lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
     priors.orderBy("english").write.mode("overwrite").parquet(f"{path}/priors")
     stored = spark.read.schema(lexicon.schema).parquet(f"{path}/lexicon")
-    for (lang, tier), (bits, hashes) in FILTERS.items():
-        write_bytes(spark, f"{path}/bloom/{lang}-{tier}.kswb", bloom_blob(stored.filter((F.col("lang") == lang) & F.col(tier)).select("form"), bits, hashes))
+    wanted = {f"{lang}-{tier}": ((F.col("lang") == lang) & F.col(tier), bits, hashes) for (lang, tier), (bits, hashes) in FILTERS.items()}
+    for name, data in bloom_blobs(stored, wanted).items():
+        write_bytes(spark, f"{path}/bloom/{name}.kswb", data)
 
 
 def read_package(spark: SparkSession, path: str, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
