@@ -33,23 +33,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialise(frame: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    return Scratch(frame.sparkSession).keep(frame, label)
+class Scratch:
+    """Tables that one run of an operator writes to the shared folder, and drops as soon as nothing reads them.
 
+    With `like`, the rows that the run is about, a table has no more files than these fill: small inputs that come in hundreds of
+    partitions would else be written, table after table, as thousands of tiny files. Partitions are put together, never dealt anew,
+    and none are where the input is large.
+    """
 
-class Scratch:
-    """Tables that one run of an operator writes to the shared folder, and drops as soon as nothing reads them."""
+    ROWS, BYTES = 5_000, 16_000_000
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, {}
+    def __init__(self, spark: SparkSession, like: DataFrame | None = None) -> None:
+        self.spark, self.paths, self.most = spark, {}, None
+        if like is not None:
+            size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            self.most = min(1 << 30, max(spark.sparkContext.defaultParallelism, like.select().count() // self.ROWS, size // self.BYTES))
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
-    def keep(self, frame: DataFrame, label: str) -> DataFrame:
-        """Write a frame and read it back: cuts lineage, survives lost executors."""
+    def keep(self, frame: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+        """Write a frame and read it back: cuts lineage, survives lost executors. `rows`: how many it has at most, if that is known."""
         path = f"{self.root}/{label}-{len(self.paths)}"
         self.paths[path] = label
-        frame.write.option("compression", "zstd").parquet(path)
+        most = max(1, min(rows // self.ROWS, self.most or 1 << 30)) if rows is not None else self.most
+        frame = frame.coalesce(most) if most else frame
+        frame.write.options(compression="zstd", **{"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *but: str) -> None:

@@ -8,8 +8,8 @@ at the wanted containment. A document that contains the item therefore meets the
 the search has no false negatives, at any length of the document. What it finds is verified by exact
 comparison of shingle texts.
 
-Joins are broadcast only after counting: sketches and found pairs up to BROADCAST_ROWS, else they are
-shuffled joins, which adaptive execution splits where a shingle or item is hot.
+Joins are broadcast only after their bytes were summed up, up to BROADCAST_BYTES (a row of hashes or of an item's shingles may be
+long); beyond that they are shuffled joins, which adaptive execution splits where a shingle or item is hot.
 
 Edge cases: null texts count as empty; texts without words match nothing; documents are told apart by
 text, so null or repeated doc_ids and repeated rows each get their own result rows; repeated item_ids are
@@ -21,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlens.llm.common import materialise, table
+from layoutlens.llm.common import Scratch, table
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Sketch entries or found pairs (some 50 bytes each) that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes of sketches, found pairs or items that may be broadcast.
+BROADCAST_BYTES = 20_000_000
 
 
 def words(text: Column) -> Column:
@@ -68,27 +68,30 @@ def _items(benchmark: DataFrame, containment: float) -> DataFrame:
     )
 
 
-def _small(frame: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
+def _small(frame: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(frame) if size <= BROADCAST_BYTES else frame
 
 
-def contained_items(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+def contained_items(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment: one row for each document row and contained item."""
-    items = materialise(_items(benchmark, containment), "decontaminate-items")
+    scratch = scratch or Scratch(documents.sparkSession, documents)
+    items = scratch.keep(_items(benchmark, containment), "items")
     sketch = items.select("item_key", F.explode("sketch").alias("hash")).distinct()
-    facts = items.agg(F.collect_set("length").alias("lengths"), F.sum(F.size("sketch")).alias("entries"), F.count(F.lit(1)).alias("items")).first()
-    keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.md5("text"))
+    bytes_of = F.aggregate("shingles", F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x) + 20) + 100
+    facts = items.agg(F.collect_set("length").alias("lengths"), F.coalesce(F.sum(F.size("sketch") * 60), F.lit(0)).alias("sketches"), F.coalesce(F.sum(bytes_of), F.lit(0)).alias("items")).first()
+    keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
     lengths = sorted(facts["lengths"]) or [SHINGLE]
     # The words are a column of their own: inside the lambdas below they would be split anew for each shingle.
     probes = keyed.select("text_key", words(F.col("text")).alias("w")).select("text_key", F.explode(shingle_hashes(F.col("w"), lengths)).alias("hash"))
-    found = probes.join(_small(sketch, facts["entries"] or 0), "hash").select("text_key", "item_key").distinct()
-    found = materialise(found, "decontaminate-found")
-    by_text = found.groupBy("text_key").agg(F.collect_set("item_key").alias("item_keys"))
-    suspects = keyed.join(_small(by_text, found.count()), "text_key").withColumn("w", words(F.col("text")))
+    found = probes.join(_small(sketch, facts["sketches"]), "hash").select("text_key", "item_key").distinct()
+    found = scratch.keep(found, "found")
+    # A row for each text and item: no row gathers all items of a text that meets many.
+    by_text = found.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"))
+    suspects = keyed.join(_small(by_text.select("text_key"), 60 * by_text.count()), "text_key", "left_semi").withColumn("w", words(F.col("text")))
     for n in lengths:
         suspects = suspects.withColumn(f"s{n}", shingles(F.col("w"), n))
     own = F.coalesce(*[F.when(F.col("length") == n, F.col(f"s{n}")) for n in lengths])
-    pairs = suspects.select("doc_id", *[f"s{n}" for n in lengths], F.explode("item_keys").alias("item_key"))
+    pairs = suspects.select("doc_id", "text_key", *[f"s{n}" for n in lengths]).join(_small(found, 120 * found.count()), "text_key")
     checked = pairs.join(_small(items.select("item_id", "item_key", "length", "shingles"), facts["items"]), "item_key").select(
         "doc_id",
         "item_id",
@@ -99,17 +102,19 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, containment: flo
     return checked.withColumn("containment", share).filter(share >= containment)
 
 
-def leaked_texts(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+def leaked_texts(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, scratch: Scratch | None = None) -> DataFrame:
     """text_key (md5 of the text) of every text that contains an item."""
     by_text = documents.select(F.md5(F.coalesce("text", F.lit(""))).alias("doc_id"), "text")
-    return contained_items(by_text, benchmark, containment).select(F.col("doc_id").alias("text_key")).distinct()
+    return contained_items(by_text, benchmark, containment, scratch).select(F.col("doc_id").alias("text_key")).distinct()
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
-    leaked = materialise(leaked_texts(documents, benchmark, containment).withColumnRenamed("text_key", "__leak"), "decontaminate-leaked")
-    rows = documents.withColumn("__key", F.md5(F.coalesce("text", F.lit(""))))
-    return rows.join(_small(leaked, leaked.count()), F.col("__key") == F.col("__leak"), "left_anti").drop("__key")
+    """The documents that contain no item, with all their columns, whatever their names."""
+    scratch = Scratch(documents.sparkSession, documents)
+    leaked = scratch.keep(leaked_texts(documents, benchmark, containment, scratch), "leaked")
+    scratch.drop("leaked")
+    rows = documents.select(F.struct("*").alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
+    return rows.join(_small(leaked, 60 * leaked.count()), "text_key", "left_anti").select("row.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from layoutlens.llm.common import materialise, table
+from layoutlens.llm.common import Scratch, released, runs_of, table
 
 SIMILARITY = 0.8
 #: 25 bands of 5 registers: at a similarity of 0.8 a pair shares no bucket once in 20,000 times.
 BANDS = 25
 ROWS = 5
-CHUNK_CHARS = 500_000
+CHUNK_BYTES = 400_000
 #: Keys of 16 bytes (some 60 in a hash table) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -97,17 +97,6 @@ def band_hashes(texts: list[str], bands: int = BANDS, rows: int = ROWS):
     return mix(joined).view(np.int64), np.isfinite(found[:, 0])
 
 
-def _chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > limit:
-            yield start, k
-            start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _banded(documents: DataFrame) -> DataFrame:
     """doc_id, node (md5 of the text), bands (empty for a text without words)."""
 
@@ -115,16 +104,15 @@ def _banded(documents: DataFrame) -> DataFrame:
         import numpy as np
 
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in _chunks(texts, CHUNK_CHARS):
-                hashes, some = band_hashes(texts[a:b])
+            for a, b in runs_of(batch.column(2), CHUNK_BYTES):
+                hashes, some = band_hashes(batch.column(2).slice(a, b - a).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[some].reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], names=["doc_id", "node", "bands"])
 
     text = F.coalesce("text", F.lit(""))
     rows = documents.select("doc_id", F.unhex(F.md5(text)).alias("node"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>")
+    return rows.mapInArrow(released(run), "doc_id bigint, node binary, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -134,36 +122,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         from layoutlens.llm.shingles import overlap
 
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for a, b in _chunks([x + y for x, y in zip(left, right, strict=True)], CHUNK_CHARS):
-                linked = overlap(left[a:b], right[a:b]) >= similarity
+            for a, b in runs_of(batch.column(2), CHUNK_BYTES, batch.column(3)):
+                linked = overlap(*(batch.column(k).slice(a, b - a).to_pylist() for k in (2, 3))) >= similarity
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(linked)], names=["a", "b", "linked"])
 
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, linked boolean")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(released(run), "a binary, b binary, linked boolean")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, root for each node of the links (a, b): every connected set shares its root.
 
-    Each round replaces a node by the least node among itself and its neighbours, in the links and so
-    among ever fewer nodes; nothing but the number of links left comes to the driver.
+    Each round replaces a node by the least node among itself and its neighbours, and that one by its own, so chains at
+    least halve; it works on the links that are left, and nothing but how many there are comes to the driver.
     """
+    scratch = scratch or Scratch(links.sparkSession)
     nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    root = materialise(nodes.withColumn("root", F.col("node")), "components-root")
-    edges = links.select("a", "b")
-    while True:
+    edges, left = links.select("a", "b"), links.count()
+    root = scratch.keep(nodes.withColumn("root", F.col("node")), "root", 2 * left)
+    n_nodes = root.count()
+    while left:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("next")), "components-least")
+        least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("next"))
+        then = least.select(F.col("node").alias("next"), F.col("next").alias("then"))
+        least = scratch.keep(least.join(then, "next").select("node", F.col("then").alias("next")), "least", 2 * left)
         step = least.select(F.col("node").alias("root"), "next")
-        root = materialise(root.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "components-root")
+        root = scratch.keep(root.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "root", n_nodes)
         to_a, to_b = least.select(F.col("node").alias("a"), F.col("next").alias("na")), least.select(F.col("node").alias("b"), F.col("next").alias("nb"))
         moved = edges.join(to_a, "a").join(to_b, "b").filter("na <> nb")
-        edges = moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
-        edges = materialise(edges, "components-edges")
-        if edges.isEmpty():
-            return root
+        edges = scratch.keep(moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct(), "edges", left)
+        left = edges.count()
+    return root
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -171,7 +161,7 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-def _hubs(nodes: DataFrame) -> DataFrame:
+def _hubs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """bucket, node, hub of every bucket of two texts or more.
 
     The hub is the member that shares most places with others over all its buckets: in a group of
@@ -179,13 +169,13 @@ def _hubs(nodes: DataFrame) -> DataFrame:
     """
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    inside = materialise(members.join(shared, "bucket"), "near-shared")
+    inside = scratch.keep(members.join(shared, "bucket"), "shared")
     central = inside.groupBy("node").agg(F.sum(F.col("n") - 1).alias("met"))
     hubs = inside.join(central, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("most"))
     return inside.select("bucket", "node").join(hubs.select("bucket", F.col("most.node").alias("hub")), "bucket")
 
 
-def _rare_first(texts: DataFrame, similarity: float) -> DataFrame:
+def _rare_first(texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """node, element, place, size: what of each text must contain something that a linked text has too.
 
     A text is a set of elements (shingle, number of its occurrence). With the elements of all these texts in one
@@ -199,15 +189,14 @@ def _rare_first(texts: DataFrame, similarity: float) -> DataFrame:
         from layoutlens.llm.shingles import mix, multisets, shingle_hashes
 
         for batch in batches:
-            found = batch.column(1).to_pylist()
-            for a, b in _chunks(found, CHUNK_CHARS):
-                owner, hashes, weight = multisets(*shingle_hashes(found[a:b]))
+            for a, b in runs_of(batch.column(1), CHUNK_BYTES):
+                owner, hashes, weight = multisets(*shingle_hashes(batch.column(1).slice(a, b - a).to_pylist()))
                 number = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
                 elements = mix(np.repeat(hashes, weight) + number.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
                 nodes = batch.column(0).slice(a, b - a).take(pa.array(np.repeat(owner, weight)))
                 yield pa.RecordBatch.from_arrays([nodes, pa.array(elements.view(np.int64))], names=["node", "element"])
 
-    parts = materialise(texts.select("node", "text").mapInArrow(run, "node binary, element bigint"), "near-elements")
+    parts = scratch.keep(texts.select("node", "text").mapInArrow(released(run), "node binary, element bigint"), "elements")
     met = parts.groupBy("element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "element")
     placed = parts.join(met, "element", "left").withColumns(
@@ -216,7 +205,7 @@ def _rare_first(texts: DataFrame, similarity: float) -> DataFrame:
     return placed.filter(F.col("n").isNotNull() & (F.col("place") <= (1 - similarity) * F.col("size") + 1e-6)).drop("n")
 
 
-def _left_open(inside: DataFrame, root: DataFrame, failed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _left_open(inside: DataFrame, root: DataFrame, failed: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Pairs (f, node) that may be linked although f failed against its hub, and that nothing connects so far.
 
     In play are the texts of all buckets that hold such an f. Exact: texts that share none of their rarest
@@ -225,11 +214,11 @@ def _left_open(inside: DataFrame, root: DataFrame, failed: DataFrame, texts: Dat
     """
     rooted = inside.join(root, "node", "left").select("bucket", "hub", "node", F.coalesce("root", "node").alias("root"))
     hub_root = root.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    rooted = materialise(rooted.join(hub_root, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")), "near-rooted")
-    open_ones = materialise(rooted.filter("root <> hub_root").join(failed, ["hub", "node"]).select("bucket", "node", "root"), "near-open")
+    rooted = scratch.keep(rooted.join(hub_root, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")), "rooted")
+    open_ones = scratch.keep(rooted.filter("root <> hub_root").join(failed, ["hub", "node"]).select("bucket", "node", "root"), "open")
     mates = rooted.join(open_ones.select("bucket").distinct(), "bucket", "left_semi").select("node", "root").distinct()
-    mates = materialise(mates, "near-mates")
-    elements = materialise(_rare_first(texts.join(mates.select("node"), "node", "left_semi"), similarity).join(mates, "node"), "near-rare")
+    mates = scratch.keep(mates, "mates")
+    elements = scratch.keep(_rare_first(texts.join(mates.select("node"), "node", "left_semi"), similarity, scratch).join(mates, "node"), "rare")
     remaining = lambda size, place: size - place
     enough = lambda shared, a, b: shared + 1e-6 >= similarity * (a + b - shared)
     least = elements.groupBy("element").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -242,41 +231,47 @@ def _left_open(inside: DataFrame, root: DataFrame, failed: DataFrame, texts: Dat
 
 
 def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node, class_id, keep_node: every document row; `keep_node` is the text that stands for the class."""
-    banded = materialise(_banded(documents), "near-banded")
-    nodes = materialise(
-        banded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "near-nodes"
-    )
-    inside = materialise(_hubs(nodes), "near-buckets")
-    pairs = materialise(inside.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    wanted = materialise(inside.select("node").distinct(), "near-wanted")
+    """doc_id, node, class_id, keep_node: every document row; `keep_node` is the text that stands for the class.
+
+    The tables written on the way are dropped, but for the two that the result reads.
+    """
+    scratch = Scratch(documents.sparkSession, documents)
+    banded = scratch.keep(_banded(documents), "banded")
+    nodes = scratch.keep(banded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
+    inside = scratch.keep(_hubs(nodes, scratch), "buckets")
+    met = inside.count()
+    pairs = scratch.keep(inside.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs", met)
+    wanted = scratch.keep(inside.select("node").distinct(), "wanted", met)
     text = F.coalesce("text", F.lit(""))
     keyed = documents.select(F.unhex(F.md5(text)).alias("node"), text.alias("text"))
-    texts = materialise(keyed.join(_small(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-    first = materialise(_verified(pairs, texts, similarity), "near-first")
+    texts = scratch.keep(keyed.join(_small(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    first = scratch.keep(_verified(pairs, texts, similarity), "first")
     links = first.filter("linked").select("a", "b")
-    root = components(links)
-    more = _left_open(inside, root, first.filter("NOT linked").select(F.col("a").alias("hub"), F.col("b").alias("node")), texts, similarity)
-    more = materialise(more.select(F.least("f", "node").alias("a"), F.greatest("f", "node").alias("b")).distinct(), "near-more")
+    root = components(links, scratch)
+    failed = first.filter("NOT linked").select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    more = _left_open(inside, root, failed, texts, similarity, scratch)
+    more = scratch.keep(more.select(F.least("f", "node").alias("a"), F.greatest("f", "node").alias("b")).distinct(), "more")
     if not more.isEmpty():
-        second = materialise(_verified(more, texts, similarity).filter("linked").select("a", "b"), "near-second")
+        second = scratch.keep(_verified(more, texts, similarity).filter("linked").select("a", "b"), "second")
         if not second.isEmpty():
-            root = components(links.union(second))
+            root = components(links.union(second), scratch)
     placed = nodes.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "node")).alias("least"))
     named = placed.join(least, "root").select("node", F.col("least.id").alias("class_id"), F.col("least.node").alias("keep_node"))
-    return banded.select("doc_id", "node").join(materialise(named, "near-named"), "node")
+    named, own = scratch.keep(named, "named"), scratch.keep(banded.select("doc_id", "node"), "own")
+    scratch.drop("named", "own")
+    return own.join(named, "node")
 
 
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class: the one with its least doc_id; of several equal rows, one."""
-    found = classes(documents, similarity)
+    """One row of each class with all its columns, whatever their names: the one with its least doc_id; of several equal rows, one."""
+    found, scratch = classes(documents, similarity), Scratch(documents.sparkSession, documents)
     kept = found.filter("node = keep_node AND doc_id <=> class_id").groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = materialise(kept.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), F.col("n").alias("__n")), "near-kept")
-    keyed = documents.withColumn("__own", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    rows = keyed.join(kept, (F.col("__own") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    single, several = rows.filter("__n = 1"), rows.filter("__n > 1").dropDuplicates(["__node", "__id"])
-    return single.union(several).select(*documents.columns)
+    kept = scratch.keep(kept.select("node", F.col("doc_id").alias("id"), "n"), "kept")
+    own = documents.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("own"))
+    rows = own.join(kept, (F.col("own") == F.col("node")) & F.col("row.doc_id").eqNullSafe(F.col("id")))
+    single, several = rows.filter("n = 1"), rows.filter("n > 1").dropDuplicates(["node", "id"])
+    return single.select("row.*").union(several.select("row.*"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

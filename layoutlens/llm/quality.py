@@ -10,7 +10,7 @@ gives a logit; a temperature fitted on rows kept from the training turns it into
 
 Edge cases: null texts count as empty, and a text without words has a zero vector like any other input;
 without labels of both kinds every score is the share of 1 among the labels (0.5 without any). Repeated
-rows and null doc_ids get a row each; extra columns are not read. Memory per task: CHUNK_CHARS of text at a
+rows and null doc_ids get a row each; extra columns are not read. Memory per task: CHUNK_BYTES of text at a
 time, or one longer text.
 """
 
@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlens.llm.common import label_shares, labelled_sample, remainder, table
-from layoutlens.llm.near_dedup import _chunks
+from layoutlens.llm.common import label_shares, labelled_sample, released, remainder, runs_of, table, trim
 from layoutlens.llm.shingles import run_hashes
 
 #: Labelled rows to learn from, at most.
@@ -36,7 +35,7 @@ NONZERO = 6
 REACH = 2
 HIDDEN = 32
 THRESHOLD = 0.3
-CHUNK_CHARS = 300_000
+CHUNK_BYTES = 300_000
 
 
 def index_vectors(n: int, seed: int) -> np.ndarray:
@@ -58,13 +57,17 @@ def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (hashes % np.uint64(SLOTS)).astype(np.int64), shapes, counts
 
 
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    return runs_of(pa.array(texts, pa.large_string()), CHUNK_BYTES)
+
+
 def word_vectors(texts: list[str]) -> dict[str, np.ndarray]:
     """The vectors of all word slots and of all shapes."""
     made = {}
     for name, n, seed in (("words", SLOTS, 1), ("shapes", SHAPES, 2)):
         index = index_vectors(n, seed)
         context = np.zeros((n, WIDTH), dtype=np.float32)
-        for a, b in _chunks(texts, CHUNK_CHARS):
+        for a, b in _chunks(texts):
             slots, shapes, counts = _slots(texts[a:b])
             at = slots if name == "words" else shapes
             owner = np.repeat(np.arange(b - a), counts)
@@ -86,7 +89,7 @@ def word_vectors(texts: list[str]) -> dict[str, np.ndarray]:
 def pooled(texts: list[str], vectors: dict[str, np.ndarray]) -> np.ndarray:
     """One row for each text: the two mean vectors, their lengths, and the logarithm of the number of words."""
     out = np.zeros((len(texts), 2 * WIDTH + 3), dtype=np.float32)
-    for a, b in _chunks(texts, CHUNK_CHARS):
+    for a, b in _chunks(texts):
         slots, shapes, counts = _slots(texts[a:b])
         some = np.flatnonzero(counts)
         starts = (np.cumsum(counts) - counts)[some]
@@ -163,15 +166,19 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = score_texts([t or "" for t in batch.column(2).to_pylist()], shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["doc_id", "node", "score"])
+            for a, b in runs_of(batch.column(2), CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                found = score_texts([t or "" for t in part.column(2).to_pylist()], shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.float64())], names=["doc_id", "node", "score"])
 
     rows = documents.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, node binary, score double")
+    return rows.mapInArrow(released(run), "doc_id bigint, node binary, score double")
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> dict:
-    return train(labelled_sample(spark, sf_dir, "quality", label_shares(spark, sf_dir, "quality", ROWS)))
+    model = train(labelled_sample(spark, sf_dir, "quality", label_shares(spark, sf_dir, "quality", ROWS)))
+    trim()
+    return model
 
 
 def keep_good(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
@@ -181,10 +188,12 @@ def keep_good(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = score_texts([t or "" for t in batch.column(at).to_pylist()], shared.value)
-            yield batch.filter(pa.array(found >= threshold))
+            for a, b in runs_of(batch.column(at), CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                found = score_texts([t or "" for t in part.column(at).to_pylist()], shared.value)
+                yield part.filter(pa.array(found >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(released(run), documents.schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

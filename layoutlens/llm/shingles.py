@@ -7,11 +7,10 @@ import numpy as np
 SHINGLE = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Word characters map to a value over 0: ASCII letters (A-Z as a-z), digits, and all bytes of other code points.
-_VALUE = np.zeros(256, dtype=np.uint64)
-for _b in range(256):
-    if chr(_b).isalnum() and _b < 128 or _b >= 128:
-        _VALUE[_b] = ord(chr(_b).lower()) + 1 if _b < 128 else _b + 1
+#: Powers for texts up to this length are kept by a worker.
+KEPT = 1 << 19
+#: Letters and digits of any script map to a value over 0, all else to 0.
+_VALUE = np.array([c + 1 if chr(c).isalnum() else 0 for c in range(0x110000)], dtype=np.uint32)
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -24,20 +23,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            one = np.full(size, base, dtype=np.uint64)
-            one[0] = 1
-            _powers[k] = np.multiply.accumulate(one)
-    return _powers[0][:n], _powers[1][:n]
+    if n <= len(_powers[0]):
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_BASE, _INVERSE):
+        one = np.full(max(n, KEPT), base, dtype=np.uint64)
+        one[0] = 1
+        made.append(np.multiply.accumulate(one))
+    if n <= KEPT:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and the number of words of each text."""
-    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" ".join(encoded) + b" ", dtype=np.uint8)
-    value = _VALUE[data]
+    """The hash of each word (a run of letters and digits, lower-cased), and the number of words of each text."""
+    low = [t.lower() for t in texts]
+    data = np.frombuffer(" ".join([*low, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    value = _VALUE[data].astype(np.uint64)
     inside = np.zeros(len(data) + 1, dtype=np.int8)
     inside[1:] = value > 0
     edge = np.diff(inside)
@@ -47,7 +49,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(value * power[:-1], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * inverse[starts])
-    bounds = np.cumsum(np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) + 1)
+    bounds = np.cumsum(np.fromiter(map(len, low), dtype=np.int64, count=len(low)) + 1)
     counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
     return hashes, counts
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 
 def multiset(text):
-    words = [w.lower() for w in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", text or "")]
+    words = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
     if len(words) >= 5:
         return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
     return Counter([tuple(words)] if words else [])

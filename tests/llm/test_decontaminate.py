@@ -30,15 +30,28 @@ def test_matches_brute_force_in_both_ways(spark, make_documents, monkeypatch):
         documents.append((k, " ".join(words) + "; " + " ".join(cut).upper() + ". " + " ".join(words[:5])))
     documents += [(None, documents[0][1]), (1, documents[1][1]), (70, None), (71, "")]
     want = brute(documents, benchmark)
-    for limit in (dc.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(dc, "BROADCAST_ROWS", limit)
+    for limit in (dc.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(dc, "BROADCAST_BYTES", limit)
         frame = make_documents(documents).withColumn("item_id", F.lit("clash"))
         found = dc.contained_items(frame, items(spark, benchmark)).collect()
         assert sorted((str(r.doc_id), str(r.item_id), round(r.containment, 9)) for r in found) == want
-    clean = dc.without_leaks(make_documents(documents), items(spark, benchmark))
+    extra = make_documents(documents).withColumns({"__key": F.lit("mine"), "__leak": F.lit(3), "text_key": F.lit("own"), "row": F.lit(4)})
+    clean = dc.without_leaks(extra, items(spark, benchmark))
+    assert clean.columns == extra.columns and {(r["__key"], r["__leak"], r.text_key, r.row) for r in clean.collect()} == {("mine", 3, "own", 4)}
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, x in documents if not any(contained(t, x) >= 0.8 for _, t in benchmark))
 
 
+def test_long_text_and_the_query(spark, make_documents):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    long = "word " * 60_000 + item + " tail" * 60_000
+    found = dc.contained_items(make_documents([(1, long), (2, "word " * 1_000)]), items(spark, [(7, item)])).collect()
+    assert [(r.doc_id, r.item_id, r.containment) for r in found] == [(1, 7, 1.0)]
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    assert sorted((str(r.doc_id), str(r.item_id), round(r.containment, 9)) for r in dc.op4(spark, d).collect()) == brute(rows, bench)
+
+
 def test_empty_tables(spark, make_documents):
     assert dc.contained_items(make_documents([]), items(spark, [(1, "a b")])).count() == 0
     assert dc.contained_items(make_documents([(1, "a b")]), items(spark, [])).count() == 0

@@ -57,12 +57,37 @@ def test_on_whole_table(spark):
 def test_keeps_one_of_each_class_whatever_the_columns(make_documents):
     text = "one two three four five six seven eight nine ten"
     rows = [(None, None), (3, text), (3, text), (1, text), (None, text), (7, "other " + text * 3)]
-    documents = make_documents(rows).withColumns({"node": F.lit("clash"), "class_id": F.lit(9)})
+    documents = make_documents(rows).withColumns({"node": F.lit("clash"), "class_id": F.lit(9), "__own": F.lit("mine"), "__node": F.lit("mine"), "__id": F.lit(1), "__n": F.lit(2), "row": F.lit(3), "own": F.lit(4), "n": F.lit(5)})
     kept = near_dedup.keep_one(documents)
     assert kept.columns == documents.columns
+    assert {(r["__own"], r["__node"], r["__id"], r["__n"], r.row, r.own, r.n) for r in kept.collect()} == {("mine", "mine", 1, 2, 3, 4, 5)}
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect()) == [(False, 1, text), (False, 7, rows[-1][1]), (True, 0, None)]
 
 
+def test_letters_of_any_script_and_case(make_documents):
+    text = "Über die große Straße geht der Élève früh nach Hause und liest «Bücher» – viele Bücher"
+    rows = [(1, text), (2, text.upper().replace("SS", "ß").lower()), (3, text.replace("«", '"').replace("»", '"').replace("–", "-")), (4, text.replace(" ", "\u00a0"))]
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(make_documents(rows)).collect()}
+    assert found == brute_classes(rows) and set(found.values()) == {1}
+
+
+def test_long_texts(make_documents):
+    rng = random.Random(8)
+    words = invented(rng, 60_000)
+    edited = [w if k % 500 else "edit" for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(invented(rng, 50_000)))]
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(make_documents(rows)).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+
+
+def test_query_and_recall(spark):
+    """Every class of sf0.01 by all pairs that share a shingle: recall of documents that are linked to another."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    found, want = {r.doc_id: r.class_id for r in near_dedup.op8(spark, "/root/testdata/sf0.01").collect()}, brute_classes(rows)
+    linked = [k for k, c in want.items() if c != k]
+    assert len(linked) > 50 and sum(found[k] == want[k] for k in linked) / len(linked) == 1.0 and all(found[k] == k for k, c in want.items() if c == k)
+
+
 def test_empty_table(make_documents):
     assert near_dedup.classes(make_documents([])).count() == 0
     assert near_dedup.keep_one(make_documents([])).count() == 0

@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -51,3 +52,28 @@ def test_edge_cases(make_documents):
     assert sorted(str(r.doc_id) for r in kept.collect()) == want
     assert quality.score(make_documents([]), model).count() == 0
     assert quality.train([("a", 1)] * 30) == {"constant": 1.0} and quality.train([]) == {"constant": 0.5}
+
+
+def test_query_matches_a_plain_pass(spark):
+    """Every tenth row of the query word by word, and its accuracy where labels are held out."""
+    d = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    model, found = quality.fitted(spark, d), {r.doc_id: r for r in quality.op7(spark, d).collect()}
+    assert found.keys() == rows.keys()
+    net, vectors = model["net"], model["vectors"]
+    for doc_id in sorted(rows)[::10]:
+        runs = re.findall(r"[A-Za-z\x80-\U0010ffff]+|[0-9]+|[^\sA-Za-z0-9\x80-\U0010ffff]+", rows[doc_id])
+        means = [np.zeros(quality.WIDTH), np.zeros(quality.WIDTH)]
+        for w in runs:
+            hashes, shapes, _ = shingles.run_hashes([w])
+            means[0] += vectors["words"][int(hashes[0]) % quality.SLOTS] / len(runs)
+            means[1] += vectors["shapes"][int(shapes[0])] / len(runs)
+        x = np.concatenate([*means, [np.linalg.norm(m) for m in means], [np.log1p(len(runs))]])
+        hidden = np.tanh(((x - net["mean"]) / net["scale"]) @ net["w1"] + net["b1"])
+        z = float((hidden @ net["w2"] + net["b2"])[0]) / net["temperature"]
+        assert abs(found[doc_id].score - 1 / (1 + np.exp(-z))) < 1e-3
+    for doc_id, r in found.items():
+        assert r.held_out == (zlib.crc32(str(doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    held = [k for k, r in found.items() if r.held_out and labels.get(k) in (0, 1)]
+    assert sum(found[k].predicted == labels[k] for k in held) / len(held) >= 0.9
