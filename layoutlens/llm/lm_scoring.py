@@ -9,7 +9,8 @@ Learning covers every training document; nothing is sampled, and nothing that is
    (their orders up to the split then count what their shard has).
 3. A shard adds the counts of all chunks up, learns its weights and its refining map from all its training decisions, and sends
    back to each chunk what its places cost and how often its words occur, in the order of the chunk's own list.
-4. A chunk adds up its texts' places and words.
+4. A chunk adds up its texts' places and words; the probabilities go on to adapt to each text as it is read (in a long text, within a
+   piece).
 
 So what is gathered from the corpus grows with it, in the number of shards alone; a task holds one shard or one chunk.
 Broadcast are the tree with the table of order 1 (256 x 256 counts) and the marks of split contexts (at most
@@ -138,7 +139,9 @@ def chunks(documents: DataFrame, scratch: Scratch) -> DataFrame:
         if own.places:
             yield own.row(number, ends)
 
-    return scratch.keep(documents.select("doc_id", "text", "learn").mapInArrow(released(run), _CHUNKS_DDL), "chunks")
+    # Put together before chunks are numbered by partition, so that small partitions share a chunk as well.
+    rows = documents.select("doc_id", "text", "learn").coalesce(scratch.most)
+    return scratch.keep(rows.mapInArrow(released(run), _CHUNKS_DDL), "chunks")
 
 
 def shares(keys: np.ndarray, words: np.ndarray, shards: int, split: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -225,7 +228,8 @@ def chunk_scores(texts: DataFrame, answered: DataFrame, shards: int, split: np.n
             score = np.zeros(n)
             for owner, run in mixing.segments(found):
                 numbers, segment = mixing.places(run)
-                np.add.at(score, owner, np.bincount(segment, weights=losses[place(numbers)], minlength=len(owner)))
+                own = mixing.adapted(numbers, segment, losses[place(numbers)])
+                np.add.at(score, owner, np.bincount(segment, weights=own, minlength=len(owner)))
             words, sizes = mixing.words(found)
             log, text = logs[word(words)] if len(words) else np.zeros(0), np.repeat(np.arange(n), sizes)
             rows["doc_id"].append(pa.array(r["doc_ids"], _INTS))
@@ -250,7 +254,7 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))
-    scratch = Scratch(spark)
+    scratch = Scratch(spark, documents.select("doc_id", "text"))
     every = chunks(rows, scratch)
     listed = every.filter(F.col("keys").isNotNull())
     facts = listed.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("total"), F.coalesce(F.sum("n_places"), F.lit(0)).alias("places")).first()

@@ -10,7 +10,7 @@ a predictor gives the stretched probability of a decision from the counts of its
 context was met, and the depth) selects the weights that add the predictors up, and a refining map over the gate and the
 mixed value corrects what is left. Weights and map are learned from every training decision, its own count left out, by
 Newton steps and bounded steps. `costs` does so for one shard: a set of contexts with all of their places, so each shard
-has weights and a map of its own.
+has weights and a map of its own. While a text is scored, `adapted` goes on to refine the probabilities by what the text has shown so far.
 """
 
 from __future__ import annotations
@@ -438,6 +438,32 @@ def costs(keys: np.ndarray, counts: np.ndarray, common: Common) -> np.ndarray:
     return total
 
 
+#: Bytes of context that a text's own places are counted by, and what the model's probability weighs beside them.
+OWN_ORDER, MODEL_WEIGHT = 6, 10.0
+
+
+def adapted(keys: np.ndarray, owner: np.ndarray, loss: np.ndarray) -> np.ndarray:
+    """The losses of texts' places in order, refined as the texts go on.
+
+    With n earlier places of the text after the same six bytes, m of them with the same own byte, a probability p becomes (m + w p) / (n + w):
+    what a text repeats grows likelier in it. The probabilities of a context still add up to one.
+    """
+    text = mix(owner.astype(np.uint64) + np.uint64(1))
+    n, m = (_earlier(mix(of + text)) for of in (context(keys, OWN_ORDER), keys | np.uint64(1 << 63)))
+    return -np.log((m + MODEL_WEIGHT * np.exp(-loss)) / (n + MODEL_WEIGHT))
+
+
+def _earlier(names: np.ndarray) -> np.ndarray:
+    """For each name (a hash of which 44 bits count) how often it occurred before; 2**20 names at most."""
+    spot = np.uint64((1 << 20) - 1)
+    order = names & ~spot | np.arange(len(names), dtype=np.uint64)
+    order.sort()
+    first = _starts(order >> np.uint64(20))
+    found = np.empty(len(names), dtype=np.int64)
+    found[(order & spot).astype(np.int64)] = np.arange(len(names)) - np.repeat(first, np.diff(np.append(first, len(names))))
+    return found
+
+
 class Found:
     """The place of numbers among sorted distinct ones, by hash first."""
 

@@ -73,6 +73,22 @@ def test_probabilities_sum_to_one():
         assert len(asked) == 231 and abs(np.exp(-cost).sum() - 1) < 1e-9
 
 
+def test_a_text_makes_what_it_repeats_likelier():
+    line = b"a line that nobody knows: zqx vwk jjq. "
+    keys, owner = mixing.places([(line * 6, b"", True), (line, b"", True)])
+    loss = np.full(len(keys), math.log(231))
+    found = mixing.adapted(keys, owner, loss)
+    size = len(line)
+    assert found[: size - 6].mean() > 4 * found[4 * size : 5 * size].mean() and np.allclose(found[owner == 1][:size], loss[0], atol=0.2)
+    # Whatever came before, the 231 probabilities of the next byte add up to one.
+    before = line * 3 + b"a line"
+    total = 0.0
+    for b in mixing.SYMBOLS.tolist():
+        keys, owner = mixing.places([(before + (b"" if b == mixing.END else bytes([b])), b"", b == mixing.END)])
+        total += math.exp(-mixing.adapted(keys, owner, np.full(len(keys), math.log(231)))[-1])
+    assert abs(total - 1) < 1e-9
+
+
 def test_learning_lowers_the_cost_of_new_text():
     rng = random.Random(2)
     words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) for _ in range(200)]
@@ -137,8 +153,13 @@ def test_base_line_and_score_match_brute_force(spark):
     for _, part in mixing.by_shard(mixing.dealt(every, lm_scoring.LEAST_SHARDS, np.zeros(0, dtype=np.int64))):
         cost[part] = mixing.costs(every[part], n[part], common)
     for doc_id, text in texts.items():
-        own, times = counted([text])
-        assert math.isclose(-(cost[np.searchsorted(every, own)] @ times) / math.log(10), found[doc_id].score, rel_tol=1e-4, abs_tol=1e-3)
+        seen, both, total = Counter(), Counter(), 0.0
+        for key in mixing.places([(text, b"", True)])[0].tolist():
+            p = math.exp(-cost[np.searchsorted(every, np.uint64(key))])
+            total += math.log10((both[key] + mixing.MODEL_WEIGHT * p) / (seen[key >> 8] + mixing.MODEL_WEIGHT))
+            seen[key >> 8] += 1
+            both[key] += 1
+        assert math.isclose(total, found[doc_id].score, rel_tol=1e-4, abs_tol=1e-3)
     held = [r for r in found.values() if r.held_out]
     assert sum(r.bits_per_byte * (len(texts[r.doc_id]) + 1) for r in held) / sum(len(texts[r.doc_id]) + 1 for r in held) < 2.6
 
@@ -150,6 +171,7 @@ def test_chunks_and_pieces_change_nothing(spark, make_documents, monkeypatch):
     want = {r.doc_id: r for r in lm_scoring.score(documents, learn).collect()}
     monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 1_000)
     monkeypatch.setattr(mixing, "PIECE_BYTES", 700)
+    assert max(map(len, texts)) < 700
     found = {r.doc_id: r for r in lm_scoring.score(documents, learn).collect()}
     assert len(want) == 63
     for k, v in want.items():
