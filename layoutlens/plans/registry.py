@@ -145,7 +145,7 @@ def lexicon_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, stored_priors, blooms = files.read_package(spark, path, made)
     tiers = [t for t in L.TIERS if t != "is_short"]
     rows = stored.select("lang", F.explode(F.filter(F.array(*[F.when(F.col(t), F.lit(t)) for t in tiers]), lambda x: x.isNotNull())).alias("tier")).groupBy("lang", "tier").agg(F.count(F.lit(1)).alias("words"))
-    name = F.regexp_extract("path", "([12])-([a-z_]+)[.]kswb$", 0)
+    name = F.regexp_extract("path", "([12])-([a-z_]+)[.]bloom$", 0)
     facts = blooms.select("path", "bits", "hashes", "valid").join(files.bloom_positions(blooms).groupBy("path").agg(F.count(F.lit(1)).alias("bits_set")), "path")
     facts = facts.select(F.left(name, F.lit(1)).cast("int").alias("lang"), F.regexp_extract(name, "-([a-z_]+)", 1).alias("tier"), "bits", "hashes", "valid", "bits_set")
     return facts.join(rows, ["lang", "tier"]).crossJoin(F.broadcast(stored_priors.agg(F.count(F.lit(1)).alias("priors"), F.sum("points").alias("points"))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from layoutlens.functions import text as T
 from layoutlens.operators.lexicon import TIERS, require_same
 
+# Fixed values of the file format.
 MAGIC = "KSWB"
 HEADER = 16
 MOST_HASHES = 16
@@ -133,7 +134,7 @@ def write_package(lexicon: DataFrame, priors: DataFrame, path: str) -> None:
     stored = spark.read.schema(lexicon.schema).parquet(f"{path}/lexicon")
     wanted = {f"{lang}-{tier}": ((F.col("lang") == lang) & F.col(tier), bits, hashes) for (lang, tier), (bits, hashes) in FILTERS.items()}
     for name, data in bloom_blobs(stored, wanted).items():
-        write_bytes(spark, f"{path}/bloom/{name}.kswb", data)
+        write_bytes(spark, f"{path}/bloom/{name}.bloom", data)
 
 
 def read_package(spark: SparkSession, path: str, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -142,7 +143,7 @@ def read_package(spark: SparkSession, path: str, expected: DataFrame | None = No
     files = bloom_files(spark, f"{path}/bloom")
     name = F.element_at(F.split("path", "/"), -1)
     valid = {r["name"] for r in files.filter("valid").select(name.alias("name")).collect()}
-    missing = [f"{lang}-{tier}.kswb" for lang, tier in FILTERS if f"{lang}-{tier}.kswb" not in valid]
+    missing = [f"{lang}-{tier}.bloom" for lang, tier in FILTERS if f"{lang}-{tier}.bloom" not in valid]
     present = {r["lang"]: [r[t] for t in TIERS] for r in lexicon.groupBy("lang").agg(*[F.bool_or(t).alias(t) for t in TIERS]).collect()}
     missing += [f"lexicon {lang}" for lang in (1, 2) if not all(present.get(lang, [False]))]
     if missing:
