@@ -1,13 +1,14 @@
 """Merkle fingerprints of documents: pieces -> paragraphs -> sections -> root, DataFrame functions only.
 
-A text splits into blocks at empty lines, a block into paragraphs at line ends, and every SECTION
-consecutive paragraphs of a block form one section, so each level is cut at the same places for the same
-text. A paragraph node hashes the paragraph, a section node its paragraph nodes, the root its section
-nodes; the first section of a block has its own tag, so the root determines the whole text. Below the
-paragraphs lie pieces (sentences, cut at PIECE code points), whose hashes serve `likeness`.
+A text splits into blocks at empty lines, a block into paragraphs at line ends, a paragraph into pieces (sentences, cut at
+PIECE code points), and every SECTION consecutive paragraphs of a block form one section, so each level is cut at the same places for the same
+text. The leaves hash the pieces, a paragraph node hashes its leaves, a section node its paragraph nodes, the root its section
+nodes; the first section of a block has its own tag, so the root determines the whole text. `likeness` compares the leaves of two trees;
+`changed_paragraphs` descends only into sections that the other tree has not.
 
 Edge cases: a null text counts as empty; an empty text is one block with one empty paragraph and has no
-pieces; two texts without pieces are alike (1.0). Repeated rows get equal trees.
+leaves; two texts without leaves are alike (1.0). Repeated rows get equal trees; extra columns keep their values, whatever their names.
+Successors: equal ids are ordered by text, null ids come last; rows of one id are in one task.
 """
 
 from __future__ import annotations
@@ -23,21 +24,23 @@ PIECE = 160
 PIECE_PATTERN = f"[^.!?]{{1,{PIECE}}}[.!?]*|[.!?]+"
 
 
+def _paragraph(paragraph: Column) -> Column:
+    """struct<node, leaves> of a paragraph."""
+    leaves = F.transform(F.regexp_extract_all(paragraph, F.lit(PIECE_PATTERN), F.lit(0)), lambda x: F.sha2(x, 256))
+    return F.struct(leaves.alias("leaves"))
+
+
 def _section_nodes(block: Column) -> Column:
-    nodes = F.transform(F.split(block, "\n"), lambda p: F.sha2(F.concat(F.lit("P"), p), 256))
-    count = F.size(nodes)
-    starts = F.sequence(F.lit(0), F.floor((count - 1) / SECTION).cast("int"))
-    return F.transform(
-        starts,
-        lambda i: F.struct(
-            F.sha2(F.concat(F.when(i == 0, "S").otherwise("T"), F.array_join(F.slice(nodes, i * SECTION + 1, SECTION), "")), 256).alias("node"),
-            F.slice(nodes, i * SECTION + 1, SECTION).alias("paragraphs"),
-        ),
-    )
+    paragraphs = F.transform(F.split(block, "\n"), _paragraph)
+    nodes = F.transform(paragraphs, lambda p: F.struct(F.sha2(F.concat(F.lit("P"), F.array_join(p["leaves"], "")), 256).alias("node"), p["leaves"].alias("leaves")))
+    starts = F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / SECTION).cast("int"))
+    parts = F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice(nodes, i * SECTION + 1, SECTION).alias("paragraphs")))
+    tagged = lambda s: F.concat(F.when(s["i"] == 0, "S").otherwise("T"), F.array_join(F.transform(s["paragraphs"], lambda p: p["node"]), ""))
+    return F.transform(parts, lambda s: F.struct(F.sha2(tagged(s), 256).alias("node"), s["paragraphs"].alias("paragraphs")))
 
 
 def tree(text: Column) -> Column:
-    """array<struct<node, paragraphs>>: the section nodes of a text with the paragraph nodes below them."""
+    """array<struct<node, paragraphs: array<struct<node, leaves>>>>: the section nodes of a text with all that is below them."""
     return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), _section_nodes))
 
 
@@ -46,46 +49,46 @@ def root(sections: Column) -> Column:
     return F.sha2(F.concat(F.lit("R"), F.array_join(F.transform(sections, lambda s: s["node"]), "")), 256)
 
 
-def pieces(text: Column) -> Column:
-    """The distinct hashes (16 hexadecimal digits) of a text's pieces."""
+def paragraphs(sections: Column) -> Column:
+    return F.flatten(F.transform(sections, lambda s: s["paragraphs"]))
+
+
+def leaves(sections: Column) -> Column:
+    """The distinct leaves of a tree."""
+    return F.array_distinct(F.flatten(F.transform(paragraphs(sections), lambda p: p["leaves"])))
+
+
+def leaves_of(text: Column) -> Column:
+    """`leaves` of a text's tree, without the levels above."""
     found = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.regexp_extract_all(p, F.lit(PIECE_PATTERN), F.lit(0)))
-    return F.array_distinct(F.transform(F.flatten(found), lambda x: F.left(F.sha2(x, 256), F.lit(16))))
+    return F.array_distinct(F.transform(F.flatten(found), lambda x: F.sha2(x, 256)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two piece sets: 1 for equal texts, 0 where nothing is shared."""
+    """Dice coefficient of the `leaves` of two trees: 1 for equal texts, 0 where nothing is shared."""
     total = F.size(a) + F.size(b)
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
 def changed_paragraphs(a: Column, b: Column) -> Column:
-    """Indices (from 0) of the paragraphs of `b` that differ from `a`: equal sections are not descended into."""
-    widths = F.transform(b, lambda s: F.size(s["paragraphs"]))
-    indices = F.sequence(F.lit(0), F.size(b) - 1)
-    same = lambda i: F.coalesce(F.get(a, i)["node"] == F.get(b, i)["node"], F.lit(False))
-
-    def inside(i: Column) -> Column:
-        base = F.aggregate(F.slice(widths, F.lit(1), i), F.lit(0), lambda s, w: s + w)
-        own, other = F.get(b, i)["paragraphs"], F.get(a, i)["paragraphs"]
-        differing = F.filter(
-            F.sequence(F.lit(0), F.size(own) - 1),
-            lambda j: ~F.coalesce(F.get(other, j) == F.get(own, j), F.lit(False)),
-        )
-        return F.transform(differing, lambda j: j + base)
+    """Indices (from 0) of the paragraphs of tree `b` that tree `a` has nowhere; the other way round, what was removed.
 
-    return F.flatten(F.transform(F.filter(indices, lambda i: ~same(i)), inside))
+    Sections are matched by node, wherever they stand, and not descended into; paragraphs of the others likewise.
+    """
+    nodes = lambda xs: F.transform(xs, lambda x: x["node"])
+    new_sections = F.array_except(nodes(b), nodes(a))
+    fresh = F.filter(b, lambda s: F.array_contains(new_sections, s["node"]))
+    new = F.array_except(nodes(paragraphs(fresh)), nodes(paragraphs(a)))
+    own = nodes(paragraphs(b))
+    return F.filter(F.transform(own, lambda x, i: F.when(F.array_contains(new, x), i)), lambda i: i.isNotNull())
 
 
 def fingerprints(documents: DataFrame, text: str = "text") -> DataFrame:
     """`documents` with n_sections, n_paragraphs and fingerprint of `text`; columns so named are replaced."""
-    own = documents.withColumn("__tree", tree(F.col(text)))
-    return own.withColumns(
-        {
-            "fingerprint": root(F.col("__tree")),
-            "n_sections": F.size("__tree"),
-            "n_paragraphs": F.aggregate("__tree", F.lit(0), lambda s, x: s + F.size(x["paragraphs"])),
-        }
-    ).drop("__tree")
+    own = documents.select(F.struct("*").alias("row"), tree(F.col(text)).alias("tree"))
+    made = {"fingerprint": root(F.col("tree")), "n_sections": F.size("tree"), "n_paragraphs": F.size(paragraphs(F.col("tree")))}
+    kept = [F.col("row")[c].alias(c) for c in documents.columns if c not in made]
+    return own.select(*kept, *[value.alias(name) for name, value in made.items()])
 
 
 def with_next(documents: DataFrame, rows_per_range: int = 512, least_ranges: int = 2048) -> DataFrame:
@@ -139,7 +142,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         with_next(table(spark, sf_dir, "documents"))
         .withColumn("n_chars", F.length("text").cast("bigint"))
         .withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half)))
-        .withColumns({"own_tree": tree(F.col("text")), "edited_tree": tree(F.col("edited")), "own_pieces": pieces(F.col("text"))})
+        .withColumns({"own_tree": tree(F.col("text")), "edited_tree": tree(F.col("edited"))})
+        .withColumn("own_leaves", leaves(F.col("own_tree")))
     )
     return rows.select(
         "doc_id",
@@ -147,35 +151,31 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         root(F.col("own_tree")).alias("fingerprint"),
         root(F.col("edited_tree")).alias("edited_fingerprint"),
-        likeness(F.col("own_pieces"), pieces(F.col("edited"))).alias("near_edited"),
-        likeness(F.col("own_pieces"), pieces(F.col("next_text"))).alias("near_next"),
+        likeness(F.col("own_leaves"), leaves(F.col("edited_tree"))).alias("near_edited"),
+        likeness(F.col("own_leaves"), leaves_of(F.col("next_text"))).alias("near_next"),
         F.size(changed_paragraphs(F.col("own_tree"), F.col("edited_tree"))).cast("bigint").alias("changed_paragraphs"),
+        F.size(changed_paragraphs(F.col("edited_tree"), F.col("own_tree"))).cast("bigint").alias("removed_paragraphs"),
     )
 
 
-_NODES = """list_transform(range(0, (len(ps) + 15) // 16), lambda i: sha256(CASE WHEN i = 0 THEN 'S' ELSE 'T' END ||
-    array_to_string(list_transform(ps[i * 16 + 1 : i * 16 + 16], lambda p: sha256('P' || p)), '')))"""
-_TREE = "list_transform(string_split({0}, chr(10) || chr(10)), lambda b: string_split(b, chr(10)))"
+_LEAVES = f"list_transform(regexp_extract_all(p, '{PIECE_PATTERN}'), lambda x: sha256(x))"
+_PARAGRAPHS = lambda text: f"list_transform(string_split({text}, chr(10) || chr(10)), lambda b: list_transform(string_split(b, chr(10)), lambda p: sha256('P' || array_to_string({_LEAVES}, ''))))"
+_NODES = """list_transform(range(0, (len(ps) + 15) // 16), lambda i: sha256(CASE WHEN i = 0 THEN 'S' ELSE 'T' END || array_to_string(ps[i * 16 + 1 : i * 16 + 16], '')))"""
 _ROOT = "sha256('R' || array_to_string(flatten(list_transform({0}, lambda ps: " + _NODES + ")), ''))"
-_PIECES = "list_distinct(flatten(list_transform(string_split({0}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '" + PIECE_PATTERN.replace("{", "{{").replace("}", "}}") + "'), lambda x: left(sha256(x), 16)))))"
+_ALL = lambda text: f"list_distinct(flatten(list_transform(string_split({text}, chr(10)), lambda p: {_LEAVES})))"
 _LIKE = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect({0}, {1})) / (len({0}) + len({1})) END"
-#: The paragraphs of each tree as structs (section's number, section's paragraphs).
-_SECTIONS = "flatten(list_transform({0}, lambda ps: list_transform(range(0, (len(ps) + 15) // 16), lambda i: {{'first': i = 0, 'ps': ps[i * 16 + 1 : i * 16 + 16]}})))"
+_LACK = "CAST(len(list_filter(flatten({0}), lambda x: NOT list_contains(flatten({1}), x))) AS BIGINT)"
 
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text,
              length(text) AS n_chars FROM d),
 e AS (SELECT *, left(text, CAST(n_chars - n_chars // 2 AS BIGINT)) || left(next_text, CAST(n_chars // 2 AS BIGINT)) AS edited FROM n),
-t AS (SELECT *, {_TREE.format("text")} AS own_tree, {_TREE.format("edited")} AS edited_tree,
-             {_PIECES.format("text")} AS a, {_PIECES.format("edited")} AS b, {_PIECES.format("next_text")} AS c FROM e),
-s AS (SELECT *, {_SECTIONS.format("own_tree")} AS own_sections, {_SECTIONS.format("edited_tree")} AS edited_sections FROM t)
+t AS (SELECT *, {_PARAGRAPHS("text")} AS own_tree, {_PARAGRAPHS("edited")} AS edited_tree,
+             {_ALL("text")} AS a, {_ALL("edited")} AS b, {_ALL("next_text")} AS c FROM e)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_ROOT.format("own_tree")} AS fingerprint,
        {_ROOT.format("edited_tree")} AS edited_fingerprint,
        {_LIKE.format("a", "b")} AS near_edited, {_LIKE.format("a", "c")} AS near_next,
-       CAST(list_sum(list_transform(range(1, len(edited_sections) + 1), lambda i:
-           CASE WHEN edited_sections[i] IS NOT DISTINCT FROM own_sections[i] THEN 0 ELSE
-           len(list_filter(range(1, len(edited_sections[i].ps) + 1), lambda j: edited_sections[i].ps[j] IS DISTINCT FROM own_sections[i].ps[j])) END)) AS BIGINT)
-           AS changed_paragraphs
-FROM s
+       {_LACK.format("edited_tree", "own_tree")} AS changed_paragraphs, {_LACK.format("own_tree", "edited_tree")} AS removed_paragraphs
+FROM t
 """
