@@ -5,8 +5,14 @@ yet become token-position rows, one per byte; each step of a recursive query joi
 with the merge table, contracts each match's leftmost pair of least rank, and stops a match that has none left.
 Decoding: id-position rows of whole texts join the vocabulary, and an ordered aggregation joins the bytes.
 
-Memory is bounded: texts are taken some CHUNK_CHARS at a time, new matches WORD_CHUNK at a time, and the
-cache of encoded matches is emptied at CACHE_WORDS entries. A partition keeps nothing that a lost executor
+A match of more than LONG bytes is first cut where two bytes meet that stand together in no token: no token can reach
+over such a place, so the parts are encoded apart. What is still longer than LONGEST goes through LONG_SQL, whose steps
+contract all places of the least pair from left to right where that is the same: where no pair with the
+new token has a lower rank (`safe`, worked out from the vocabulary); else the leftmost alone. So the steps are as many as different
+pairs, not as many as bytes.
+
+Memory is bounded: texts are taken some CHUNK_BYTES at a time, new matches WORD_CHUNK at a time, and the
+cache of encoded matches is emptied at CACHE_WORDS entries; DuckDB has a limit and no folder to spill to. A partition keeps nothing that a lost executor
 could take along; recomputing it gives the same rows.
 
 Edge cases: null and empty texts have no ids (the digests are those of no bytes); special tokens' strings
@@ -22,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlens.llm.common import table
+from layoutlens.llm.common import released, runs_of, table
 
-CHUNK_CHARS = 400_000
-WORD_CHUNK = 60_000
-CACHE_WORDS = 900_000
+CHUNK_BYTES = 400_000
+WORD_CHUNK = 40_000
+CACHE_WORDS = 600_000
+LONG, LONGEST = 64, 400
 
 ENCODE_SQL = """
 WITH RECURSIVE state AS (
@@ -44,6 +51,26 @@ WITH RECURSIVE state AS (
      FROM state LEFT JOIN best USING (word) WHERE live))
 SELECT word, ids FROM state WHERE NOT live ORDER BY word
 """
+LONG_SQL = """
+WITH RECURSIVE state(word, ids, live) USING KEY (word) AS (
+    SELECT word, list(token ORDER BY pos), true FROM bytes_in GROUP BY word
+    UNION
+    (WITH pair AS (
+        SELECT word, unnest(range(1, len(ids))) AS pos, unnest(ids[:-2]) AS token, unnest(ids[2:]) AS next_token FROM state WHERE live),
+     found AS (SELECT word, pos, merged, safe FROM pair JOIN merges ON merges.l = token AND merges.r = next_token),
+     best AS (SELECT word, min(merged) AS merged, arg_min(safe, merged) AS safe, arg_min(pos, merged::BIGINT * 4294967296 + pos) AS leftmost FROM found GROUP BY word),
+     hit AS (SELECT word, pos, pos - row_number() OVER (PARTITION BY word ORDER BY pos) AS run FROM found JOIN best USING (word, merged) WHERE best.safe OR pos = leftmost),
+     -- Of hits side by side (one token repeated) every other one begins a new token.
+     start AS (SELECT word, pos FROM (SELECT word, pos, pos - min(pos) OVER (PARTITION BY word, run) AS place FROM hit) WHERE place % 2 = 0),
+     placed AS (SELECT word, unnest(ids) AS token, unnest(range(1, len(ids) + 1)) AS pos FROM state WHERE live AND word IN (SELECT word FROM best)),
+     fresh AS (
+        SELECT placed.word, placed.pos, CASE WHEN here.pos IS NULL THEN token ELSE merged END AS token
+        FROM placed JOIN best USING (word) LEFT JOIN start here ON here.word = placed.word AND here.pos = placed.pos
+        LEFT JOIN start before ON before.word = placed.word AND before.pos = placed.pos - 1 WHERE before.pos IS NULL)
+     SELECT word, list(token ORDER BY pos), true FROM fresh GROUP BY word
+     UNION ALL SELECT word, ids, false FROM state WHERE live AND word NOT IN (SELECT word FROM best)))
+SELECT word, ids FROM state ORDER BY word
+"""
 DECODE_SQL = """
 SELECT text, string_agg(hex, '' ORDER BY pos) AS hex FROM ids_in JOIN vocabulary USING (token) GROUP BY text ORDER BY text
 """
@@ -70,9 +97,17 @@ class Codec:
             for i in range(1, len(token))
             if token[:i] in ranks and token[i:] in ranks
         ]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         columns = np.array(pairs, dtype=np.int32).reshape(-1, 3).T
-        self._load("merges", pa.table({"l": columns[0], "r": columns[1], "merged": columns[2]}))
+        least = np.full(max(ranks.values()) + 1, np.iinfo(np.int32).max, dtype=np.int32)
+        for side in columns[:2]:
+            np.minimum.at(least, side, columns[2])
+        self._load("merges", pa.table({"l": columns[0], "r": columns[1], "merged": columns[2], "safe": least[columns[2]] > columns[2]}))
+        #: Whether two bytes stand together in some token.
+        self.joined = np.zeros(1 << 16, dtype=bool)
+        for token in ranks:
+            data = np.frombuffer(token, dtype=np.uint8).astype(np.int64)
+            self.joined[data[:-1] << 8 | data[1:]] = True
         self._load("vocabulary", pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
         #: match -> its ids as the bytes of 32-bit numbers: a text's ids are their concatenation.
         self.cache: dict[str, bytes] = {}
@@ -88,20 +123,38 @@ class Codec:
         self.db.unregister(name)
         return found
 
-    def _learn(self, words: list[str]) -> None:
+    def _parts(self, data: bytes) -> list[bytes]:
+        """Cut where no token can reach over."""
         np = self.np
-        for k in range(0, len(words), WORD_CHUNK):
-            part = words[k : k + WORD_CHUNK]
-            encoded = [w.encode() for w in part]
-            sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(part))
-            tokens = self.byte_ids[np.frombuffer(b"".join(encoded), dtype=np.uint8)]
+        codes = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(~self.joined[codes[:-1] << 8 | codes[1:]]) + 1).tolist(), len(data)]
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different byte strings, as the bytes of 32-bit numbers."""
+        np, out = self.np, [b""] * len(words)
+        short = [k for k, w in enumerate(words) if len(w) <= LONGEST]
+        runs = [(ENCODE_SQL, short[a : a + WORD_CHUNK]) for a in range(0, len(short), WORD_CHUNK)]
+        for sql, at in runs + [(LONG_SQL, [k]) for k, w in enumerate(words) if len(w) > LONGEST]:
+            part = [words[k] for k in at]
+            sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+            tokens = self.byte_ids[np.frombuffer(b"".join(part), dtype=np.uint8)]
             word = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            found = self._query("bytes_in", pa.table({"word": word, "pos": pos.astype(np.int32), "token": tokens}), ENCODE_SQL)
+            found = self._query("bytes_in", pa.table({"word": word, "pos": pos.astype(np.int32), "token": tokens}), sql)
             ids = found["ids"].combine_chunks()
             flat = ids.flatten().to_numpy().astype(np.int32, copy=False).tobytes()
             ends = (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
-            self.cache.update(zip(part, map(flat.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+            for k, a, b in zip(at, ends[:-1], ends[1:], strict=True):
+                out[k] = flat[a:b]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        encoded = [w.encode() for w in words]
+        cut = {k: self._parts(w) for k, w in enumerate(encoded) if len(w) > LONG}
+        different = list(dict.fromkeys([w for k, w in enumerate(encoded) if k not in cut] + [p for parts in cut.values() for p in parts]))
+        ids = dict(zip(different, self._encoded(different), strict=True))
+        self.cache.update((word, b"".join([ids[p] for p in cut[k]]) if k in cut else ids[encoded[k]]) for k, word in enumerate(words))
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         """The ids of each text."""
@@ -114,6 +167,9 @@ class Codec:
         get = self.cache.__getitem__
         ids = [b"".join(map(get, words)) for words in found]
         ends = np.cumsum([0, *map(len, ids)]) // 4
+        # Long matches are not likely to come again, and are not kept.
+        for word in [w for w in wanted if len(w) > LONGEST]:
+            del self.cache[word]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
 
     def decode(self, texts: pa.ListArray) -> list[bytes]:
@@ -141,19 +197,6 @@ def codec(ranks: bytes | str, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts (null: empty) of some CHUNK_CHARS, or one longer text, with the first one's place."""
-    start, run, size = 0, [], 0
-    for k, text in enumerate(texts):
-        if run and size + len(text or "") > CHUNK_CHARS:
-            yield start, run
-            start, run, size = k, [], 0
-        run.append(text or "")
-        size += len(text or "")
-    if run:
-        yield start, run
-
-
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -170,15 +213,13 @@ def encode_documents(documents: DataFrame, path: str | None = None, pattern: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
-            ids_of, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, part in chunks(texts):
-                ids = own.encode(part)
+            for a, b in runs_of(batch.column(1), CHUNK_BYTES):
+                ids = own.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [ids_of.slice(start, len(part)), ids, pa.array(own.decode(ids), pa.binary())],
-                    names=["doc_id", "ids", "decoded"],
+                    [batch.column(0).slice(a, b - a), ids, pa.array(own.decode(ids), pa.binary())], names=["doc_id", "ids", "decoded"]
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
+    return documents.select("doc_id", "text").mapInArrow(released(run), "doc_id bigint, ids array<int>, decoded binary")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

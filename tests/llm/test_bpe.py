@@ -1,4 +1,6 @@
+import hashlib
 import random
+import time
 
 import pytest
 import tiktoken
@@ -24,6 +26,27 @@ def test_matches_the_library_and_round_trips(tools):
     assert codec.decode(ids) == [t.encode() for t in texts]
 
 
+def test_long_matches(tools):
+    """One match of 200,000 characters in seconds, whether or not it can be cut, equal to the library's ids."""
+    codec, library = tools
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "a" * 200_001, "ab" * 20_000, "=" * 30_001, "".join(rng.choices(["the", "of", "question", "a", "aa", "tion"], k=800)), " " * 9_001 + "x"]
+    began = time.time()
+    ids = codec.encode(texts)
+    assert time.time() - began < 60
+    assert ids.to_pylist() == [library.encode_ordinary(t) for t in texts] and codec.decode(ids) == [t.encode() for t in texts]
+
+
+def test_query_columns(spark, tools):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    found = {r.doc_id: r for r in bpe.op10(spark, "/root/testdata/sf0.001").collect()}
+    assert found.keys() == texts.keys()
+    for doc_id, r in found.items():
+        ids = tools[1].encode_ordinary(texts[doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[doc_id].encode()).hexdigest()
+
+
 def test_whole_table_matches_the_library(spark, tools):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in documents.collect()}
