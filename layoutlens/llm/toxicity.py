@@ -2,12 +2,12 @@
 
 Windows are words: runs of letters (or of digits) of the lower-cased text, at most 32 bytes each. A window
 is compressed with either dictionary; how much shorter it gets with the toxic one is its distance. So short
-a window saves only a byte or two, so its bytes are first spread, each to four fixed pseudo-random ones: a
-letter then weighs four bytes, a match still costs the same, and lengths resolve fractions of a letter.
-Windows of one to three letters are shorter than a match pays for and count with a distance of 0.
+a window saves only a byte or two, so its bytes are first spread, each to four fixed pseudo-random ones (of words below
+four bytes, which a match would hardly pay for, to ten): a letter then weighs more, a match still costs the same, and
+lengths resolve fractions of a letter.
 
 Training (driver, bounded samples of labelled rows): each dictionary holds its class's words whose share of
-documents is OVER times the other class's, most frequent nearest the end. A third of the sample is kept from
+documents is OVER times the other class's and that LEAST documents have, most frequent nearest the end, up to its size. A third of the sample is kept from
 the dictionaries; on it the distance threshold is chosen and a logistic curve over the share, number and size
 of far windows is fitted, which gives the score.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlens.llm.common import labelled_sample, remainder, table
+from layoutlens.llm.common import labelled_sample, released, remainder, runs_of, table
 
 #: Labelled rows to learn from, at most.
 TOXIC_ROWS = 2_500
@@ -36,9 +36,11 @@ ORDINARY_ROWS = 7_500
 #: Bytes of words in each dictionary, before spreading.
 TOXIC_BYTES = 10_000
 ORDINARY_BYTES = 30_000
-SHARE = 0.006
+#: Documents of its class that a telling word must be in, and how many times over.
+LEAST = 3
 OVER = 6.0
-SPREAD = 4
+SPREAD, SHORT, SHORT_SPREAD = 4, 4, 10
+CHUNK_BYTES = 1_000_000
 CACHE_WORDS = 500_000
 _WINDOW = re.compile(rb"[a-z\x80-\xff]{1,32}|[0-9]{1,32}")
 _END = b"\n" * 8
@@ -48,27 +50,27 @@ def windows(text: str) -> list[bytes]:
     return _WINDOW.findall(text.lower().encode("utf-8", "surrogatepass"))
 
 
-def _spreading() -> list[bytes]:
-    rng = random.Random(20)
-    return [bytes(rng.randrange(256) for _ in range(SPREAD)) for _ in range(256)]
+def _spreading(width: int) -> list[bytes]:
+    rng = random.Random(16 + width)
+    return [bytes(rng.randrange(256) for _ in range(width)) for _ in range(256)]
 
 
 class Distances:
     """Distances of windows under two dictionaries (lists of words, the most telling last)."""
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]) -> None:
-        self.spread = _spreading()
+        self.spread = {False: _spreading(SPREAD), True: _spreading(SHORT_SPREAD)}
         self.toxic, self.ordinary = self._compressor(toxic), self._compressor(ordinary)
         self.cache: dict[bytes, int] = {}
 
-    def _wide(self, data: bytes) -> bytes:
-        spread = self.spread
-        return b"".join([spread[b] for b in data])
+    def _wide(self, word: bytes, end: bytes = b"") -> bytes:
+        spread = self.spread[len(word) < SHORT]
+        return b"".join([spread[b] for b in b" " + word + b" " + end])
 
     def _compressor(self, words: list[bytes]):
         import zstandard as zs
 
-        raw = self._wide(b"".join(b" " + w + b" " for w in words)) or b"\0" * 8
+        raw = b"".join(map(self._wide, words)) or b"\0" * 8
         dictionary = zs.ZstdCompressionDict(raw, dict_type=zs.DICT_TYPE_RAWCONTENT)
         settings = zs.ZstdCompressionParameters.from_level(
             19, write_content_size=False, write_dict_id=False, write_checksum=False, format=zs.FORMAT_ZSTD1_MAGICLESS,
@@ -82,11 +84,8 @@ class Distances:
         if len(cache) > CACHE_WORDS:
             cache.clear()
         for w in {w for w in found if w not in cache}:
-            if len(w) < 4:
-                cache[w] = 0
-            else:
-                wide = self._wide(b" " + w + b" " + _END)
-                cache[w] = len(self.ordinary(wide)) - len(self.toxic(wide))
+            wide = self._wide(w, _END)
+            cache[w] = len(self.ordinary(wide)) - len(self.toxic(wide))
         return list(map(cache.__getitem__, found))
 
 
@@ -118,13 +117,12 @@ def _logistic(x, y, steps: int = 400, decay: float = 1e-4):
 def _word_documents(texts: list[str]) -> Counter:
     found: Counter = Counter()
     for text in texts:
-        found.update({w for w in windows(text) if len(w) >= 4})
+        found.update(set(windows(text)))
     return found
 
 
-def _telling(own: Counter, n: int, other: Counter, m: int, share: float, over: float, room: int) -> list[bytes]:
-    """Words whose share of `own` documents is `over` times that of `other`, the most frequent last."""
-    least = max(2, share * n)
+def _telling(own: Counter, n: int, other: Counter, m: int, least: int, over: float, room: int) -> list[bytes]:
+    """Words of `least` documents whose share of `own` documents is `over` times that of `other`, the most frequent last."""
     found = sorted((k, w) for w, k in own.items() if k >= least and k / n >= over * (other.get(w, 0) + 1) / m)
     kept, size = [], 0
     for _, w in reversed(found):
@@ -147,8 +145,8 @@ def train(sample: list[tuple[str, int]]) -> dict:
         return {"constant": share}
     a, b = _word_documents(toxic), _word_documents(ordinary)
     model = {
-        "toxic": _telling(a, len(toxic), b, len(ordinary), SHARE, OVER, TOXIC_BYTES),
-        "ordinary": _telling(b, len(ordinary), a, len(toxic), SHARE / 12, 0.8, ORDINARY_BYTES),
+        "toxic": _telling(a, len(toxic), b, len(ordinary), LEAST, OVER, TOXIC_BYTES),
+        "ordinary": _telling(b, len(ordinary), a, len(toxic), LEAST, 0.8, ORDINARY_BYTES),
     }
     measure = Distances(model["toxic"], model["ordinary"])
     distances = [measure.of(windows(t)) for t, _ in held]
@@ -198,10 +196,11 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
         own = pickle.loads(packed)
         measure = None if "constant" in own else _measure(packed, own)
         for batch in batches:
-            scores = score_texts([t or "" for t in batch.column(1).to_pylist()], own, measure)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            for a, b in runs_of(batch.column(1), CHUNK_BYTES):
+                scores = score_texts([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], own, measure)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
+    return documents.select("doc_id", "text").mapInArrow(released(run), "doc_id bigint, score double")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
