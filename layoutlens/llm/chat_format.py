@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlens.llm.common import table
+from layoutlens.llm.common import released, table
 
 BUDGET = 512
 HISTORY = 128
@@ -143,7 +143,7 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
 
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    return ordered.select("conv_id", "role", "text").mapInArrow(released(run), WINDOWS)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         if some:
             yield row()
 
-    return windows.mapInArrow(run, schema)
+    return windows.mapInArrow(released(run), schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ largest response in the window, rectified, goes to a softmax over the learned la
 mean of its windows' logarithms, weighted by their bytes. For application, neighbouring places are merged
 into tables over byte pairs, which changes nothing but the number of look-ups.
 
-Training (driver): a bounded sample of rows with a language, the same number of each language where there
-are enough, up to WINDOWS_PER_TEXT windows of each text.
+Training (driver): a sample of at most ROWS rows with a language, the same number of each language where there
+are enough, in the order of a hash of id and text, whatever ids repeat; up to WINDOWS_PER_TEXT windows of each text.
 
 Edge cases: `und` with score 0 for null texts and texts without a letter, and where nothing could be
 learned; texts of any length are read whole, some CHUNK_WINDOWS windows at a time; repeated rows and null
@@ -16,7 +16,6 @@ doc_ids get a row each; extra columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlens.llm.common import remainder, table
+from layoutlens.llm.common import released, remainder, runs_of, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Rows to learn from, at most in expectation, and windows of each.
+#: Rows to learn from, at most, and windows of each.
 ROWS = 4_000
 WINDOWS_PER_TEXT = 3
 CHUNK_WINDOWS = 96
+CHUNK_BYTES = 1_000_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def cut(data: bytes) -> np.ndarray:
@@ -154,11 +153,11 @@ class Applied:
                 names[at], scores[at] = self.net["names"][int(p.argmax())], float(p.max() / p.sum())
 
         for at, text in enumerate(texts):
-            if text and _LETTER.search(text):
+            if text and any(map(str.isalpha, text)):
                 data = text.encode("utf-8", "surrogatepass")
                 windows.append((at, cut(data), len(data)))
                 size += len(data)
-            if size > 1_000_000:
+            if size > CHUNK_BYTES:
                 flush()
                 windows, size = [], 0
         if windows:
@@ -181,26 +180,36 @@ def identify(documents: DataFrame, net: dict | None) -> DataFrame:
                 _APPLIED[key] = Applied(net)
             own = _APPLIED[key]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            names, scores = own.predict(texts) if own else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            for a, b in runs_of(batch.column(1), CHUNK_BYTES):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                names, scores = own.predict(texts) if own else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return documents.select("doc_id", "text").mapInArrow(released(run), "doc_id bigint, lang_pred string, score double")
 
 
 def training_rows(spark: SparkSession, sf_dir: str, rows: int = ROWS, modulus: int = 4, held: int = 2) -> tuple[list[str], list[str]]:
-    """Texts and languages to learn from: of each language the rows whose hashed id falls below its rate."""
+    """Texts and languages to learn from: of each language those of least hash, `rows` in all at most.
+
+    One pass finds the hash of id and text below which a language's share lies, another keeps what is below, and of that the first
+    2 x `rows`; the driver takes each language's share of them. The distinct languages come to the driver, a row each.
+    """
     known = table(spark, sf_dir, "documents").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), modulus) != held))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not counts:
+    dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000))
+    hashed = known.select("text", "lang", dealt.alias("dealt"))
+    facts = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("dealt", [k / 1_000 for k in range(1_001)]).alias("at")).collect()
+    if not facts:
         return [], []
-    rate = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        rate = F.when(F.col("lang") == lang, min(1_000_000, rows * 1_000_000 // (len(counts) * n))).otherwise(rate)
-    sample = known.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate) & (F.length("text") < 100_000))
-    found = sample.select("doc_id", "text", "lang").toArrow()
-    ordered = sorted(zip(*(found[c].to_pylist() for c in ("doc_id", "lang", "text")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
-    return [t for _, _, t in ordered], [g for _, g, _ in ordered]
+    share = max(1, rows // len(facts))
+    # The hash up to which a language has half as many rows again as it may give, or more.
+    bounds = [(r["lang"], r["at"][min(1_000, 1_500 * share // r["n"] + 1)]) for r in facts]
+    sample = hashed.join(F.broadcast(spark.createDataFrame(bounds, "lang string, bound long")), "lang").filter("dealt <= bound")
+    found = sample.orderBy(F.col("dealt") / (F.col("bound") + 1), "lang", "text").limit(2 * rows).select("text", "lang").toArrow()
+    taken: dict[str, list[str]] = {lang: [] for lang in sorted(r["lang"] for r in facts)}
+    for text, lang in zip(found["text"].to_pylist(), found["lang"].to_pylist(), strict=True):
+        if len(taken[lang]) < share:
+            taken[lang].append(text)
+    return [t for texts in taken.values() for t in texts], [lang for lang, texts in taken.items() for _ in texts]
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
