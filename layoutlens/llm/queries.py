@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from layoutlens.llm import bpe, chat_format, decontaminate, divergence, fingerprints, language_id, lm_scoring, near_dedup, quality, secrets, toxicity
+from layoutlens.llm import bpe, chat_format, decontaminate, divergence, fingerprints, language_id, lm_scoring, near_dedup, phrases, quality, secrets, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8,
     "op9_secrets": secrets.op9,
     "op10_bpe": bpe.op10,
+    "op11_phrases": phrases.op11,
     "op13_divergence": divergence.op13,
 }
 ORACLES = {
     "op1_fingerprints": fingerprints.OP1_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op11_phrases": phrases.OP11_SQL,
     "op13_divergence": divergence.OP13_SQL,
 }
