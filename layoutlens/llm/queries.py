@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from layoutlens.llm import bpe, chat_format, decontaminate, divergence, fingerprints, language_id, lm_scoring, near_dedup, phrases, quality, secrets, toxicity
+from layoutlens.llm import bpe, chat_format, decontaminate, divergence, fingerprints, language_id, lm_scoring, near_dedup, phrases, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9,
     "op10_bpe": bpe.op10,
     "op11_phrases": phrases.op11,
+    "op12_pii": pii.op12,
     "op13_divergence": divergence.op13,
 }
 ORACLES = {
