@@ -100,10 +100,11 @@ def _places(rows: DataFrame) -> DataFrame:
     n = F.length(_digits(F.col("value")))
     fits = (F.col("value").contains("@") | (n >= 7) | F.col("value").rlike(r"\.[0-9]+\.")) & ~F.col("head").rlike("[A-Za-z0-9]")
     held = placed.filter(F.when(F.col("kind") == CANDIDATE, fits).otherwise(_holds(F.col("kind"), F.col("value")))).drop("head")
-    by_start = Window.partitionBy("row").orderBy("start", "kind")
+    # Two running frames: one that looks ahead would be worked out anew for every row.
+    forth, back = (Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (("start", "kind"), (F.desc("start"), F.desc("kind"))))
     base = F.col("kind") < CANDIDATE
-    before = F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(base, F.col("start"))).over(by_start.rowsBetween(0, Window.unboundedFollowing))
+    before = F.max(F.when(base, F.col("end"))).over(forth)
+    after = F.min(F.when(base, F.col("start"))).over(back)
     touched = (F.coalesce(before, F.lit(0)) > F.col("start")) | (F.coalesce(after, F.col("end")) < F.col("end"))
     return held.withColumn("touched", touched).filter(base | ~F.col("touched")).drop("touched")
 
