@@ -1,14 +1,13 @@
-"""Order-dependent folds: the language context and the typing cadence."""
+"""Order-dependent folds: the language context, also where it runs out, and the typing cadence."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from layoutlens.functions import text as T
 from layoutlens.functions.layout import ENGLISH, OTHER, PERSIAN
+from layoutlens.operators import ordered as O
 
 TTL_MS = 90_000
 STATE = "struct<language:int,strength:int,observed_words:bigint>"
@@ -28,39 +27,24 @@ def observe(state: Column, language: Column, evidence: Column) -> Column:
     return F.when(language.isin(ENGLISH, PERSIAN), updated).otherwise(state).cast(STATE)
 
 
-#: Words that one aggregate takes as a list; longer groups go on in the next round.
-SEGMENT = 1_000
-
-
-def _steps(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """`rows` numbered within their group by `order`, with the segment of SEGMENT rows that each falls in."""
-    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return numbered.withColumn("__segment", F.floor((F.col("__n") - 1) / SEGMENT))
-
-
 def fold_context(observations: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
     """The final context of each group of (language, evidence) in `order` (a column that sorts, a struct for instance): keys, language, strength, observed_words.
 
     What a run of words does to a context depends on nothing but the context before it, and there are few: none, and
-    four strengths of either language. Each segment of SEGMENT words is folded from all of them at once, so segments of one group
+    four strengths of either language. Each segment of words is folded from all of them at once, so segments of one group
     are folded apart and only their tables (nine entries) are put together: no row holds a whole group.
     """
+    rows = observations.select(*keys, F.col(order).alias("__order"), "language", "evidence")
+    return _folded(O.dealt(rows, keys, ["__order"]), keys)
+
+
+def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
     starts = F.array(*[F.struct(F.lit(lang).alias("language"), F.lit(s).alias("strength")) for lang, s in _CONTEXTS])
     as_state = lambda x: F.struct(x["language"].alias("language"), x["strength"].alias("strength"), F.lit(0).cast("bigint").alias("observed_words")).cast(STATE)
-    row = F.struct(F.col("__n"), F.col("language"), F.col("evidence"))
-    lists = _steps(observations, keys, [order]).groupBy(*keys, "__segment").agg(F.array_sort(F.collect_list(row)).alias("__rows"))
     folded = F.transform(starts, lambda s: F.aggregate(F.col("__rows"), as_state(s), lambda a, r: observe(a, r["language"], r["evidence"])))
-    tables = lists.select(*keys, "__segment", folded.alias("__to"))
-    # Groups of one segment are done; longer ones are put together in rounds, pairs of neighbours at a time.
-    longest = observations.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    for _ in range(max(0, -(-longest // SEGMENT) - 1).bit_length()):
-        pairs = tables.withColumns({"__half": F.floor(F.col("__segment") / 2), "__second": F.col("__segment") % 2 == 1})
-        both = pairs.groupBy(*keys, F.col("__half").alias("__segment")).agg(
-            F.max(F.when(~F.col("__second"), F.col("__to"))).alias("__a"), F.max(F.when(F.col("__second"), F.col("__to"))).alias("__b")
-        )
-        joined = F.transform("__a", lambda s: _after(s, F.col("__b")))
-        tables = both.select(*keys, "__segment", F.when(F.col("__b").isNull(), F.col("__a")).otherwise(joined).alias("__to"))
-    return tables.select(*keys, F.get("__to", F.lit(0)).alias("__s")).select(*keys, "__s.*")
+    tables = O.segment_lists(rows, keys, ["language", "evidence"]).withColumn("__to", folded)
+    whole = O.composed(tables, keys, lambda a, b: F.transform(a, lambda s: _after(s, b)))
+    return whole.select(*keys, F.get("__to", F.lit(0)).alias("__s")).select(*keys, "__s.*")
 
 
 _CONTEXTS = [(OTHER, 0)] + [(lang, s) for lang in (ENGLISH, PERSIAN) for s in (1, 2, 3, 4)]
@@ -75,6 +59,24 @@ def _after(state: Column, table: Column) -> Column:
     ).cast(STATE)
 
 
+def fold_sessions(observations: DataFrame, keys: list[str], time: str = "ts_ms", window: str = "window_id", tie: str | None = None, ttl_ms: int = TTL_MS) -> DataFrame:
+    """The contexts that each group goes through: keys, session (from 1), window, since_ms, until_ms (first and last word), language, strength, observed_words.
+
+    Words (language, evidence) of one window go on with the context until more than `ttl_ms` have passed without one (exactly `ttl_ms` still counts), or
+    another window is written in; then it is forgotten. Words of other languages are not observed and keep nothing alive. `tie` orders words of one time.
+    """
+    own = observations.filter(F.col("language").isin(ENGLISH, PERSIAN)).select(
+        *keys, F.col(time).cast("bigint").alias("__ts"), F.col(window).alias("__window"), "language", "evidence", (F.col(tie) if tie else F.lit(0)).alias("__tie")
+    )
+    rows = O.before(O.dealt(own, keys, ["__ts", "__tie"]), keys, ["__ts", "__window"], "__prev")
+    goes_on = F.col("__prev__ts").isNotNull() & F.col("__prev__window").eqNullSafe(F.col("__window")) & (F.col("__ts") - F.col("__prev__ts") <= ttl_ms)
+    numbered = O.running_sum(rows, keys, (~goes_on).cast("int"), "session")
+    facts = numbered.groupBy(*keys, "session").agg(F.first("__window").alias(window), F.min("__ts").alias("since_ms"), F.max("__ts").alias("until_ms"))
+    same = F.expr(" AND ".join(f"l.`{k}` <=> r.`{k}`" for k in [*keys, "session"]))
+    joined = facts.alias("l").join(_folded(numbered, [*keys, "session"]).alias("r"), same)
+    return joined.select("l.*", "r.language", "r.strength", "r.observed_words")
+
+
 def current(language: Column, strength: Column, age_ms: Column, mode: Column) -> Column:
     """struct<language, strength> in force: a chosen mode (1 Persian, 2 English) with strength 5, else what is not outdated."""
     fresh = (age_ms <= TTL_MS) & (strength > 0) & language.isin(ENGLISH, PERSIAN)
@@ -90,38 +92,30 @@ def key_intervals(events: DataFrame, keys: list[str], time: str = "ts_ms", tie:
     return events.withColumn("interval", F.col(time) - F.lag(time).over(order))
 
 
-def fold_cadence(intervals: DataFrame, keys: list[str], order: str = "pos", start: int = 150) -> DataFrame:
+#: Cadences that a step starts from: others count as the middle one.
+SLOWEST, FASTEST, MIDDLE = 500, 40, 150
+#: Steps after which the cadences that a segment may have begun with have mostly become the same few.
+_MERGED = 40
+
+
+def fold_cadence(intervals: DataFrame, keys: list[str], order: str = "pos", start: int = MIDDLE) -> DataFrame:
     """The running key interval of each group after its intervals in `order`: keys, cadence.
 
-    Every step rounds down, so segments cannot be folded apart: groups are dealt, sorted (Spark spills where a group is
-    large) and streamed past one number, however long they are.
+    Every step rounds down, so intervals cannot be summed up; but a step starts from one of 461 cadences only. Each segment
+    of intervals is a table from those to the cadence that it ends with, and the tables of a group are put together. Most cadences become the same within
+    _MERGED steps (each brings two of them closer by a quarter), so the rest of a segment is folded from the few that are left.
     """
-    rows = intervals.filter(F.col("interval").isNotNull()).select(*keys, order, F.col("interval").cast("bigint").alias("interval"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, first, cadence = None, None, start
-        for batch in batches:
-            done = []
-            names = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True))
-            for k, (name, x) in enumerate(zip(names, batch.column(len(keys)).to_pylist(), strict=True)):
-                if name != group:
-                    if group is not None:
-                        done.append((first, cadence))
-                    group, first, cadence = name, batch.slice(k, 1).select(keys), start
-                cadence = cadence if 40 <= cadence <= 500 else 150
-                if 20 <= x <= 1_500:
-                    cadence = (3 * cadence + x) // 4
-            yield from _with_cadence(done)
-        yield from _with_cadence([(first, cadence)] if group is not None else [])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keys).dtypes) + ", cadence bigint"
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order).select(*keys, "interval").mapInArrow(run, schema)
-
-
-def _with_cadence(done: list) -> Iterator[pa.RecordBatch]:
-    if done:
-        found = pa.Table.from_batches([row for row, _ in done]).append_column("cadence", pa.array([c for _, c in done], pa.int64()))
-        yield from found.combine_chunks().to_batches()
+    rows = intervals.filter(F.col("interval").isNotNull()).select(*keys, F.col(order).alias("__order"), F.col("interval").cast("bigint").alias("__x"))
+    step = lambda x, r: T.next_cadence(x, r["__x"])
+    fold = lambda states, steps: F.aggregate(steps, states, lambda a, r: F.transform(a, lambda x: step(x, r)))
+    every = F.sequence(F.lit(FASTEST).cast("bigint"), F.lit(SLOWEST).cast("bigint"))
+    first, rest = F.slice("__rows", F.lit(1), F.lit(_MERGED)), F.slice("__rows", F.lit(_MERGED + 1), F.lit(O.SEGMENT))
+    ends = lambda a, few: O.let(fold(few, rest), lambda b: F.transform(a, lambda x: F.get(b, F.array_position(few, x).cast("int") - 1)))
+    table = O.let(fold(every, first), lambda a: O.let(F.array_distinct(a), lambda few: ends(a, few)))
+    tables = O.segment_lists(O.dealt(rows, keys, ["__order"]), keys, ["__x"]).withColumn("__to", table)
+    spot = lambda x: F.when(x.between(FASTEST, SLOWEST), x).otherwise(MIDDLE).cast("int") - FASTEST
+    whole = O.composed(tables, keys, lambda a, b: F.transform(a, lambda x: F.get(b, spot(x))))
+    return whole.select(*keys, F.get("__to", spot(F.lit(start))).alias("cadence"))
 
 
 def with_sentence_start(words: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:

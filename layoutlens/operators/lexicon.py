@@ -143,15 +143,21 @@ def zipf_frequencies(counts: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("form", (F.log10(F.col("n") * 1e9 / F.col("total"))).alias("zipf"))
 
 
-def bloom_bits(words: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """The distinct set positions (bit) of a Bloom filter of the words (form)."""
-    return words.select(F.explode(T.bit_positions(T.hash_pair(F.col("form")), bits, hashes)).alias("bit")).distinct()
+def _bits(words: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """`words` (form) with each of their positions (bit). A word is hashed once: the pair is a column before positions are made of it."""
+    hashed = words.withColumn("__pair", F.explode(F.array(T.hash_pair(F.col("form")))))
+    return hashed.withColumn("bit", F.explode(T.bit_positions(F.col("__pair"), bits, hashes))).drop("__pair")
+
+
+def bloom_bits(words: DataFrame, bits: int, hashes: int, keys: list[str] | None = None) -> DataFrame:
+    """The distinct set positions (bit) of a Bloom filter of the words (form), or of one for each value of `keys`."""
+    return _bits(words, bits, hashes).select(*(keys or []), "bit").distinct()
 
 
 def bloom_contains(words: DataFrame, positions: DataFrame, bits: int, hashes: int) -> DataFrame:
     """`words` (form) with `contained`: whether all of a word's bits are set. Empty words are not."""
-    own = words.withColumn("__bit", F.explode(T.bit_positions(T.hash_pair(F.col("form")), bits, hashes)))
-    found = own.select("form", "__bit").distinct().join(positions.select(F.col("bit").alias("__bit"), F.lit(1).alias("__set")), "__bit", "left")
+    own = _bits(words.select("form").distinct(), bits, hashes).withColumnRenamed("bit", "__bit").distinct()
+    found = own.join(small(positions.select(F.col("bit").alias("__bit"), F.lit(1).alias("__set"))), "__bit", "left")
     flags = found.groupBy("form").agg((F.count(F.lit(1)) == F.count("__set")).alias("contained"))
     return words.join(flags, "form").withColumn("contained", F.col("contained") & (F.length("form") > 0))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from layoutlens.functions import text as T
 from layoutlens.functions.layout import ENGLISH, OTHER, PERSIAN, in_language
+from layoutlens.operators.ordered import let
 
 #: Before the current word a history holds at most these words and characters (spaces between them included).
 HISTORY_WORDS = T.MOST_WORDS - 1
@@ -62,51 +63,68 @@ def bounded_history(words: DataFrame, keys: list[str], pos: str = "pos") -> Data
     return found.filter((F.col(pos) <= T.MOST_WORDS) & (F.col("__before") <= HISTORY_CHARS)).drop("__chars", "__before")
 
 
-def suffix_runs(words: DataFrame, keys: list[str], sensitivity: Column, context: Column, strength: Column, pos: str = "pos") -> DataFrame:
-    """For each word the longest run ending at it that is decided: keys, pos, start, words and the decision.
+def _sentences(words: DataFrame, keys: list[str], sensitivity: Column, context: Column, strength: Column, pos: str, more: list[str]) -> DataFrame:
+    """keys, __w (the words of a sentence, 32 at most), __runs: for each word the longest decided run that ends with it, or null.
 
-    Sums of all runs come from prefix sums within the sentence, so no run is expanded word by word; a
-    sentence is first cut where its history would be abandoned, at 32 words or less.
+    A sentence is first cut where its history would be abandoned; then its words are gathered once, and sums of all runs
+    come from their prefix sums.
     """
-    cut = bounded_history(words, keys, pos)
     n = F.length("en")
-    order = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     parts = {
-        "en": word_score(F.col("en_known"), F.col("en_frequent"), n), "fa": word_score(F.col("fa_known"), F.col("fa_frequent"), n),
-        "en_known": F.col("en_known").cast("int"), "fa_known": F.col("fa_known").cast("int"),
+        "e": word_score(F.col("en_known"), F.col("en_frequent"), n), "f": word_score(F.col("fa_known"), F.col("fa_frequent"), n),
+        "ke": F.col("en_known").cast("int"), "kf": F.col("fa_known").cast("int"),
     }
-    sums = F.struct(F.col(pos).alias("pos"), *[F.sum(value).over(order).alias(name) for name, value in parts.items()])
-    running = cut.withColumn("__sums", sums)
-    earlier = F.collect_list("__sums").over(order)
-    row = running.withColumn("__all", earlier)
+    row = F.struct(F.col(pos).alias("pos"), "en", "fa", *more, *[v.alias(k) for k, v in parts.items()])
+    gathered = bounded_history(words, keys, pos).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__w"))
+    none = F.array(F.struct(*[F.lit(0).alias(k) for k in parts]))
+    plus = lambda sums, w: F.concat(sums, F.array(F.struct(*[(F.get(sums, F.size(sums) - 1)[k] + w[k]).alias(k) for k in parts])))
+
+    def longest(sums: Column, end: Column) -> Column:
+        def run(start: Column) -> Column:
+            part = lambda k: F.get(sums, end)[k] - F.get(sums, start - 1)[k]
+            made = decide_run(end - start + 1, part("e"), part("f"), part("ke"), part("kf"), sensitivity, context, strength)
+            return F.struct(start.alias("start"), made.alias("decision"))
+
+        starts = F.when(end >= 2, F.sequence(F.lit(1), end - 1)).otherwise(F.array().cast("array<int>"))
+        return F.get(F.filter(F.transform(starts, run), lambda r: r["decision"]["language"] != OTHER), F.lit(0))
 
-    def run(start: Column) -> Column:
-        now, before = F.col("__sums"), F.get(F.col("__all"), start - 2)
-        part = lambda name: now[name] - F.when(start > 1, before[name]).otherwise(0)
-        made = decide_run(F.col(pos) - start + 1, part("en"), part("fa"), part("en_known"), part("fa_known"), sensitivity, context, strength)
-        return F.struct(start.alias("start"), made.alias("decision"))
+    runs = let(F.aggregate("__w", none, plus), lambda sums: F.transform(F.sequence(F.lit(1), F.size("__w")), lambda end: longest(sums, end)))
+    return gathered.withColumn("__runs", runs)
 
-    starts = F.when(F.col(pos) >= 2, F.sequence(F.lit(1), F.col(pos) - 1)).otherwise(F.array().cast("array<int>"))
-    decided = F.filter(F.transform(starts, run), lambda r: r["decision"]["language"] != OTHER)
-    found = row.withColumn("__first", F.get(decided, F.lit(0))).filter("__first IS NOT NULL")
-    return found.select(*keys, pos, F.col("__first.start").alias("start"), (F.col(pos) - F.col("__first.start") + 1).alias("words"), "__first.decision.*")
+
+def suffix_runs(words: DataFrame, keys: list[str], sensitivity: Column, context: Column, strength: Column, pos: str = "pos") -> DataFrame:
+    """For each word the longest run ending at it that is decided: keys, pos, start, words and the decision."""
+    each = _sentences(words, keys, sensitivity, context, strength, pos, []).select(*keys, F.posexplode("__runs").alias("__at", "__run"))
+    found = each.filter("__run IS NOT NULL").withColumn(pos, F.col("__at") + 1)
+    return found.select(*keys, pos, "__run.start", (F.col(pos) - F.col("__run.start") + 1).alias("words"), "__run.decision.*")
 
 
-def run_texts(words: DataFrame, runs: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
-    """Original and replacement of decided runs: each word as it is visible (`visible` language), all in the run's language.
+def repaired_runs(words: DataFrame, keys: list[str], sensitivity: Column, context: Column, strength: Column, pos: str = "pos") -> DataFrame:
+    """What is done at each word with a decided run: keys, pos, start, language, confidence, needs_change, original, replacement.
 
-    A run whose words are all visible in its language needs no change; one over 512 characters is not made.
+    `words` also have `visible`, the language that a word was typed in. A run leaves its words in its language (either it changes them or they were), so a
+    word stands in the language of the latest run before that holds it, and in its own if there is none: `original` is
+    what is on the screen, and a run whose words all stand in its language already needs no change. The longest decided run is
+    final: shorter ones are not tried where it needs no change. The word that is being typed stands in its own language.
     """
-    spans = runs.withColumnRenamed(pos, "__end")
-    inside = spans.join(words, keys).filter((F.col(pos) >= F.col("start")) & (F.col(pos) <= F.col("__end")))
-    shown = in_language(F.col("visible"), F.col("en"), F.col("fa"))
-    meant = in_language(F.col("language"), F.col("en"), F.col("fa"))
-    gathered = inside.groupBy(*keys, F.col("__end").alias(pos), "start", "language", "confidence").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), shown.alias("a"), meant.alias("b")))).alias("__w"),
-        F.bool_or(F.col("visible") != F.col("language")).alias("needs_change"),
-    )
-    both = gathered.select(
-        *keys, pos, "start", "language", "confidence", "needs_change",
-        T.phrase(F.transform("__w", lambda w: w["a"])).alias("original"), T.phrase(F.transform("__w", lambda w: w["b"])).alias("replacement"),
+    sentences = _sentences(words, keys, sensitivity, context, strength, pos, ["visible"])
+    each = sentences.select(*keys, "__w", "__runs", F.posexplode("__runs").alias("__at", "__run")).filter("__run IS NOT NULL")
+    end, language = F.col("__at") + 1, F.col("__run.decision.language")
+
+    def stands(place: Column) -> Column:
+        """The language that the word of this place (from 1) stands in just before `end`."""
+        over = F.filter(F.slice("__runs", place, end - place), lambda r: r["start"] <= place)
+        return let(over, lambda found: F.coalesce(F.get(found, F.size(found) - 1)["decision"]["language"], F.get(F.col("__w"), place - 1)["visible"]))
+
+    def shown(place: Column) -> Column:
+        word = F.get(F.col("__w"), place - 1)
+        return let(stands(place), lambda now: F.struct(
+            in_language(now, word["en"], word["fa"]).alias("a"), in_language(language, word["en"], word["fa"]).alias("b"), (now != language).alias("other")
+        ))
+
+    texts = each.withColumn("__t", F.transform(F.sequence(F.col("__run.start"), end), shown))
+    # A history and the word after it always fit a phrase, so every decided run has its texts.
+    return texts.select(
+        *keys, end.alias(pos), "__run.start", language.alias("language"), F.col("__run.decision.confidence").alias("confidence"), F.exists("__t", lambda t: t["other"]).alias("needs_change"),
+        T.phrase(F.transform("__t", lambda t: t["a"])).alias("original"), T.phrase(F.transform("__t", lambda t: t["b"])).alias("replacement"),
     )
-    return both.filter("original IS NOT NULL AND replacement IS NOT NULL")

@@ -113,6 +113,28 @@ _LETTERS = ", ".join(_Q(k[1]) for k in KEYS) + ", " + ", ".join(_Q(k[2]) for k i
 
 _STATE = "{'language': CAST(0 AS INTEGER), 'strength': CAST(0 AS INTEGER), 'observed_words': CAST(0 AS BIGINT), 'l': CAST(0 AS INTEGER), 'e': CAST(0 AS INTEGER)}"
 
+_SEEN = """
+o AS (SELECT *, CASE WHEN CASE visible WHEN 1 THEN en_known ELSE fa_known END THEN visible ELSE 3 - visible END AS l,
+        CASE WHEN en_known AND fa_known THEN 1 WHEN CASE visible WHEN 1 THEN en_frequent ELSE fa_frequent END THEN 3 ELSE 2 END AS e FROM cls WHERE en_known OR fa_known)"""
+_LISTED = "list({{'language': CAST(0 AS INTEGER), 'strength': CAST(0 AS INTEGER), 'observed_words': CAST(0 AS BIGINT), 'l': CAST(l AS INTEGER), 'e': CAST(e AS INTEGER)}} ORDER BY {0})"
+_FOLDED = f"""list_reduce(rows, lambda s, r: {{
+        'language': CAST(CASE WHEN s.language = 0 OR s.strength <= 0 OR s.language = r.l THEN r.l WHEN s.strength > r.e THEN s.language WHEN s.strength = r.e THEN 0 ELSE r.l END AS INTEGER),
+        'strength': CAST(CASE WHEN s.language = 0 OR s.strength <= 0 THEN r.e WHEN s.language = r.l THEN CASE WHEN s.strength < r.e THEN r.e ELSE least(4, s.strength + 1) END ELSE abs(s.strength - r.e) END AS INTEGER),
+        'observed_words': s.observed_words + 1, 'l': r.l, 'e': r.e}}, {_STATE})"""
+_WORD_KEYS = ", ".join(_Q(c) for k in KEYS for c in (k[1], k[2]) if c != ".")
+_STROKES = f"""
+tc AS (SELECT conv_id, turn, unnest(s) AS c, unnest(range(0, len(s))) AS ix FROM (SELECT conv_id, turn, string_split(text, '') AS s FROM conversations WHERE text IS NOT NULL)),
+tp AS (SELECT *, conv_id * 7 + turn * 5 + ix AS place, c IN ({_WORD_KEYS}) AS is_key FROM tc WHERE c <> ''),
+tk AS (SELECT *, CASE WHEN place % 503 = 0 THEN 40 ELSE 1 END AS stuck, CASE WHEN place % 11 = 0 THEN ix % 3 + 1 WHEN place % 97 = 0 THEN 12 ELSE 0 END AS back FROM tp),
+strokes AS (SELECT conv_id, turn, ix * 100 + j AS seq, ix * 200 + ix * 37 % 101 + ix // 50 * 2000 + j AS ts_ms, CASE WHEN j >= stuck THEN 'back' WHEN is_key THEN 'key' ELSE 'end' END AS stroke, c AS english,
+            {_FA("translate(c, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS persian FROM (SELECT *, unnest(range(0, stuck + back)) AS j FROM tk))"""
+_SPANS = """
+ended AS (SELECT *, coalesce(sum(CASE stroke WHEN 'end' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span,
+          CASE WHEN stroke = 'key' AND lag(stroke) OVER (PARTITION BY conv_id, turn ORDER BY seq) = 'key' THEN ts_ms - lag(ts_ms) OVER (PARTITION BY conv_id, turn ORDER BY seq) END AS d FROM strokes),
+num AS (SELECT * REPLACE (CAST(span AS BIGINT) AS span), row_number() OVER (PARTITION BY conv_id, turn, span ORDER BY seq) AS k FROM ended WHERE stroke <> 'end'),
+spans AS (SELECT conv_id, turn, CAST(span AS BIGINT) AS span, count(*) FILTER (stroke = 'key') AS strokes, count(*) FILTER (stroke = 'back') AS erased, count(d) AS intervals, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms
+          FROM ended GROUP BY conv_id, turn, span)"""
+
 _HASHES = """
 b AS (SELECT *, list_transform(range(0, octet_length(encode(form))), lambda i: CAST('0x' || hex(encode(form))[2 * i + 1 : 2 * i + 2] AS BIGINT)) AS bytes FROM {0}),
 h AS (SELECT *, list_reduce(bytes, lambda a, x: (xor(a, x) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) AS h1,
@@ -197,28 +219,59 @@ sums AS (SELECT conv_id, turn, sentence, part, count(*) AS words, sum(e) AS se,
 SELECT conv_id, turn, sentence, part, words, language, CASE language WHEN 0 THEN 0 ELSE least(100, abs(en_score - fa_score)) END AS confidence, en_score, fa_score,
        CAST(ke AS INTEGER) AS en_known, CAST(kf AS INTEGER) AS fa_known, sensitivity, strength FROM made""",
     "sequence_repair": f"""
-WITH {_LEXICON}, {_SENTENCE_CLASSES}, {_POINTS}, asked AS (SELECT 1 AS sensitivity, 0 AS context, 0 AS strength),
+WITH RECURSIVE {_LEXICON}, {_SENTENCE_CLASSES}, {_POINTS}, asked AS (SELECT 1 AS one),
 held AS (SELECT *, sum(length(en) + 1) OVER (PARTITION BY conv_id, turn, sentence, part ORDER BY pos) - 1 - length(en) - 1 AS chars_before FROM pts),
 h AS (SELECT * FROM held WHERE pos <= 32 AND chars_before <= 479),
-sums AS (SELECT a.conv_id, a.turn, a.sentence, a.part, a.pos, b.pos AS start, count(*) AS words, sum(c.e) AS se, sum(c.f) AS sf, count(*) FILTER (c.en_known) AS ke, count(*) FILTER (c.fa_known) AS kf
+every AS (SELECT a.conv_id, a.turn, a.sentence, a.part, a.pos, b.pos AS start, count(*) AS words, sum(c.e) AS se, sum(c.f) AS sf, count(*) FILTER (c.en_known) AS ke, count(*) FILTER (c.fa_known) AS kf
          FROM h a JOIN h b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.sentence = b.sentence AND a.part = b.part AND b.pos < a.pos
          JOIN h c ON a.conv_id = c.conv_id AND a.turn = c.turn AND a.sentence = c.sentence AND a.part = c.part AND c.pos BETWEEN b.pos AND a.pos GROUP BY ALL),
+sums AS (SELECT *, conv_id % 3 AS sensitivity, 1 + turn % 2 AS context, (conv_id + turn) % 6 AS strength FROM every),
 {_RUN},
-pick AS (SELECT * FROM made WHERE language > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn, sentence, part, pos ORDER BY start) = 1)
-SELECT k.conv_id, k.turn, k.sentence, k.part, k.pos, k.start, k.language, least(100, abs(k.en_score - k.fa_score)) AS confidence, bool_or(h.visible <> k.language) AS needs_change,
-       string_agg(CASE h.visible WHEN 2 THEN h.fa ELSE h.en END, ' ' ORDER BY h.pos) AS original, string_agg(CASE k.language WHEN 2 THEN h.fa ELSE h.en END, ' ' ORDER BY h.pos) AS replacement
-FROM pick k JOIN h ON h.conv_id = k.conv_id AND h.turn = k.turn AND h.sentence = k.sentence AND h.part = k.part AND h.pos BETWEEN k.start AND k.pos GROUP BY ALL""",
+pick AS (SELECT *, row_number() OVER () AS id FROM made WHERE language > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn, sentence, part, pos ORDER BY start) = 1),
+sent AS (SELECT conv_id, turn, sentence, part, list(en ORDER BY pos) AS ens, list(fa ORDER BY pos) AS fas, list(CAST(visible AS INTEGER) ORDER BY pos) AS seen FROM h GROUP BY ALL),
+step AS (SELECT sent.conv_id, sent.turn, sent.sentence, sent.part, ix, start, language FROM (SELECT *, unnest(range(1, len(ens) + 1)) AS ix FROM sent) sent
+         LEFT JOIN pick ON pick.conv_id = sent.conv_id AND pick.turn = sent.turn AND pick.sentence = sent.sentence AND pick.part = sent.part AND pick.pos = ix),
+walk AS (
+  SELECT conv_id, turn, sentence, part, CAST(1 AS BIGINT) AS ix, seen FROM sent
+  UNION ALL
+  -- How the screen stands before the word `ix`: what the run at the word before left in its language.
+  SELECT w.conv_id, w.turn, w.sentence, w.part, w.ix + 1,
+         CASE WHEN s.language IS NULL THEN w.seen ELSE list_transform(w.seen, lambda x, i: CASE WHEN i BETWEEN s.start AND s.ix THEN CAST(s.language AS INTEGER) ELSE x END) END
+  FROM walk w JOIN step s ON s.conv_id = w.conv_id AND s.turn = w.turn AND s.sentence = w.sentence AND s.part = w.part AND s.ix = w.ix WHERE w.ix < len(w.seen)),
+out AS (SELECT k.*, ens, fas, w.seen, unnest(range(k.start, k.pos + 1)) AS i FROM pick k JOIN sent USING (conv_id, turn, sentence, part) JOIN walk w ON w.conv_id = k.conv_id AND w.turn = k.turn AND w.sentence = k.sentence AND w.part = k.part AND w.ix = k.pos)
+SELECT conv_id, turn, sentence, part, pos, start, language, least(100, abs(en_score - fa_score)) AS confidence, bool_or(seen[i] <> language) AS needs_change,
+       string_agg(CASE seen[i] WHEN 2 THEN fas[i] ELSE ens[i] END, ' ' ORDER BY i) AS original, string_agg(CASE language WHEN 2 THEN fas[i] ELSE ens[i] END, ' ' ORDER BY i) AS replacement
+FROM out GROUP BY conv_id, turn, sentence, part, pos, start, language, en_score, fa_score""",
     "sentence_starts": f"WITH {_SENTENCES} SELECT en, count(*) FILTER (pos = 1) AS starts, count(*) AS n FROM sw GROUP BY en",
     "context_fold": f"""
-WITH {_LEXICON}, {_SENTENCE_CLASSES},
-o AS (SELECT conv_id, turn, sentence, part, pos, CASE WHEN CASE visible WHEN 1 THEN en_known ELSE fa_known END THEN visible ELSE 3 - visible END AS l,
-        CASE WHEN en_known AND fa_known THEN 1 WHEN CASE visible WHEN 1 THEN en_frequent ELSE fa_frequent END THEN 3 ELSE 2 END AS e FROM cls WHERE en_known OR fa_known),
-g AS (SELECT conv_id, turn, list({{'language': CAST(0 AS INTEGER), 'strength': CAST(0 AS INTEGER), 'observed_words': CAST(0 AS BIGINT), 'l': CAST(l AS INTEGER), 'e': CAST(e AS INTEGER)}} ORDER BY sentence, part, pos) AS rows FROM o GROUP BY conv_id, turn),
-f AS (SELECT conv_id, turn, list_reduce(rows, lambda s, r: {{
-        'language': CAST(CASE WHEN s.language = 0 OR s.strength <= 0 OR s.language = r.l THEN r.l WHEN s.strength > r.e THEN s.language WHEN s.strength = r.e THEN 0 ELSE r.l END AS INTEGER),
-        'strength': CAST(CASE WHEN s.language = 0 OR s.strength <= 0 THEN r.e WHEN s.language = r.l THEN CASE WHEN s.strength < r.e THEN r.e ELSE least(4, s.strength + 1) END ELSE abs(s.strength - r.e) END AS INTEGER),
-        'observed_words': s.observed_words + 1, 'l': r.l, 'e': r.e}}, {_STATE}) AS s FROM g)
+WITH {_LEXICON}, {_SENTENCE_CLASSES}, {_SEEN},
+g AS (SELECT conv_id, turn, {_LISTED.format("sentence, part, pos")} AS rows FROM o GROUP BY conv_id, turn),
+f AS (SELECT conv_id, turn, {_FOLDED} AS s FROM g)
 SELECT conv_id, turn, s.language AS language, s.strength AS strength, s.observed_words AS observed_words FROM f""",
+    "context_sessions": f"""
+WITH {_LEXICON}, {_SENTENCE_CLASSES}, {_SEEN},
+timed AS (SELECT *, conv_id % 10 AS typist, CAST(turn % 2 AS VARCHAR) AS window_id, conv_id * 10000000000 + turn * 100000000 + sentence * 30000 + pos * 7 AS ts FROM o),
+b AS (SELECT *, CASE WHEN window_id = lag(window_id) OVER w AND ts - lag(ts) OVER w <= 90000 THEN 0 ELSE 1 END AS fresh FROM timed WINDOW w AS (PARTITION BY typist ORDER BY ts, part, pos)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY typist ORDER BY ts, part, pos) AS session FROM b),
+g AS (SELECT typist, session, any_value(window_id) AS window_id, min(ts) AS since_ms, max(ts) AS until_ms, {_LISTED.format("ts, part, pos")} AS rows FROM n GROUP BY typist, session),
+f AS (SELECT *, {_FOLDED} AS s FROM g)
+SELECT typist, CAST(session AS BIGINT) AS session, window_id, CAST(since_ms AS BIGINT) AS since_ms, CAST(until_ms AS BIGINT) AS until_ms, s.language AS language, s.strength AS strength, s.observed_words AS observed_words FROM f""",
+    "typed_words": f"""
+WITH RECURSIVE {_STROKES}, {_SPANS},
+run AS (
+  SELECT conv_id, turn, span, CAST(0 AS BIGINT) AS k, '' AS en, '' AS fa, false AS emptied FROM spans
+  UNION ALL
+  SELECT r.conv_id, r.turn, r.span, r.k + 1, CASE n.stroke WHEN 'key' THEN r.en || n.english ELSE left(r.en, greatest(length(r.en) - 1, 0)) END,
+         CASE n.stroke WHEN 'key' THEN r.fa || n.persian ELSE left(r.fa, greatest(length(r.fa) - 1, 0)) END, r.emptied OR (n.stroke = 'back' AND length(r.en) <= 1)
+  FROM run r JOIN num n ON n.conv_id = r.conv_id AND n.turn = r.turn AND n.span = r.span AND n.k = r.k + 1)
+SELECT conv_id, turn, span, strokes, erased, emptied, greatest(length(en) - 32, 0) AS overflow, left(en, 32) AS en, left(fa, 32) AS fa, intervals, first_ms, last_ms
+FROM run JOIN spans USING (conv_id, turn, span) WHERE k = strokes + erased AND strokes > 0""",
+    "typing_cadence": f"""
+WITH {_STROKES}, {_SPANS},
+g AS (SELECT conv_id, turn, list(d ORDER BY seq) AS ds FROM num WHERE d IS NOT NULL GROUP BY conv_id, turn),
+f AS (SELECT conv_id, turn, list_reduce(ds, lambda a, x: CASE WHEN x BETWEEN 20 AND 1500 THEN (CASE WHEN a BETWEEN 40 AND 500 THEN a ELSE 150 END * 3 + x) // 4 ELSE CASE WHEN a BETWEEN 40 AND 500 THEN a ELSE 150 END END, CAST(150 AS BIGINT)) AS cadence FROM g)
+SELECT conv_id, turn, cadence, greatest(650, least(1200, 4 * greatest(40, least(500, cadence)))) AS delay_0, greatest(450, least(900, 3 * greatest(40, least(500, cadence)))) AS delay_1,
+       greatest(280, least(650, 2 * greatest(40, least(500, cadence)))) AS delay_2 FROM f""",
     "cadence_fold": """
 WITH i AS (SELECT user_id, ts, event_id, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events),
 g AS (SELECT user_id, list(CAST(d // 20000 AS BIGINT) ORDER BY ts, event_id) AS ds FROM i WHERE d IS NOT NULL GROUP BY user_id),

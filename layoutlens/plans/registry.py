@@ -7,9 +7,6 @@ operators' own sizes, or all words there are where a corpus has fewer.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +20,9 @@ from layoutlens.operators import decide as D
 from layoutlens.operators import lexicon as L
 from layoutlens.operators import sequence as S
 from layoutlens.plans.oracles import ORACLES  # noqa: F401
+from layoutlens.operators import typing as K
 from layoutlens.sources import lexicon_files as files
+from layoutlens.sources.shared import kept, shared_folder
 from layoutlens.streaming import session
 
 COMMON, FREQUENT = L.COMMON, L.FREQUENT
@@ -34,23 +33,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under the one that the cluster shares; one of our own is set only where none is configured (tests)."""
-    context = spark.sparkContext
-    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
-        held = context._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="layoutlens-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def kept(frame: DataFrame) -> DataFrame:
-    """The frame as a checkpoint in the shared folder: made once for all that a query takes from it, and cleaned up by Spark."""
-    shared_folder(frame.sparkSession, "kept")
-    return frame.checkpoint()
-
-
 def side(lang: Column) -> Column:
     return F.when(F.coalesce(lang, F.lit("")).isin("en", "de"), ENGLISH).otherwise(PERSIAN)
 
@@ -120,8 +102,7 @@ def bloom_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _long_forms(spark, sf_dir)
-    made = [L.bloom_bits(words.filter(F.col("lang") == lang).select("form"), 1 << 17, 10).withColumn("lang", F.lit(lang)) for lang in (ENGLISH, PERSIAN)]
-    return made[0].union(made[1])
+    return L.bloom_bits(words, 1 << 17, 10, ["lang"])
 
 
 def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,8 +293,9 @@ def sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = kept(_classified_sentences(spark, sf_dir))
-    return S.run_texts(words, S.suffix_runs(words, _SENTENCE, F.lit(1), F.lit(0), F.lit(0)), _SENTENCE)
+    """What is done at every word of all sentences, earlier corrections in force; sensitivity and context differ by turn."""
+    settings = ((F.col("conv_id") % 3).cast("int"), (1 + F.col("turn") % 2).cast("int"), ((F.col("conv_id") + F.col("turn")) % 6).cast("int"))
+    return S.repaired_runs(_classified_sentences(spark, sf_dir), _SENTENCE, *settings)
 
 
 def sentence_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,14 +304,54 @@ def sentence_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("en").agg(F.count_if("sentence_start").alias("starts"), F.count(F.lit(1)).alias("n"))
 
 
-def context_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language context after all known words of each conversation's turn."""
-    words = _classified_sentences(spark, sf_dir)
+def _observations(words: DataFrame) -> DataFrame:
+    """Known words as the context sees them: language, evidence, order."""
     known = F.when(F.col("visible") == ENGLISH, F.col("en_known")).otherwise(F.col("fa_known"))
     often = F.when(F.col("visible") == ENGLISH, F.col("en_frequent")).otherwise(F.col("fa_frequent"))
     evidence = F.when(F.col("en_known") & F.col("fa_known"), 1).when(often, 3).otherwise(2)
     seen = words.withColumns({"language": F.when(known, F.col("visible")).otherwise(D.other_language(F.col("visible"))), "evidence": evidence, "order": F.struct("sentence", "part", "pos")})
-    return X.fold_context(seen.filter(F.col("en_known") | F.col("fa_known")), ["conv_id", "turn"], "order")
+    return seen.filter(F.col("en_known") | F.col("fa_known"))
+
+
+def context_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language context after all known words of each conversation's turn."""
+    return X.fold_context(_observations(_classified_sentences(spark, sf_dir)), ["conv_id", "turn"], "order")
+
+
+def context_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contexts that ten typists go through who write all conversations, a sentence every half a minute, in two windows."""
+    at = F.col("conv_id") * 10_000_000_000 + F.col("turn") * 100_000_000 + F.col("sentence") * 30_000 + F.col("pos") * 7
+    seen = _observations(_classified_sentences(spark, sf_dir)).withColumns(
+        {"typist": F.col("conv_id") % 10, "window_id": (F.col("turn") % 2).cast("string"), "ts_ms": at, "tie": F.struct("part", "pos")}
+    )
+    return X.fold_sessions(seen, ["typist"], tie="tie")
+
+
+def _strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as key strokes: a struck key now and then sticks (40 times) or is taken back, by place; what is no key of a word ends it."""
+    turns = _table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", F.posexplode(F.split("text", "")).alias("at", "c")).filter("c <> ''")
+    place = F.col("conv_id") * 7 + F.col("turn") * 5 + F.col("at")
+    stuck = F.when(place % 503 == 0, 40).otherwise(1)
+    back = F.when(place % 11 == 0, F.col("at") % 3 + 1).when(place % 97 == 0, 12).otherwise(0)
+    stroke = F.when(F.col("c").isin([k[1] for k in Y.KEYS] + [k[2] for k in Y.KEYS]) & ~F.col("c").isin("."), K.KEY).otherwise(K.END)
+    kinds = F.concat(F.array_repeat(stroke, stuck), F.array_repeat(F.lit(K.BACK), back))
+    each = turns.select("conv_id", "turn", "at", "c", F.posexplode(kinds).alias("j", "stroke"))
+    at = F.col("at") * 200 + F.col("at") * 37 % 101 + F.expr("at div 50") * 2_000 + F.col("j")
+    low = ascii_lower(F.col("c"))
+    return each.select(
+        "conv_id", "turn", (F.col("at") * 100 + F.col("j")).alias("seq"), at.cast("bigint").alias("ts_ms"), "stroke", F.col("c").alias("english"), typed_persian(low).alias("persian")
+    )
+
+
+def typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the strokes of all conversations leave at each boundary."""
+    return K.words(_strokes(spark, sf_dir), ["conv_id", "turn"])
+
+
+def typing_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cadence after all strokes of each conversation's turn, intervals across Backspaces and words left out, and the pauses it asks for."""
+    folded = X.fold_cadence(K.key_intervals(_strokes(spark, sf_dir), ["conv_id", "turn"]), ["conv_id", "turn"], "seq")
+    return folded.select("conv_id", "turn", "cadence", *[T.idle_delay(F.lit(s), F.col("cadence")).cast("bigint").alias(f"delay_{s}") for s in (0, 1, 2)])
 
 
 def context_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,7 +442,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         word_repair, keymap_words, word_shapes, bloom_positions, bloom_build, bloom_members, lexicon_prefixes, lexicon_tiers, lexicon_report, lexicon_package, eligible_words, ranked_words,
-        classify_words, decide_live, decide_idle, decide_boundary, decide_reduced, decide_basic, sequence_scores, sequence_repair, sentence_starts, context_fold, context_in_force, cadence_fold,
+        classify_words, decide_live, decide_idle, decide_boundary, decide_reduced, decide_basic, sequence_scores, sequence_repair, sentence_starts, context_fold, context_sessions, context_in_force, cadence_fold, typed_words, typing_cadence,
         key_readings, layout_languages, event_gates, previews, boundary_keys, excluded_apps, session_repair, session_counters,
     )
 } | {"collision_priors": priors}

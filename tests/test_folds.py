@@ -8,6 +8,7 @@ from layoutlens.functions import layout as Y
 from layoutlens.operators import classify as C
 from layoutlens.operators import context as X
 from layoutlens.operators import decide as D
+from layoutlens.operators import ordered as O
 from layoutlens.operators import sequence as S
 from layoutlens.plans import registry
 from layoutlens.streaming import machine as M
@@ -26,7 +27,8 @@ def observe(state, language, e):
 
 
 def test_context_of_long_groups(spark, monkeypatch):
-    monkeypatch.setattr(X, "SEGMENT", 7)
+    monkeypatch.setattr(O, "SEGMENT", 7)
+    monkeypatch.setattr(O, "FAN", 3)
     rng, rows, want = random.Random(1), [], {}
     for k, n in enumerate([1, 6, 7, 8, 50, 1_500]):
         state = (0, 0)

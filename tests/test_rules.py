@@ -144,10 +144,9 @@ def test_sequences(spark, lexicon):
     flagged = C.classify(words, lexicon)
     found = {r.k: (r.language, r.en_known, r.fa_known) for r in S.score_sequences(flagged, ["k"], F.lit(1), F.lit(0), F.lit(0)).collect()}
     assert found["a"] == (FA, 0, 3) and found["b"][:2] == (EN, 3) and found["c"][:2] == (EN, 6) and found["d"][0] == 0
-    runs = S.suffix_runs(flagged, ["k"], F.lit(1), F.lit(0), F.lit(0))
-    texts = S.run_texts(flagged.withColumn("visible", F.lit(EN)), runs, ["k"]).collect()
+    texts = S.repaired_runs(flagged.withColumn("visible", F.lit(EN)), ["k"], F.lit(1), F.lit(0), F.lit(0)).collect()
     last = {r.k: (r.start, r.original, r.replacement, r.needs_change) for r in sorted(texts, key=lambda r: r.pos)}
-    assert last["a"] == (1, "nv clhkd ;i", "در زمانی که", True) and last["c"][3] is False
+    assert last["a"] == (1, "در زمانی ;i", "در زمانی که", True) and last["c"][3] is False
 
 
 def test_lexicon_build(spark):
