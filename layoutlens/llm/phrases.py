@@ -6,7 +6,8 @@
    before it, whose positions extend phrases but are not counted again.
 2. The lengths of a word's lists, summed over all segments, are its exact frequency. Words of at least LEAST are frequent.
 3. In every segment the lists of frequent words are merged by position; a position that follows another extends that word to a
-   pair. Lists of equal pairs give their counts, which are summed by shuffle. Frequent pairs are extended alike, by merging their
+   pair. Lists of equal pairs give their counts, which are summed by shuffle: a row for each first word, with all that follows it, dealt by the first
+   word, or by the second one too where the first is hot. Frequent pairs are extended alike, by merging their
    end positions with the lists of words one further on, where the last two words are a frequent pair too.
 4. Which words and pairs are frequent is told to tasks by membership cells of bounded size (`sketches`): they never deny a frequent
    one, and what they let through in vain fails the exact count. So there is no size at which the way changes.
@@ -42,6 +43,8 @@ SEGMENT_WORDS = 600_000
 PART_BYTES = 1_000_000
 DEPTH = 2
 MOST_CELLS = 1 << 24
+#: Words with more than 1 / HOT of all places have their phrases dealt SALTS ways.
+HOT, SALTS = 2_000, 64
 BROADCAST_ROWS = 200_000
 
 _ENDS = re.compile(rb"[.,;:!?\x0a-\x0d]")
@@ -148,22 +151,34 @@ def membership(phrases: DataFrame, entries: int, most: int = MOST_CELLS) -> Cell
     return merged(phrases.select("lang", "phrase").mapInArrow(released(run), SCHEMA), width, DEPTH)
 
 
-def _counted(lang: str, words: pa.Array, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Distinct rows of word numbers as phrases with their counts."""
+def _counted(lang: str, words: pa.Array, hot: np.ndarray, salts: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Distinct rows of word numbers with their counts: a row for each first word (and salt), with all that stands behind it in one string, `tail` or `tail:count`."""
     key, base = columns[0].astype(np.int64), len(words)
-    inverse = None
     for column in columns[1:]:
         # Numbers of prefixes are made dense first, so that keys stay within 64 bits.
-        heads, inverse = np.unique(key, return_inverse=True)
+        _, inverse = np.unique(key, return_inverse=True)
         key = inverse.astype(np.int64) * base + column
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    if len(first):
-        texts = pc.binary_join_element_wise(*[words.take(pa.array(c[first])) for c in columns], " ")
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), texts, pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
-
-
-def extended(lists: DataFrame, frequent: Cells, pairs: Cells | None = None) -> DataFrame:
-    """lang, phrase, n: counts, by segment, of pairs of frequent words; with `pairs`, of three words whose neighbours are frequent pairs."""
+    if not len(first):
+        return
+    # Only phrases that begin with a hot word are dealt by their second one too.
+    salt = np.where(hot[columns[0][first]], salts[columns[1][first]], 0)
+    order = np.lexsort((salt, columns[0][first]))
+    first, counts, salt = first[order], counts[order], salt[order]
+    head = columns[0][first]
+    tails = [words.take(pa.array(c[first])) for c in columns[1:]]
+    tail = pc.binary_join_element_wise(*tails, " ") if len(tails) > 1 else tails[0]
+    numbered = pc.binary_join_element_wise(tail, pa.array(counts).cast(pa.string()), ":")
+    entries = pc.if_else(pa.array(counts > 1), numbered, tail)
+    starts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (salt[1:] != salt[:-1])])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(head)], pa.int32()), entries)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(starts), pa.string()), words.take(pa.array(head[starts])), pa.array(salt[starts], pa.int32()), pc.binary_join(lists, ",")], names=["lang", "head", "salt", "tails"]
+    )
+
+
+def extended(lists: DataFrame, frequent: Cells, hot_words: set[tuple[str, bytes]], pairs: Cells | None = None) -> DataFrame:
+    """lang, head, salt, tails: counts, by segment, of pairs of frequent words; with `pairs`, of three words whose neighbours are frequent pairs."""
     context = lists.sparkSession.sparkContext
     sent = [context.broadcast((c.width, c.table)) if c else None for c in (frequent, pairs)]
 
@@ -173,7 +188,9 @@ def extended(lists: DataFrame, frequent: Cells, pairs: Cells | None = None) -> D
             for k in range(batch.num_rows):
                 lang, own_from = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 words, sizes = batch.column(2)[k].values, batch.column(3)[k].values.to_numpy()
-                hashes = _hashes(lang, words.cast(pa.binary()).to_pylist())
+                spelled = words.cast(pa.binary()).to_pylist()
+                hashes = _hashes(lang, spelled)
+                hot = np.fromiter(((lang, w) in hot_words for w in spelled), dtype=bool, count=len(spelled))
                 known = of_words.least(hashes) > 0
                 chosen = np.repeat(known, sizes)
                 at = np.frombuffer(batch.column(4)[k].as_buffer(), dtype=np.int32)[chosen]
@@ -188,13 +205,17 @@ def extended(lists: DataFrame, frequent: Cells, pairs: Cells | None = None) -> D
                     left = left[np.flatnonzero(left[1:] == left[:-1] + 1)]
                 width = 2 if of_pairs is None else 3
                 left = left[at[left] + width - 1 >= own_from]
-                yield from _counted(lang, words, [word[left + j] for j in range(width)])
+                yield from _counted(lang, words, hot, (hashes >> np.uint64(32)).astype(np.int64) % SALTS, [word[left + j] for j in range(width)])
 
-    return lists.select("lang", "own_from", "words", "sizes", "positions").mapInArrow(released(run), "lang string, phrase string, n bigint")
+    return lists.select("lang", "own_from", "words", "sizes", "positions").mapInArrow(released(run), "lang string, head string, salt int, tails string")
 
 
-def _frequent(counts: DataFrame, least: int) -> DataFrame:
-    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+def _frequent(tails: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, n of the phrases that come `least` times: rows are dealt by first word (and salt) and only then taken apart."""
+    each = tails.repartition("lang", "head", "salt").select("lang", "head", "salt", F.explode(F.split("tails", ",")).alias("e"))
+    n = F.when(F.col("e").contains(":"), F.substring_index("e", ":", -1).cast("bigint")).otherwise(1)
+    counts = each.select("lang", "head", "salt", F.substring_index("e", ":", 1).alias("tail"), n.alias("n")).groupBy("lang", "head", "salt", "tail").agg(F.sum("n").alias("n"))
+    return counts.filter(F.col("n") >= least).select("lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "n")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -213,13 +234,17 @@ def collocations(documents: DataFrame, least: int = LEAST, top: int = TOP, size:
     scratch = scratch or Scratch(documents.sparkSession, documents)
     lists = scratch.keep(segments(documents, size), "lists")
     every = lists.select("lang", F.explode(F.arrays_zip("words", "own")).alias("w"))
-    words = scratch.keep(_frequent(every.select("lang", F.col("w.words").alias("phrase"), F.col("w.own").alias("n")), least), "words")
+    counts = every.groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.own").alias("n"))
+    words = scratch.keep(counts.filter(F.col("n") >= least), "words")
     totals = lists.select("lang", F.aggregate("own", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("__total"))
     n_words = words.count()
     of_words = membership(words, n_words, most_cells)
-    pairs = scratch.keep(_frequent(extended(lists, of_words), least), "pairs")
+    # No more than HOT words can hold a share of 1 / HOT of all places.
+    share = (totals.agg(F.sum("__total").alias("n")).first()["n"] or 0) / HOT
+    hot = {(r["lang"], r["phrase"].encode()) for r in words.filter(F.col("n") > share).select("lang", "phrase").collect()}
+    pairs = scratch.keep(_frequent(extended(lists, of_words, hot), least), "pairs")
     n_pairs = pairs.count()
-    triples = scratch.keep(_frequent(extended(lists, of_words, membership(pairs, n_pairs, most_cells)), least), "triples")
+    triples = scratch.keep(_frequent(extended(lists, of_words, hot, membership(pairs, n_pairs, most_cells)), least), "triples")
 
     word = lambda k: F.get(F.split("phrase", " "), F.lit(k))
     head = F.concat_ws(" ", word(0), word(1))
