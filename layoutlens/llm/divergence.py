@@ -6,7 +6,7 @@ Terms are runs of ASCII letters (A-Z lower-cased) and of anything beyond ASCII.
    underestimate, so a term whose least cell is under LEAST is impossible. The cells' number follows the table's size up to MOST_CELLS a row;
    beyond that fewer terms are told to be impossible, and the results stay the same.
 2. A second pass counts, per task, occurrences and documents of (lang, source, term), and sends only possible terms to the
-   shuffle, dealt by (lang, term). There they are counted exactly and terms of too few documents go.
+   shuffle, a row for each with its sources, dealt by (lang, term). There they are counted exactly and terms of too few documents go.
 3. A term's share is p = 1 + floor(10**9 * (count + 1) / (N + V)). For two sources of a language, floor((p - q)**2 / q) summed over all V terms
    falls into terms that neither has (one value times their number), that one has (which depends on its count alone: a histogram
    of counts is enough), and that both have: only these are joined, by (lang, term).
@@ -92,8 +92,21 @@ def document_frequencies(documents: DataFrame, width: int) -> Cells:
     return merged(_plain(documents).mapInArrow(released(run), SCHEMA), width, DEPTH)
 
 
+def _by_term(lang: str, found: list[tuple[str, list[bytes], list[int], list[int]]]) -> pa.RecordBatch:
+    """Counts of several sources as a row for each term."""
+    codes = pa.array([t for _, terms, _, _ in found for t in terms], pa.binary()).dictionary_encode()
+    at = codes.indices.to_numpy()
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], np.arange(len(codes.dictionary) + 1))
+    owner = np.repeat(np.arange(len(found), dtype=np.int32), [len(terms) for _, terms, _, _ in found])[order]
+    columns = [np.array([x for f in found for x in f[k]], dtype=np.int64)[order] for k in (2, 3)]
+    each = pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()).take(pa.array(owner)), *map(pa.array, columns)], names=["source", "n", "df"])
+    lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), each)
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(lists), pa.string()), codes.dictionary.cast(pa.string()), lists], names=["lang", "term", "sources"])
+
+
 def term_counts(documents: DataFrame, cells: Cells, least: int = LEAST) -> DataFrame:
-    """lang, source, term, n (occurrences), df (documents): partial counts of the terms that may be in `least` documents."""
+    """lang, term, sources (source, n occurrences, df documents): partial counts of the terms that may be in `least` documents."""
     width, sketch = cells.width, documents.sparkSession.sparkContext.broadcast(cells.table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,17 +114,15 @@ def term_counts(documents: DataFrame, cells: Cells, least: int = LEAST) -> DataF
         counts, holders = defaultdict(Counter), defaultdict(Counter)
 
         def send() -> Iterator[pa.RecordBatch]:
+            by_lang = defaultdict(list)
             for (lang, source), found in counts.items():
                 terms = list(found)
-                possible = np.flatnonzero(own.least(_hashes(lang, terms)) >= least).tolist()
-                chosen = [terms[k] for k in possible]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(chosen), pa.string()), pa.array([source] * len(chosen), pa.string()), pa.array(chosen, pa.binary()).cast(pa.string()),
-                     pa.array([found[t] for t in chosen], pa.int64()), pa.array([holders[lang, source][t] for t in chosen], pa.int64())],
-                    names=["lang", "source", "term", "n", "df"],
-                )
+                chosen = [terms[k] for k in np.flatnonzero(own.least(_hashes(lang, terms)) >= least).tolist()]
+                by_lang[lang].append((source, chosen, [found[t] for t in chosen], [holders[lang, source][t] for t in chosen]))
             counts.clear()
             holders.clear()
+            for lang, found in by_lang.items():
+                yield _by_term(lang, found)
 
         for batch in batches:
             for lang, source, text in _rows(batch):
@@ -124,7 +135,7 @@ def term_counts(documents: DataFrame, cells: Cells, least: int = LEAST) -> DataF
                     yield from send()
         yield from send()
 
-    return _plain(documents).mapInArrow(released(run), "lang string, source string, term string, n bigint, df bigint")
+    return _plain(documents).mapInArrow(released(run), "lang string, term string, sources array<struct<source:string,n:bigint,df:bigint>>")
 
 
 def kept_terms(documents: DataFrame, least: int = LEAST, width: int | None = None) -> DataFrame:
@@ -132,7 +143,8 @@ def kept_terms(documents: DataFrame, least: int = LEAST, width: int | None = Non
     size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cells = document_frequencies(documents, width or cells_for(size // 128, most=MOST_CELLS))
     # Dealt once, by (lang, term): what follows needs no other exchange.
-    exact = term_counts(documents, cells, least).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    dealt = term_counts(documents, cells, least).repartition("lang", "term").select("lang", "term", F.explode("sources").alias("s")).select("lang", "term", "s.*")
+    exact = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     term = Window.partitionBy("lang", "term")
     known = exact.withColumns({"lang_n": F.sum("n").over(term), "all_df": F.sum("df").over(term), "least_source": F.min("source").over(term)})
     return known.filter(F.col("all_df") >= least).select("lang", "source", "term", "n", "lang_n", (F.col("source") == F.col("least_source")).alias("first"))
