@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import struct
+import uuid
+from collections.abc import Iterator
 
-import numpy as np
-import pyarrow.compute as pc
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from layoutlens.functions import text as T
 from layoutlens.operators.lexicon import TIERS, require_same
@@ -81,41 +85,102 @@ def bloom_positions(files: DataFrame) -> DataFrame:
     return places.select("path", F.explode(bits).alias("k"), "byte").select("path", (F.col("byte") * 8 + F.col("k")).cast("bigint").alias("bit"))
 
 
-def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """A small file, wherever Spark's paths reach."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-    out.write(data)
-    out.close()
+#: Bits of one packed chunk, as `bitmap_construct_agg` makes them: bit k of a chunk is bit k % 8 of byte k / 8, as in the files.
+CHUNK = 32_768
 
 
-def bloom_blob(words: DataFrame, bits: int, hashes: int) -> bytes:
-    """A Bloom file of the words (form)."""
-    return bloom_blobs(words, {"": (F.lit(True), bits, hashes)})[""]
+def bloom_chunks(words: DataFrame, filters: dict) -> DataFrame:
+    """name, bits, hashes, chunk, bitmap: the Bloom filters of the words (form and more) in packed chunks of CHUNK bits; chunk -1 (without bitmap) stands for each file.
 
-
-def bloom_blobs(words: DataFrame, filters: dict) -> dict:
-    """Bloom files of the words (form and more): of each name those for which its condition holds, with its bits and hashes.
-
-    Every word is hashed once for all of them. Their sizes are fixed by `bits`; the set bytes alone come to the driver.
+    `filters` has for each name a condition on the words that it holds, its bits (a power of two) and its hashes. Every word is hashed once for
+    all of them, and bits are packed before they are shuffled.
     """
-    names, nothing = list(filters), F.array().cast("array<struct<file:int,bit:bigint>>")
-    own = words.withColumn("pair", T.hash_pair(F.col("form")))
+    nothing = F.array().cast("array<struct<file:int,bit:bigint>>")
+    own = words.withColumn("pair", F.explode(F.array(T.hash_pair(F.col("form")))))
 
     def mark(k: int, holds: Column, bits: int, hashes: int) -> Column:
         spots = T.bit_positions(F.col("pair"), bits, hashes)
         return F.when(holds, F.transform(spots, lambda b: F.struct(F.lit(k).alias("file"), b.alias("bit")))).otherwise(nothing)
 
     marks = [mark(k, *each) for k, each in enumerate(filters.values())]
-    found = own.select(F.explode(F.concat(*marks)).alias("m")).select("m.*").distinct()
-    filled = found.groupBy("file", F.shiftright("bit", 3).alias("byte")).agg(F.sum(F.expr("shiftleft(1, cast(bit & 7 AS int))")).cast("int").alias("value")).toArrow()
-    out = {}
-    for k, name in enumerate(names):
-        _, bits, hashes = filters[name]
-        body, here = np.zeros(bits // 8, dtype=np.uint8), filled.filter(pc.equal(filled["file"], k))
-        body[here["byte"].to_numpy()] = here["value"].to_numpy()
-        out[name] = MAGIC.encode() + struct.pack("<III", 1, bits, hashes) + body.tobytes()
-    return out
+    found = own.select(F.explode(F.concat(*marks)).alias("m")).select("m.*")
+    packed = found.groupBy("file", F.expr(f"cast(bit div {CHUNK} AS int)").alias("chunk")).agg(F.bitmap_construct_agg(F.col("bit") % CHUNK).alias("bitmap"))
+    rows = [(k, name, bits, hashes) for k, (name, (_, bits, hashes)) in enumerate(filters.items())]
+    files = F.broadcast(words.sparkSession.createDataFrame(rows, "file int, name string, bits bigint, hashes bigint"))
+    every = packed.unionByName(files.select("file", F.lit(-1).alias("chunk"), F.lit(None).cast("binary").alias("bitmap")))
+    return every.join(files, "file").select("name", "bits", "hashes", "chunk", "bitmap")
+
+
+class BloomFiles(DataSource):
+    """A batch sink for `bloom_chunks`: executors write the files, and a commit gives them their names."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bloom_files"
+
+    def schema(self) -> str:
+        raise ValueError("this is a sink")
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return BloomWriter(self.options["path"])
+
+
+class Drafts(WriterCommitMessage):
+    def __init__(self, names: list[tuple[str, str]]) -> None:
+        self.names = names
+
+
+class BloomWriter(DataSourceArrowWriter):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def _opened(self) -> tuple[fs.FileSystem, str]:
+        files, folder = fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), self.path)
+        return files, folder.rstrip("/")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Drafts:
+        """Rows come by name and chunk: a task holds one chunk. Chunks that no word has set are zeros."""
+        files, folder = self._opened()
+        files.create_dir(folder, recursive=True)
+        made, out, at, size = [], None, 0, 0
+
+        def close() -> None:
+            if out is not None:
+                out.write(bytes(size - at))
+                out.close()
+
+        for batch in iterator:
+            for name, bits, hashes, chunk, bitmap in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if chunk < 0:
+                    close()
+                    made.append((f"{folder}/{uuid.uuid4().hex}.draft", f"{folder}/{name}.bloom"))
+                    out, at, size = files.open_output_stream(made[-1][0]), 0, bits // 8
+                    out.write(MAGIC.encode() + struct.pack("<III", 1, bits, hashes))
+                    continue
+                start = chunk * CHUNK // 8
+                out.write(bytes(start - at) + bitmap[: size - start])
+                at = min(size, start + CHUNK // 8)
+        close()
+        return Drafts(made)
+
+    def commit(self, messages: list[Drafts | None]) -> None:
+        files, _ = self._opened()
+        for draft, name in (pair for m in messages if m for pair in m.names):
+            if files.get_file_info(name).type == fs.FileType.File:
+                files.delete_file(name)
+            files.move(draft, name)
+
+    def abort(self, messages: list[Drafts | None]) -> None:
+        files, _ = self._opened()
+        for draft, _name in (pair for m in messages if m for pair in m.names):
+            files.delete_file(draft)
+
+
+def write_blooms(words: DataFrame, filters: dict, path: str) -> None:
+    """The Bloom files NAME.bloom of `filters` (see `bloom_chunks`) in a folder that driver and executors reach."""
+    words.sparkSession.dataSource.register(BloomFiles)
+    chunks = bloom_chunks(words, filters).repartition("name").sortWithinPartitions("name", "chunk")
+    chunks.write.format("bloom_files").mode("append").option("path", path).save()
 
 
 # Bits and hashes of the filters of either language.
@@ -133,8 +198,7 @@ def write_package(lexicon: DataFrame, priors: DataFrame, path: str) -> None:
     priors.orderBy("english").write.mode("overwrite").parquet(f"{path}/priors")
     stored = spark.read.schema(lexicon.schema).parquet(f"{path}/lexicon")
     wanted = {f"{lang}-{tier}": ((F.col("lang") == lang) & F.col(tier), bits, hashes) for (lang, tier), (bits, hashes) in FILTERS.items()}
-    for name, data in bloom_blobs(stored, wanted).items():
-        write_bytes(spark, f"{path}/bloom/{name}.bloom", data)
+    write_blooms(stored, wanted, f"{path}/bloom")
 
 
 def read_package(spark: SparkSession, path: str, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

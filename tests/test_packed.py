@@ -1,0 +1,56 @@
+"""Bloom files packed by executors, byte for byte, and the gate against what is stored."""
+
+import random
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from layoutlens.operators import lexicon as L
+from layoutlens.sources import lexicon_files as files
+
+
+def plain_file(words, bits, hashes):
+    body = bytearray(bits // 8)
+    for word in words:
+        h1, h2 = 2166136261, 5381
+        for byte in word.encode():
+            h1 = ((h1 ^ byte) * 16777619) % 2**32
+            h2 = (h2 * 33 % 2**32) ^ byte
+        step = (2 * h2 | 1) % 2**32
+        for i in range(hashes):
+            k = (h1 + i * step + i * i * 0x9E3779B9) % bits
+            body[k // 8] |= 1 << k % 8
+    return b"KSWB" + struct.pack("<III", 1, bits, hashes) + bytes(body)
+
+
+def test_files_of_executors_are_byte_identical(spark, tmp_path):
+    rng = random.Random(17)
+    words = sorted({"".join(rng.choices("abcdeسلامی", k=rng.randrange(1, 9))) for _ in range(3_000)})
+    frame = spark.createDataFrame([(w, k % 2 == 0) for k, w in enumerate(words)], "form string, even boolean").repartition(5)
+    filters = {"all": (F.lit(True), 1 << 17, 10), "even": (F.col("even"), 1 << 20, 14), "few": (F.col("form") == words[0], 1 << 22, 9), "none": (F.lit(False), 1 << 17, 3), "small": (F.lit(True), 1 << 10, 1)}
+    chosen = {"all": words, "even": words[::2], "few": words[:1], "none": [], "small": words}
+    for _ in range(2):  # written again, it is the same
+        files.write_blooms(frame, filters, str(tmp_path / "b"))
+        assert {p.name for p in (tmp_path / "b").iterdir() if p.suffix != ".crc"} == {f"{n}.bloom" for n in filters}
+        for name, (_, bits, hashes) in filters.items():
+            assert (tmp_path / "b" / f"{name}.bloom").read_bytes() == plain_file(chosen[name], bits, hashes)
+    assert files.bloom_files(spark, str(tmp_path / "b")).filter("valid").count() == len(filters)
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    writer = files.BloomWriter(str(tmp_path / "b"))
+    import pyarrow as pa
+
+    rows = [("x", 1 << 10, 2, -1, None), ("x", 1 << 10, 2, 0, bytes(4096))]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("name", "bits", "hashes", "chunk", "bitmap"), r, strict=True)) for r in rows], pa.schema([("name", pa.string()), ("bits", pa.int64()), ("hashes", pa.int64()), ("chunk", pa.int32()), ("bitmap", pa.binary())]))
+    writer.abort([writer.write(iter([batch])), None])
+    assert list((tmp_path / "b").iterdir()) == []
+
+
+def test_the_gate_ends_a_build_that_differs(spark):
+    one = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "form string, n int")
+    L.require_same(one, one.select("n", "form"))
+    for other in ([("a", 1), ("b", 2)], [("a", 1), ("b", 2), ("b", 2), ("c", 3)], [("a", 1), ("b", 2), ("b", 9)]):
+        with pytest.raises(ValueError, match="only "):
+            L.require_same(one, spark.createDataFrame(other, "form string, n int"))
