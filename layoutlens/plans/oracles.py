@@ -306,3 +306,12 @@ SELECT c IN (' ', chr(10), chr(9), '.') AS boundary, c IN (chr(10), '.', '!', '?
 WITH a AS (SELECT 'C:\\Apps\\' || CASE WHEN user_id % 5 = 0 THEN 'KEEPASS.exe' ELSE event_type || '.exe' END AS app FROM events)
 SELECT app, lower(string_split(app, '\\')[-1]) IN ({", ".join(map(_Q, excluded_names(EXCLUDED)))}) AS excluded, count(*) AS n FROM a GROUP BY ALL""",
 }
+ORACLES["undone_edits"] = f"""
+WITH m AS (SELECT * FROM ({ORACLES["sequence_repair"]}) WHERE needs_change),
+ev AS (
+  SELECT conv_id, turn, sentence, part, pos * 10 AS seq, pos * 100000 AS ts_ms, 'edit' AS kind, 'one' AS window_id, original, replacement, language FROM m
+  UNION ALL SELECT conv_id, turn, sentence, part, pos * 10 + 2, pos * 100000 + 2, 'key', 'one', NULL, NULL, NULL FROM m WHERE (pos + start) % 5 = 0
+  UNION ALL SELECT conv_id, turn, sentence, part, pos * 10 + 3, pos * 100000 + length(original) * pos * 137 % 20000 + 10, CASE WHEN pos % 2 = 0 THEN 'back' ELSE 'hotkey' END, CASE WHEN pos % 7 = 0 THEN 'two' ELSE 'one' END, NULL, NULL, NULL FROM m),
+last AS (SELECT *, lag(kind) OVER w AS k, lag(window_id) OVER w AS win, lag(ts_ms) OVER w AS t, lag(original) OVER w AS o, lag(replacement) OVER w AS r, lag(language) OVER w AS l FROM ev WINDOW w AS (PARTITION BY conv_id, turn, sentence, part ORDER BY seq))
+SELECT conv_id, turn, sentence, part, CAST(seq AS BIGINT) AS seq, CAST(ts_ms AS BIGINT) AS ts_ms, CAST(ts_ms - t AS BIGINT) AS age_ms, length(r) + 1 AS delete_count, o AS restored, CASE kind WHEN 'hotkey' THEN ' ' END AS delimiter, 3 - l AS target_language
+FROM last WHERE kind IN ('back', 'hotkey') AND k = 'edit' AND win = window_id AND ts_ms - t <= 15000"""

@@ -21,6 +21,7 @@ from layoutlens.operators import lexicon as L
 from layoutlens.operators import sequence as S
 from layoutlens.plans.oracles import ORACLES  # noqa: F401
 from layoutlens.operators import typing as K
+from layoutlens.operators import undo as U
 from layoutlens.sources import lexicon_files as files
 from layoutlens.sources.shared import kept, shared_folder
 from layoutlens.streaming import session
@@ -298,6 +299,25 @@ def sequence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.repaired_runs(_classified_sentences(spark, sf_dir), _SENTENCE, *settings)
 
 
+def undone_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrections of all sentences that are taken back: after each, by its place, a modifier, now and then a key, and Backspace or the hotkey, some late or elsewhere."""
+    made = sequence_repair(spark, sf_dir).filter("needs_change")
+    age = F.length("original") * F.col("pos") * 137 % 20_000 + 10
+    struct = lambda j, kind, at, window: F.struct(F.lit(j).alias("j"), kind.alias("kind"), at.cast("bigint").alias("at"), window.alias("window_id"))
+    here, elsewhere = F.lit("one"), F.when(F.col("pos") % 7 == 0, "two").otherwise("one")
+    steps = F.array(
+        struct(0, F.lit(U.EDIT), F.lit(0), here), struct(1, F.lit(U.MODIFIER), F.lit(1), here),
+        F.when((F.col("pos") + F.col("start")) % 5 == 0, struct(2, F.lit("key"), F.lit(2), here)), struct(3, F.when(F.col("pos") % 2 == 0, U.BACK).otherwise(U.HOTKEY), age, elsewhere),
+    )
+    each = made.select("*", F.explode(F.array_compact(steps)).alias("e"))
+    edit = F.col("e.kind") == U.EDIT
+    events = each.select(
+        *_SENTENCE, (F.col("pos") * 10 + F.col("e.j")).cast("bigint").alias("seq"), (F.col("pos") * 100_000 + F.col("e.at")).cast("bigint").alias("ts_ms"), "e.kind", "e.window_id",
+        *[F.when(edit, F.col(c)).alias(c) for c in ("original", "replacement")], F.when(edit, " ").alias("delimiter"), F.when(edit, D.other_language(F.col("language"))).alias("source_language"),
+    )
+    return U.undone(events, _SENTENCE)
+
+
 def sentence_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that begin the sentences of conversations, and how often."""
     words = X.with_sentence_start(_sentences(spark, sf_dir), _SENTENCE)
@@ -442,7 +462,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         word_repair, keymap_words, word_shapes, bloom_positions, bloom_build, bloom_members, lexicon_prefixes, lexicon_tiers, lexicon_report, lexicon_package, eligible_words, ranked_words,
-        classify_words, decide_live, decide_idle, decide_boundary, decide_reduced, decide_basic, sequence_scores, sequence_repair, sentence_starts, context_fold, context_sessions, context_in_force, cadence_fold, typed_words, typing_cadence,
+        classify_words, decide_live, decide_idle, decide_boundary, decide_reduced, decide_basic, sequence_scores, sequence_repair, undone_edits, sentence_starts, context_fold, context_sessions, context_in_force, cadence_fold, typed_words, typing_cadence,
         key_readings, layout_languages, event_gates, previews, boundary_keys, excluded_apps, session_repair, session_counters,
     )
 } | {"collision_priors": priors}

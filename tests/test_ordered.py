@@ -11,6 +11,7 @@ from layoutlens.operators import context as X
 from layoutlens.operators import ordered as O
 from layoutlens.operators import sequence as S
 from layoutlens.operators import typing as K
+from layoutlens.operators import undo as U
 
 
 @pytest.fixture
@@ -186,3 +187,24 @@ def test_a_later_run_meets_corrected_words(spark):
     frame = spark.createDataFrame(rows, "k int, pos int, en string, fa string, en_known boolean, fa_known boolean, en_frequent boolean, fa_frequent boolean, visible int")
     found = S.repaired_runs(frame, ["k"], F.lit(1), F.lit(0), F.lit(0)).orderBy("pos").collect()
     assert [(r.pos, r.start, r.needs_change, r.original) for r in found] == [(2, 1, True, "abcd abcd"), (3, 1, True, "سلام سلام abcd"), (4, 1, False, "سلام سلام سلام سلام")]
+
+
+def test_undo_by_the_next_key_alone(spark, many_ranges):
+    """Backspace and hotkey on both sides of 15,000 ms, with modifiers, keys, clicks and other windows in between; an edit is undone once."""
+    rng, rows, want = random.Random(19), [], []
+    for s in range(3):
+        at, undo = 0, None
+        for seq in range(600):
+            at += rng.choice([5, 7_000, 15_000, 15_001])
+            kind, window = rng.choice([U.EDIT, U.EDIT, U.BACK, U.HOTKEY, U.MODIFIER, "key", "click"]), rng.choice("aaab")
+            edit = ("was", f"now{seq}", rng.choice([" ", None]), 1 + seq % 2) if kind == U.EDIT else (None,) * 4
+            rows.append((s, seq, at, kind, window, *edit))
+            if kind == U.MODIFIER:
+                continue
+            if kind in (U.BACK, U.HOTKEY) and undo and undo[0] == window and at - undo[1] <= 15_000:
+                _, since, original, replacement, delimiter, language = undo
+                want.append((s, seq, at, at - since, len(replacement) + bool(delimiter), original, delimiter if kind == U.HOTKEY else None, language))
+            undo = (window, at, *edit) if kind == U.EDIT else None
+    schema = "s int, seq int, ts_ms bigint, kind string, window_id string, original string, replacement string, delimiter string, source_language int"
+    found = U.undone(spark.createDataFrame(rng.sample(rows, len(rows)), schema), ["s"]).select("s", "seq", "ts_ms", "age_ms", "delete_count", "restored", "delimiter", "target_language").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want)) and len(want) > 50
