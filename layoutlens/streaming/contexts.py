@@ -1,26 +1,15 @@
-"""Language contexts over a stream, as declared state: what `operators.context.fold_sessions` gives in batch, emitted as contexts run out.
-
-Words wait in a typist's list until the watermark has passed them, and are then taken in order of time, however they came. So a word that comes
-late but within the watermark's delay counts in its place; one that comes later still is dropped by Spark before it gets here, and is counted in the
-query's progress (`numRowsDroppedByWatermark`). A context that has run out is emitted once the watermark is past its last word by more than the time to
-live, by a timer; nothing depends on the clock. State is columns (a context, and the words that wait), which the state data source reads.
-"""
+"""Language contexts over a stream: what `operators.context.fold_sessions` gives in batch, emitted as contexts run out."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from layoutlens.functions.layout import ENGLISH, OTHER, PERSIAN
 from layoutlens.operators.context import TTL_MS
+from layoutlens.streaming.inorder import InOrder, names, over
 
 CONTEXT = "session bigint, window_id string, since_ms bigint, until_ms bigint, language int, strength int, observed_words bigint"
-WAITING = "ts_ms bigint, tie bigint, window_id string, language int, evidence int"
-NAMES = [part.split()[0] for part in CONTEXT.split(", ")]
+NAMES = names(CONTEXT)
 
 
 def observed(language: int, strength: int, word: int, evidence: int) -> tuple[int, int]:
@@ -34,65 +23,34 @@ def observed(language: int, strength: int, word: int, evidence: int) -> tuple[in
     return (language, left) if left > 0 else (OTHER, 0) if left == 0 else (word, -left)
 
 
-class Contexts(StatefulProcessor):
+class Contexts(InOrder):
+    EVENT = "ts_ms bigint, tie bigint, window_id string, language int, evidence int"
+    STATE = CONTEXT
+    ROW = f"typist string, {CONTEXT}"
+
     def __init__(self, ttl_ms: int = TTL_MS) -> None:
         self.ttl_ms = ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.context = handle.getValueState("context", CONTEXT)
-        self.waiting = handle.getListState("waiting", WAITING)
+    def takes(self, event: tuple) -> bool:
+        return event[3] in (ENGLISH, PERSIAN)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            own = frame[frame["language"].isin((ENGLISH, PERSIAN))]
-            if len(own):
-                columns = [own[n].tolist() for n in ("ts_ms", "tie", "window_id", "language", "evidence")]
-                self.waiting.appendList([tuple(r) for r in zip(*columns, strict=True)])
-                # Taken when the watermark is past the word.
-                for at in set(columns[0]):
-                    self.handle.registerTimer(int(at) + 1)
-        yield from ()
+    def step(self, state, event):
+        at, _, window, language, evidence = event
+        rows = []
+        if state is not None and state[6] and state[1] != window:
+            state, rows = self.lapse(state)
+        if state is None or not state[6]:
+            state = ((state[0] if state else 0) + 1, window, at, at, OTHER, 0, 0)
+        return (*state[:3], at, *observed(state[4], state[5], language, evidence), state[6] + 1), rows
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # All that the watermark has passed is taken at the first timer; those of the other words find nothing left.
-        now = timerValues.getCurrentWatermarkInMs()
-        words = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        due = [w for w in words if w[0] < now]
-        if due:
-            self.waiting.put(words[len(due) :]) if len(due) < len(words) else self.waiting.clear()
-        context = tuple(self.context.get()) if self.context.exists() else None
-        over = []
-        for at, _, window, language, evidence in due:
-            if context is None or context[1] != window or at - context[3] > self.ttl_ms:
-                if context is not None and context[6]:
-                    over.append(context)
-                context = ((context[0] if context else 0) + 1, window, at, at, OTHER, 0, 0)
-            context = (*context[:3], at, *observed(context[4], context[5], language, evidence), context[6] + 1)
-        if context is not None and context[6]:
-            if now > context[3] + self.ttl_ms:
-                over.append(context)
-                # What is left tells the next session's number.
-                context = (context[0], None, context[2], context[3], OTHER, 0, 0)
-            elif due:
-                # Judged anew when this word has run out, if no other has come.
-                self.handle.registerTimer(context[3] + self.ttl_ms + 1)
-        if context is not None:
-            self.context.update(context)
-        if over:
-            yield pd.DataFrame([(*key, *c) for c in over], columns=["typist", *NAMES])
+    def due(self, state):
+        return state[3] + self.ttl_ms if state[6] else None
 
-    def close(self) -> None:
-        pass
+    def lapse(self, state):
+        # What is left tells the next session's number.
+        return (state[0], None, state[2], state[3], OTHER, 0, 0), [state]
 
 
 def context_stream(words: DataFrame, late: str = "10 seconds", ttl_ms: int = TTL_MS) -> DataFrame:
-    """typist and CONTEXT of every context that has run out, from a stream of words (typist, window_id, ts_ms, tie, language, evidence).
-
-    `typist` is a string; `tie` orders words of one time; `late` is how far behind the latest word one may come. Needs the RocksDB state store.
-    """
-    timed = words.select(
-        F.col("typist").cast("string").alias("typist"), "window_id", F.col("ts_ms").cast("bigint").alias("ts_ms"), F.col("tie").cast("bigint").alias("tie"),
-        F.col("language").cast("int").alias("language"), F.col("evidence").cast("int").alias("evidence"), F.timestamp_millis("ts_ms").alias("at"),
-    ).withWatermark("at", late)
-    return timed.groupBy("typist").transformWithStateInPandas(Contexts(ttl_ms), f"typist string, {CONTEXT}", "Append", "EventTime")
+    """typist and CONTEXT of every context that has run out, from a stream of words (typist, window_id, ts_ms, tie, language, evidence). `tie` orders words of one time."""
+    return over(Contexts(ttl_ms), words, "typist", late)

@@ -11,6 +11,7 @@ from layoutlens.operators import context as X
 from layoutlens.operators import decide as D
 from layoutlens.operators import lexicon as L
 from layoutlens.operators import sequence as S
+from layoutlens.streaming import pauses
 
 EN, FA = Y.ENGLISH, Y.PERSIAN
 WORDS = {
@@ -185,3 +186,13 @@ def test_predicates(spark):
     assert [r.x for r in apps] == [True, False, False]
     events = spark.createDataFrame([(False, False, "a.exe"), (True, False, "a.exe"), (False, True, "a.exe"), (False, False, "KeePass.exe")], "injected boolean, protected boolean, app string")
     assert P.accepted_events(events).count() == 1
+
+
+def test_a_pause_judges_only_words_that_wait(spark, lexicon, priors):
+    words = C.with_priors(C.classify(cases(spark, [(w, FA, 0, 0, False, 0) for w in ("fish", "hello", "leg", "hi", "zz")]), lexicon), priors)
+    settings = (F.col("active"), F.lit(1), F.lit(0), F.lit(0), F.lit(False))
+    live, idle = (D.contextual(*settings, F.lit(phase)) for phase in (D.LIVE, D.IDLE))
+    rows = pauses.judged(words, *settings).select("en", "d", live["action"].alias("live"), idle.alias("idle")).collect()
+    assert {r.live for r in rows} >= {D.WAIT, D.NONE} and any(r.d is not None and r.d.should_correct for r in rows)
+    for r in rows:
+        assert r.d == (r.idle if r.live == D.WAIT else None)

@@ -10,7 +10,9 @@ from layoutlens.functions.layout import ENGLISH as EN
 from layoutlens.functions.layout import PERSIAN as FA
 from layoutlens.operators import context as X
 from layoutlens.operators import lexicon as L
-from layoutlens.streaming import contexts, journal, lookups
+from layoutlens.functions import text as T
+from layoutlens.operators.typing import BACK, END, KEY
+from layoutlens.streaming import contexts, journal, lookups, pauses
 
 WORDS = "typist string, window_id string, ts_ms bigint, tie bigint, language int, evidence int"
 
@@ -56,7 +58,7 @@ def test_contexts_survive_restarts_and_out_of_order_words(rocks, tmp_path):
         part = sorted(words[a : a + 50], key=lambda w: w["ts_ms"] + rng.randrange(0, 300_000))
         append(source, "one.jsonl", part)
         run()
-    state = rocks.read.format("statestore").option("path", str(checkpoint)).option("stateVarName", "context").load()
+    state = rocks.read.format("statestore").option("path", str(checkpoint)).option("stateVarName", "state").load()
     held = {r.key.typist: r.value.session for r in state.select("key", "value").collect()}
     assert set(held) == {"t0", "t1"}
     # Far later words close what is open; a word from long ago is not taken any more.
@@ -181,3 +183,64 @@ def test_observed_counters(rocks, tmp_path):
         rocks.streams.removeListener(listener)
     repaired = [r for r in rows if (r["fa_known"] and not r["en_known"] if r["active"] == EN else r["en_known"] and not r["fa_known"])]
     assert listener.totals == {"keys_seen": sum(r["strokes"] for r in rows), "words_checked": len(rows), "corrections": len(repaired)}
+
+
+def plain_pauses(strokes, sensitivity):
+    """Pauses of one session's strokes in order: (ts, en, fa, cadence)."""
+    out, word, cadence, last = [], [], 150, None
+    for k, (at, stroke, en, fa) in enumerate(strokes):
+        if stroke == KEY:
+            if last is not None:
+                cadence = cadence if 40 <= cadence <= 500 else 150
+                cadence = (3 * cadence + at - last) // 4 if 20 <= at - last <= 1_500 else cadence
+            word.append((en, fa))
+            last = at
+            pace = max(40, min(500, cadence))
+            delay = {0: max(650, min(1_200, 4 * pace)), 1: max(450, min(900, 3 * pace)), 2: max(280, min(650, 2 * pace))}[sensitivity]
+            nxt = strokes[k + 1][0] if k + 1 < len(strokes) else 1 << 60
+            if 2 <= len(word) <= 32 and nxt > at + delay:
+                out.append((at + delay, "".join(a for a, _ in word), "".join(b for _, b in word), cadence))
+        elif stroke == BACK:
+            word, last = word[:-1], None
+        else:
+            word, last = [], None
+    return out
+
+
+def test_pauses_by_event_time(rocks, tmp_path):
+    """Strokes in small batches, out of order within reach of the watermark, with restarts: the pauses of a plain loop; a stroke beyond reach is dropped."""
+    rng, source, sink, checkpoint = random.Random(23), tmp_path / "in", tmp_path / "out", tmp_path / "state"
+    source.mkdir()
+    sessions, schema = {}, "session_id string, ts_ms bigint, tie bigint, stroke string, english string, persian string"
+    for name in ("one", "two"):
+        at, own = 100_000, []
+        for k in range(160):
+            at += rng.choice([30, 90, 140, 449, 450, 451, 600, 899, 900, 901, 1_600, 4_000] if rng.random() < 0.5 else [60, 120])
+            c = rng.choice("abc")
+            own.append((at, KEY if k in range(40, 90) else rng.choices([KEY, BACK, END], [12, 2, 1])[0], c, c.upper()))
+        sessions[name] = own
+    rows = [(name, at, k, stroke, en, fa) for name, own in sessions.items() for k, (at, stroke, en, fa) in enumerate(own)]
+    rows.sort(key=lambda r: r[1] + rng.randrange(0, 8_000))
+    columns = [part.split()[0] for part in schema.split(", ")]
+
+    def run(part):
+        append(source, "a.jsonl", [dict(zip(columns, r, strict=True)) for r in part])
+        stream = rocks.readStream.format("journal").schema(schema).option("path", str(source)).load()
+        return drained(pauses.pause_stream(stream, "10 seconds"), sink, checkpoint, pauses.Pauses.ROW)
+
+    third = len(rows) // 3
+    for a in (0, third, 2 * third):
+        run(rows[a : a + third] if a < 2 * third else rows[a:])
+    end = max(r[1] for r in rows) + 1_000_000
+    run([(name, end, 9_999, END, "", "") for name in sessions])
+    query = run([("one", 5, 0, KEY, "x", "X")])
+    assert sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators) == 1
+    found = sorted((r.session_id, r.ts_ms, r.en, r.fa, r.cadence) for r in journal.committed_rows(rocks, str(sink), pauses.Pauses.ROW).collect())
+    assert found == sorted((name, *p) for name, own in sessions.items() for p in plain_pauses([*own, (end, END, "", "")], 1)) and len(found) > 20
+
+
+def test_cadence_and_delay_are_the_columns(spark):
+    rows = [(a, x, s) for a in (0, 39, 40, 41, 150, 499, 500, 501, 750) for x in (0, 19, 20, 21, 333, 1_500, 1_501) for s in (-1, 0, 1, 2, 3)]
+    frame = spark.createDataFrame(rows, "a int, x int, s int").select("*", T.next_cadence(F.col("a"), F.col("x")).alias("next"), T.idle_delay(F.col("s"), F.col("a")).alias("delay"))
+    for r in frame.collect():
+        assert (pauses.next_cadence(r.a, r.x), pauses.idle_delay(r.s, r.a)) == (r.next, r.delay)
