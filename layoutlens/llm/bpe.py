@@ -6,14 +6,16 @@ with the merge table, contracts each match's leftmost pair of least rank, and st
 Decoding: id-position rows of whole texts join the vocabulary, and an ordered aggregation joins the bytes.
 
 A match of more than LONG bytes is first cut where two bytes meet that stand together in no token: no token can reach
-over such a place, so the parts are encoded apart. What is still longer than LONGEST goes through LONG_SQL, whose steps
-contract all places of the least pair from left to right where that is the same: where no pair with the
-new token has a lower rank (`safe`, worked out from the vocabulary); else the leftmost alone. So the steps are as many as different
-pairs, not as many as bytes.
+over such a place, so the parts are encoded apart. What is still longer is encoded in windows of LONG bytes that overlap by half. Where two windows have
+a token in common at the same place, the first one's tokens up to it and the second one's after it are put together: that is the
+encoding of the whole, since a row of tokens is one if and only if all its neighbours are (the first merge that would join parts of two neighbours would
+join them alone, too). Windows without a common token (long repetitions) are encoded together: up to GROUP bytes at once by LONG_SQL, whose steps
+contract all places of the least pair from left to right where that is the same (where no pair with the new token has a lower rank, `safe`,
+worked out from the vocabulary; else the leftmost alone); longer ones in windows that each begin with a token of the one before, for the same reason.
 
-Memory is bounded: texts are taken some CHUNK_BYTES at a time, new matches WORD_CHUNK at a time, and the
-cache of encoded matches is emptied at CACHE_WORDS entries; DuckDB has a limit and no folder to spill to. A partition keeps nothing that a lost executor
-could take along; recomputing it gives the same rows.
+Memory is bounded: texts are taken some CHUNK_BYTES at a time, a longer text's matches MATCH_CHUNK at a time, new matches STATE_CELLS of recursion at a time, ids to be
+decoded ID_CHUNK at a time, and the cache of encoded matches is emptied at CACHE_WORDS entries; DuckDB has a limit and no folder to spill to. What grows with
+one text is the text, its ids and its decoded bytes. A partition keeps nothing that a lost executor could take along; recomputing it gives the same rows.
 
 Edge cases: null and empty texts have no ids (the digests are those of no bytes); special tokens' strings
 are ordinary text; repeated rows and null doc_ids give a row each; extra columns are not read.
@@ -22,6 +24,7 @@ are ordinary text; repeated rows and null doc_ids give a row each; extra columns
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,9 +34,11 @@ from pyspark.sql import functions as F
 from layoutlens.llm.common import released, runs_of, table
 
 CHUNK_BYTES = 400_000
-WORD_CHUNK = 40_000
+WORD_CHUNK, MATCH_CHUNK, ID_CHUNK = 40_000, 200_000, 200_000
+#: Sum of squared lengths of the matches that one recursion takes: it keeps each step's tokens.
+STATE_CELLS = 12_000_000
 CACHE_WORDS = 600_000
-LONG, LONGEST = 64, 400
+LONG, GROUP = 64, 16_384
 
 ENCODE_SQL = """
 WITH RECURSIVE state AS (
@@ -89,7 +94,7 @@ class Codec:
         import numpy as np
         import regex
 
-        self.np, self.find = np, regex.compile(pattern).findall
+        self.np, self.find, self.walk = np, regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         pairs = [
             (ranks[token[:i]], ranks[token[i:]], rank)
@@ -109,8 +114,12 @@ class Codec:
             data = np.frombuffer(token, dtype=np.uint8).astype(np.int64)
             self.joined[data[:-1] << 8 | data[1:]] = True
         self._load("vocabulary", pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
+        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
         #: match -> its ids as the bytes of 32-bit numbers: a text's ids are their concatenation.
         self.cache: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("rows_in", rows)
@@ -130,25 +139,102 @@ class Codec:
         cuts = [0, *(np.flatnonzero(~self.joined[codes[:-1] << 8 | codes[1:]]) + 1).tolist(), len(data)]
         return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def _run(self, words: list[bytes], sql: str) -> list[bytes]:
+        """The ids of byte strings, as the bytes of 32-bit numbers."""
+        np = self.np
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        tokens = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        found = self._query("bytes_in", pa.table({"word": word, "pos": pos.astype(np.int32), "token": tokens}), sql)
+        ids = found["ids"].combine_chunks()
+        flat = ids.flatten().to_numpy().astype(np.int32, copy=False).tobytes()
+        ends = (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _short(self, words: list[bytes]) -> list[bytes]:
+        """The ids of byte strings of LONG bytes at most, many at a time."""
+        np, out, a = self.np, [], 0
+        cells = np.cumsum(np.fromiter((len(w) ** 2 for w in words), dtype=np.int64, count=len(words)))
+        while a < len(words):
+            b = int(np.searchsorted(cells, (cells[a - 1] if a else 0) + STATE_CELLS, side="right"))
+            b = min(max(a + 1, b), a + WORD_CHUNK)
+            out += self._run(words[a:b], ENCODE_SQL)
+            a = b
+        return out
+
     def _encoded(self, words: list[bytes]) -> list[bytes]:
         """The ids of different byte strings, as the bytes of 32-bit numbers."""
-        np, out = self.np, [b""] * len(words)
-        short = [k for k, w in enumerate(words) if len(w) <= LONGEST]
-        runs = [(ENCODE_SQL, short[a : a + WORD_CHUNK]) for a in range(0, len(short), WORD_CHUNK)]
-        for sql, at in runs + [(LONG_SQL, [k]) for k, w in enumerate(words) if len(w) > LONGEST]:
-            part = [words[k] for k in at]
-            sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
-            tokens = self.byte_ids[np.frombuffer(b"".join(part), dtype=np.uint8)]
-            word = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
-            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            found = self._query("bytes_in", pa.table({"word": word, "pos": pos.astype(np.int32), "token": tokens}), sql)
-            ids = found["ids"].combine_chunks()
-            flat = ids.flatten().to_numpy().astype(np.int32, copy=False).tobytes()
-            ends = (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
-            for k, a, b in zip(at, ends[:-1], ends[1:], strict=True):
-                out[k] = flat[a:b]
+        out = [b""] * len(words)
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        for k, ids in zip(short, self._short([words[k] for k in short]), strict=True):
+            out[k] = ids
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        spans = {k: [(a, min(a + LONG, len(words[k]))) for a in range(0, len(words[k]) - LONG // 2, LONG // 2)] for k in long}
+        windows = iter(self._short([words[k][a:b] for k in long for a, b in spans[k]]))
+        for k in long:
+            parts = [self._placed(next(windows), a) for a, _ in spans[k]]
+            out[k] = self._stitched(words[k], spans[k], parts).astype(self.np.int32).tobytes()
         return out
 
+    def _placed(self, ids: bytes, start: int):
+        """Tokens and where each begins."""
+        np = self.np
+        tokens = np.frombuffer(ids, dtype=np.int32).astype(np.int64)
+        sizes = self.sizes[tokens]
+        return start + np.cumsum(sizes) - sizes, tokens
+
+    def _common(self, left, right):
+        """Index in either of the first token that both have at the same place, or None."""
+        np = self.np
+        codes = [(at << 20) | tokens for at, tokens in (left, right)]
+        _, i, j = np.intersect1d(codes[0], codes[1], assume_unique=True, return_indices=True)
+        return (int(i[0]), int(j[0])) if len(i) else None
+
+    def _stitched(self, data: bytes, spans: list[tuple[int, int]], parts: list):
+        """The ids of a long byte string from those of overlapping windows."""
+        np = self.np
+        while True:
+            meets = [self._common(parts[k], parts[k + 1]) for k in range(len(parts) - 1)]
+            if None not in meets:
+                break
+            # Neighbours that have nothing in common become one.
+            joined_spans, joined, k = [], [], 0
+            while k < len(parts):
+                end = k
+                while end < len(meets) and meets[end] is None:
+                    end += 1
+                a, b = spans[k][0], spans[end][1]
+                joined_spans.append((a, b))
+                joined.append(parts[k] if end == k else self._group(data, a, b))
+                k = end + 1
+            spans, parts = joined_spans, joined
+        out, begin = [], 0
+        for k, (_, tokens) in enumerate(parts):
+            end = meets[k][0] + 1 if k < len(meets) else len(tokens)
+            out.append(tokens[begin:end])
+            begin = meets[k][1] + 1 if k < len(meets) else 0
+        return np.concatenate(out)
+
+    def _group(self, data: bytes, start: int, end: int):
+        """Tokens and places of data[start:end], whose windows have none in common: each window begins with a token of the one before."""
+        np, size, at, places, found = self.np, GROUP, start, [], []
+        while True:
+            own = self._placed(self._run([data[at : min(end, at + size)]], LONG_SQL)[0], at)
+            if places:
+                # The token that both begin with is the last one taken so far.
+                if own[1][0] != found[-1][-1]:
+                    places, found, at, size = [], [], start, 2 * size
+                    continue
+                own = own[0][1:], own[1][1:]
+            if at + size >= end:
+                return np.concatenate([*places, own[0]]), np.concatenate([*found, own[1]])
+            # What comes after the middle might be otherwise with more to read.
+            cut = max(1, len(own[0]) // 2) if not places else max(2, len(own[0]) // 2)
+            places.append(own[0][:cut])
+            found.append(own[1][:cut])
+            at = int(own[0][cut - 1])
+
     def _learn(self, words: list[str]) -> None:
         encoded = [w.encode() for w in words]
         cut = {k: self._parts(w) for k, w in enumerate(encoded) if len(w) > LONG}
@@ -156,34 +242,57 @@ class Codec:
         ids = dict(zip(different, self._encoded(different), strict=True))
         self.cache.update((word, b"".join([ids[p] for p in cut[k]]) if k in cut else ids[encoded[k]]) for k, word in enumerate(words))
 
-    def encode(self, texts: list[str]) -> pa.ListArray:
-        """The ids of each text."""
-        np = self.np
-        found = [self.find(t) for t in texts]
-        wanted = set().union(*found) if found else set()
+    def _matches(self, text: str) -> Iterator[list[str]]:
+        """A text's matches, MATCH_CHUNK at a time."""
+        if len(text) <= CHUNK_BYTES:
+            yield self.find(text)
+            return
+        found = (m[0] for m in self.walk(text))
+        while chunk := list(itertools.islice(found, MATCH_CHUNK)):
+            yield chunk
+
+    def _known(self, wanted: set[str]) -> None:
         if len(self.cache) + len(wanted) > CACHE_WORDS:
             self.cache = {}
-        self._learn(sorted(w for w in wanted if w not in self.cache))
-        get = self.cache.__getitem__
-        ids = [b"".join(map(get, words)) for words in found]
-        ends = np.cumsum([0, *map(len, ids)]) // 4
+        new = sorted(w for w in wanted if w not in self.cache)
         # Long matches are not likely to come again, and are not kept.
-        for word in [w for w in wanted if len(w) > LONGEST]:
-            del self.cache[word]
+        self.long += [w for w in new if len(w) > 4 * LONG]
+        self._learn(new)
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
+        np, ids, short = self.np, [], [t for t in texts if len(t) <= CHUNK_BYTES]
+        found = {t: self.find(t) for t in short}
+        wanted = set().union(*found.values()) if found else set()
+        self._known(wanted)
+        for text in texts:
+            if text in found:
+                ids.append(b"".join(map(self.cache.__getitem__, found[text])))
+                continue
+            parts = []
+            for words in self._matches(text):
+                self._known(set(words) | wanted)
+                parts.append(b"".join(map(self.cache.__getitem__, words)))
+            ids.append(b"".join(parts))
+        for word in self.long:
+            self.cache.pop(word, None)
+        self.long = []
+        ends = np.cumsum([0, *map(len, ids)]) // 4
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
 
     def decode(self, texts: pa.ListArray) -> list[bytes]:
-        """The bytes of each list of ids."""
+        """The bytes of each list of ids; ids are taken some at a time, as a token's bytes need no neighbour."""
         np = self.np
         ends = texts.offsets.to_numpy()
         tokens = texts.values.to_numpy()[ends[0] : ends[-1]]
         owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))
-        rows = pa.table({"text": owner, "pos": np.arange(len(tokens), dtype=np.int32), "token": tokens})
-        found = self._query("ids_in", rows, DECODE_SQL)
-        out = [b""] * len(texts)
-        for k, digits in zip(found["text"].to_pylist(), found["hex"].to_pylist(), strict=True):
-            out[k] = bytes.fromhex(digits)
-        return out
+        parts: list[list[bytes]] = [[] for _ in range(len(texts))]
+        for a in range(0, len(tokens), ID_CHUNK):
+            rows = pa.table({"text": owner[a : a + ID_CHUNK], "pos": np.arange(a, min(a + ID_CHUNK, len(tokens)), dtype=np.int32), "token": tokens[a : a + ID_CHUNK]})
+            found = self._query("ids_in", rows, DECODE_SQL)
+            for k, digits in zip(found["text"].to_pylist(), found["hex"].to_pylist(), strict=True):
+                parts[k].append(bytes.fromhex(digits))
+        return [b"".join(p) for p in parts]
 
 
 _CODECS: dict[tuple, Codec] = {}
