@@ -20,6 +20,12 @@ def names(ddl: str) -> list[str]:
     return [part.split()[0] for part in ddl.split(", ")]
 
 
+def _values(column: pd.Series, kind: str) -> list:
+    """A column's values; whole numbers are whole even where pandas has made them others for the sake of nulls."""
+    found = column.astype(object).where(column.notna(), None).tolist()
+    return [None if x is None else int(x) for x in found] if kind in ("int", "bigint") else found
+
+
 class InOrder(StatefulProcessor):
     """Subclasses name their events (`ts_ms` and `tie` first), their state and their rows, and say what events and silence do to a state."""
 
@@ -50,7 +56,7 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            columns = [frame[n].astype(object).where(frame[n].notna(), None).tolist() for n in names(self.EVENT)]
+            columns = [_values(frame[part.split()[0]], part.split()[1]) for part in self.EVENT.split(", ")]
             events = [e for e in zip(*columns, strict=True) if self.takes(e)]
             if events:
                 self.waiting.appendList(events)

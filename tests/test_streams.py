@@ -12,7 +12,8 @@ from layoutlens.operators import context as X
 from layoutlens.operators import lexicon as L
 from layoutlens.functions import text as T
 from layoutlens.operators.typing import BACK, END, KEY
-from layoutlens.streaming import contexts, journal, lookups, pauses
+from layoutlens.operators import undo as U
+from layoutlens.streaming import contexts, journal, lookups, pauses, undos
 
 WORDS = "typist string, window_id string, ts_ms bigint, tie bigint, language int, evidence int"
 
@@ -244,3 +245,24 @@ def test_cadence_and_delay_are_the_columns(spark):
     frame = spark.createDataFrame(rows, "a int, x int, s int").select("*", T.next_cadence(F.col("a"), F.col("x")).alias("next"), T.idle_delay(F.col("s"), F.col("a")).alias("delay"))
     for r in frame.collect():
         assert (pauses.next_cadence(r.a, r.x), pauses.idle_delay(r.s, r.a)) == (r.next, r.delay)
+
+
+def test_undos_are_those_of_the_batch(rocks, tmp_path):
+    rng, source, sink, checkpoint, at, rows = random.Random(29), tmp_path / "in", tmp_path / "out", tmp_path / "state", 1_000, []
+    source.mkdir()
+    schema = "session_id string, " + undos.Undos.EVENT
+    for k in range(300):
+        at += rng.choice([5, 1_000, 7_000, 8_000, 15_001])
+        kind = rng.choice([U.EDIT, U.EDIT, U.BACK, U.HOTKEY, U.MODIFIER, "key"])
+        edit = ("was", f"now{k}", rng.choice([" ", None]), 1 + k % 2) if kind == U.EDIT else (None,) * 4
+        rows.append((f"s{k // 10 % 2}", at, k, kind, rng.choice("aaab"), *edit))
+    columns = [part.split()[0] for part in schema.split(", ")]
+    late = sorted(rows, key=lambda r: r[1] + rng.randrange(0, 50_000))
+    for part in (late[:150], late[150:], [(s, at + 10_000_000, 0, "key", "z", None, None, None, None) for s in ("s0", "s1")]):
+        append(source, "a.jsonl", [dict(zip(columns, r, strict=True)) for r in part])
+        stream = rocks.readStream.format("journal").schema(schema).option("path", str(source)).load()
+        drained(undos.undo_stream(stream, "60 seconds"), sink, checkpoint, undos.Undos.ROW)
+    names = ["session_id", "ts_ms", "age_ms", "delete_count", "restored", "delimiter", "target_language"]
+    want = U.undone(rocks.createDataFrame(rows, schema), ["session_id"], "tie").select(*names).collect()
+    found = journal.committed_rows(rocks, str(sink), undos.Undos.ROW).select(*names).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, map(tuple, want))) and len(want) > 10
