@@ -6,8 +6,8 @@
    before it, whose positions extend phrases but are not counted again.
 2. The lengths of a word's lists, summed over all segments, are its exact frequency. Words of at least LEAST are frequent.
 3. In every segment the lists of frequent words are merged by position; a position that follows another extends that word to a
-   pair. Lists of equal pairs give their counts, which are summed by shuffle: a row for each first word, with all that follows it, dealt by the first
-   word, or by the second one too where the first is hot. Frequent pairs are extended alike, by merging their
+   pair. Lists of equal pairs give their counts, which are summed by shuffle: a row for each bucket of first words, with all that follows each, dealt by
+   bucket; where a first word is hot, the second one decides the bucket too. There are the more buckets the more words there are. Frequent pairs are extended alike, by merging their
    end positions with the lists of words one further on, where the last two words are a frequent pair too.
 4. Which words and pairs are frequent is told to tasks by membership cells of bounded size (`sketches`): they never deny a frequent
    one, and what they let through in vain fails the exact count. So there is no size at which the way changes.
@@ -43,8 +43,8 @@ SEGMENT_WORDS = 600_000
 PART_BYTES = 1_000_000
 DEPTH = 2
 MOST_CELLS = 1 << 24
-#: Words with more than 1 / HOT of all places have their phrases dealt SALTS ways.
-HOT, SALTS = 2_000, 64
+#: Words with more than 1 / HOT of all places have their phrases dealt by the second word too; a bucket of first words has some BUCKET_WORDS of all places.
+HOT, BUCKET_WORDS = 2_000, 1_000_000
 BROADCAST_ROWS = 200_000
 
 _ENDS = re.compile(rb"[.,;:!?\x0a-\x0d]")
@@ -151,8 +151,12 @@ def membership(phrases: DataFrame, entries: int, most: int = MOST_CELLS) -> Cell
     return merged(phrases.select("lang", "phrase").mapInArrow(released(run), SCHEMA), width, DEPTH)
 
 
-def _counted(lang: str, words: pa.Array, hot: np.ndarray, salts: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Distinct rows of word numbers with their counts: a row for each first word (and salt), with all that stands behind it in one string, `tail` or `tail:count`."""
+def _joined_runs(texts: pa.Array, starts: np.ndarray, end: int, separator: str) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[starts, end], pa.int32()), texts), separator)
+
+
+def _counted(lang: str, words: pa.Array, hot: np.ndarray, hashes: np.ndarray, buckets: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Distinct rows of word numbers with their counts: a row for each bucket of first words, `head tail,tail:count;head ...`."""
     key, base = columns[0].astype(np.int64), len(words)
     for column in columns[1:]:
         # Numbers of prefixes are made dense first, so that keys stay within 64 bits.
@@ -161,24 +165,24 @@ def _counted(lang: str, words: pa.Array, hot: np.ndarray, salts: np.ndarray, col
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
     if not len(first):
         return
-    # Only phrases that begin with a hot word are dealt by their second one too.
-    salt = np.where(hot[columns[0][first]], salts[columns[1][first]], 0)
-    order = np.lexsort((salt, columns[0][first]))
-    first, counts, salt = first[order], counts[order], salt[order]
-    head = columns[0][first]
+    # Phrases that begin with a hot word are dealt by their second one too.
+    head, second = columns[0][first], columns[1][first]
+    bucket = (np.where(hot[head], hashes[head] ^ hashes[second], hashes[head]) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((head, bucket))
+    first, counts, head, bucket = first[order], counts[order], head[order], bucket[order]
     tails = [words.take(pa.array(c[first])) for c in columns[1:]]
     tail = pc.binary_join_element_wise(*tails, " ") if len(tails) > 1 else tails[0]
-    numbered = pc.binary_join_element_wise(tail, pa.array(counts).cast(pa.string()), ":")
-    entries = pc.if_else(pa.array(counts > 1), numbered, tail)
-    starts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (salt[1:] != salt[:-1])])
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(head)], pa.int32()), entries)
+    entries = pc.if_else(pa.array(counts > 1), pc.binary_join_element_wise(tail, pa.array(counts).cast(pa.string()), ":"), tail)
+    by_head = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (bucket[1:] != bucket[:-1])])
+    groups = pc.binary_join_element_wise(words.take(pa.array(head[by_head])), _joined_runs(entries, by_head, len(head), ","), " ")
+    by_bucket = np.flatnonzero(np.r_[True, bucket[by_head][1:] != bucket[by_head][:-1]])
     yield pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(starts), pa.string()), words.take(pa.array(head[starts])), pa.array(salt[starts], pa.int32()), pc.binary_join(lists, ",")], names=["lang", "head", "salt", "tails"]
+        [pa.array([lang] * len(by_bucket), pa.string()), pa.array(bucket[by_head][by_bucket], pa.int32()), _joined_runs(groups, by_bucket, len(by_head), ";")], names=["lang", "bucket", "groups"]
     )
 
 
-def extended(lists: DataFrame, frequent: Cells, hot_words: set[tuple[str, bytes]], pairs: Cells | None = None) -> DataFrame:
-    """lang, head, salt, tails: counts, by segment, of pairs of frequent words; with `pairs`, of three words whose neighbours are frequent pairs."""
+def extended(lists: DataFrame, frequent: Cells, hot_words: set[tuple[str, bytes]], buckets: int, pairs: Cells | None = None) -> DataFrame:
+    """lang, bucket, groups: counts, by segment, of pairs of frequent words; with `pairs`, of three words whose neighbours are frequent pairs."""
     context = lists.sparkSession.sparkContext
     sent = [context.broadcast((c.width, c.table)) if c else None for c in (frequent, pairs)]
 
@@ -205,16 +209,18 @@ def extended(lists: DataFrame, frequent: Cells, hot_words: set[tuple[str, bytes]
                     left = left[np.flatnonzero(left[1:] == left[:-1] + 1)]
                 width = 2 if of_pairs is None else 3
                 left = left[at[left] + width - 1 >= own_from]
-                yield from _counted(lang, words, hot, (hashes >> np.uint64(32)).astype(np.int64) % SALTS, [word[left + j] for j in range(width)])
+                yield from _counted(lang, words, hot, hashes, buckets, [word[left + j] for j in range(width)])
 
-    return lists.select("lang", "own_from", "words", "sizes", "positions").mapInArrow(released(run), "lang string, head string, salt int, tails string")
+    return lists.select("lang", "own_from", "words", "sizes", "positions").mapInArrow(released(run), "lang string, bucket int, groups string")
 
 
-def _frequent(tails: DataFrame, least: int) -> DataFrame:
-    """lang, phrase, n of the phrases that come `least` times: rows are dealt by first word (and salt) and only then taken apart."""
-    each = tails.repartition("lang", "head", "salt").select("lang", "head", "salt", F.explode(F.split("tails", ",")).alias("e"))
+def _frequent(buckets: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, n of the phrases that come `least` times: rows are dealt by bucket and only then taken apart."""
+    groups = buckets.repartition("lang", "bucket").select("lang", "bucket", F.explode(F.split("groups", ";")).alias("g"))
+    head = F.substring_index("g", " ", 1)
+    each = groups.select("lang", "bucket", head.alias("head"), F.explode(F.split(F.substr("g", F.length(head) + 2), ",")).alias("e"))
     n = F.when(F.col("e").contains(":"), F.substring_index("e", ":", -1).cast("bigint")).otherwise(1)
-    counts = each.select("lang", "head", "salt", F.substring_index("e", ":", 1).alias("tail"), n.alias("n")).groupBy("lang", "head", "salt", "tail").agg(F.sum("n").alias("n"))
+    counts = each.select("lang", "bucket", "head", F.substring_index("e", ":", 1).alias("tail"), n.alias("n")).groupBy("lang", "bucket", "head", "tail").agg(F.sum("n").alias("n"))
     return counts.filter(F.col("n") >= least).select("lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "n")
 
 
@@ -240,11 +246,12 @@ def collocations(documents: DataFrame, least: int = LEAST, top: int = TOP, size:
     n_words = words.count()
     of_words = membership(words, n_words, most_cells)
     # No more than HOT words can hold a share of 1 / HOT of all places.
-    share = (totals.agg(F.sum("__total").alias("n")).first()["n"] or 0) / HOT
-    hot = {(r["lang"], r["phrase"].encode()) for r in words.filter(F.col("n") > share).select("lang", "phrase").collect()}
-    pairs = scratch.keep(_frequent(extended(lists, of_words, hot), least), "pairs")
+    total = totals.agg(F.sum("__total").alias("n")).first()["n"] or 0
+    hot = {(r["lang"], r["phrase"].encode()) for r in words.filter(F.col("n") > total / HOT).select("lang", "phrase").collect()}
+    buckets = cells_for(total // BUCKET_WORDS, 1 << 10, 1 << 24)
+    pairs = scratch.keep(_frequent(extended(lists, of_words, hot, buckets), least), "pairs")
     n_pairs = pairs.count()
-    triples = scratch.keep(_frequent(extended(lists, of_words, hot, membership(pairs, n_pairs, most_cells)), least), "triples")
+    triples = scratch.keep(_frequent(extended(lists, of_words, hot, buckets, membership(pairs, n_pairs, most_cells)), least), "triples")
 
     word = lambda k: F.get(F.split("phrase", " "), F.lit(k))
     head = F.concat_ws(" ", word(0), word(1))
