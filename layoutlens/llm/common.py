@@ -106,12 +106,8 @@ def released(run):
     return over
 
 
-def labelled_sample(spark: SparkSession, sf_dir: str, label: str, most: dict[int, int], modulus: int = 5) -> list[tuple[str, int]]:
-    """Texts with their labels, of rows whose remainder is not 0, for fitting a model on the driver.
-
-    Bounded: at most `most[value]` ids of each label value, those of least hash, and of their texts as many as ids at
-    most, in the order of a hash of id and text, whatever ids repeat. Texts come whole.
-    """
+def _labelled(spark: SparkSession, sf_dir: str, label: str, most: dict[int, int], modulus: int) -> DataFrame:
+    """rank (a hash of id and text), doc_id, text, label of rows whose remainder is not 0, of at most `most[value]` ids of each label value, those of least hash."""
     rows = table(spark, sf_dir, "labels").filter((remainder(F.col("doc_id"), modulus) != 0) & F.col("doc_id").isNotNull())
     rank = F.xxhash64("doc_id")
     chosen = None
@@ -119,11 +115,30 @@ def labelled_sample(spark: SparkSession, sf_dir: str, label: str, most: dict[int
         part = rows.filter(F.col(label) == value).select("doc_id", F.lit(value).alias("label")).distinct().orderBy(rank, "doc_id").limit(limit)
         chosen = part if chosen is None else chosen.union(part)
     texts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "label").limit(sum(most.values()))
-    found = joined.select("text", "label").toArrow()
+    return texts.join(F.broadcast(chosen), "doc_id").withColumn("rank", F.xxhash64("doc_id", "text"))
+
+
+def labelled_sample(spark: SparkSession, sf_dir: str, label: str, most: dict[int, int], modulus: int = 5) -> list[tuple[str, int]]:
+    """Texts with their labels, of rows whose remainder is not 0, for fitting a model on the driver.
+
+    Bounded: at most `most[value]` ids of each label value, those of least hash, and of their texts as many as ids at
+    most, in the order of a hash of id and text, whatever ids repeat. Texts come whole.
+    """
+    found = _labelled(spark, sf_dir, label, most, modulus).orderBy("rank", "doc_id", "label").limit(sum(most.values())).select("text", "label").toArrow()
     return list(zip(found["text"].to_pylist(), found["label"].to_pylist(), strict=True))
 
 
+def labelled_texts(spark: SparkSession, sf_dir: str, label: str, most: dict[int, int], modulus: int = 5) -> DataFrame:
+    """rank, doc_id, label, text: the rows of `labelled_sample` (there by rank, doc_id and label), for fitting a model on the executors.
+
+    Only keys are sorted and cut; the texts, however long, come to no single task and not to the driver.
+    """
+    keys = ["rank", "doc_id", "label"]
+    rows = _labelled(spark, sf_dir, label, most, modulus)
+    chosen = rows.select(*keys).orderBy(*keys).limit(sum(most.values())).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(F.broadcast(chosen), keys).dropDuplicates(keys).select(*keys, "text", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).drop("copy")
+
+
 def label_shares(spark: SparkSession, sf_dir: str, label: str, rows: int, modulus: int = 5) -> dict[int, int]:
     """How many of `rows` labelled rows each label value would have in its natural share."""
     labels = table(spark, sf_dir, "labels").filter((remainder(F.col("doc_id"), modulus) != 0) & F.col("doc_id").isNotNull())

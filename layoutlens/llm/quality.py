@@ -7,6 +7,8 @@ The shapes of the words (kind, case, length) are words too and get vectors the s
 the mean of its words' vectors, the mean of its shapes' vectors, the lengths of both means (which tell
 repetitive from varied text) and its number of words. A network with one hidden layer, trained in numpy,
 gives a logit; a temperature fitted on rows kept from the training turns it into a calibrated probability.
+Executors add up the vectors and pool the sample's texts: the driver gets sums of a fixed size (6 MB) and a row
+of 99 numbers for each text, which the network is trained on, but no text.
 
 Edge cases: null texts count as empty, and a text without words has a zero vector like any other input;
 without labels of both kinds every score is the share of 1 among the labels (0.5 without any). Repeated
@@ -16,20 +18,24 @@ time, or one longer text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlens.llm.common import label_shares, labelled_sample, released, remainder, runs_of, table, trim
+from layoutlens.llm.common import Scratch, label_shares, labelled_texts, released, remainder, runs_of, table, trim
 from layoutlens.llm.shingles import run_hashes
 
 #: Labelled rows to learn from, at most.
 ROWS = 8_000
 SLOTS = 1 << 15
 SHAPES = 96
+#: The tables of vectors: name, rows, seed.
+TABLES = (("words", SLOTS, 1), ("shapes", SHAPES, 2))
+#: Rows of both tables that are added up together, and tasks that the sample is dealt to at most.
+BLOCK, PARTS = 256, 8
 WIDTH = 48
 NONZERO = 6
 REACH = 2
@@ -49,7 +55,7 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
 def _add_rows(target: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     order = np.argsort(at, kind="stable")
     where, starts = np.unique(at[order], return_index=True)
-    target[where] += np.add.reduceat(rows[order], starts, axis=0)
+    target[where] += np.add.reduceat(rows[order], starts, axis=0, dtype=np.int32)
 
 
 def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,22 +67,28 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     return runs_of(pa.array(texts, pa.large_string()), CHUNK_BYTES)
 
 
-def word_vectors(texts: list[str]) -> dict[str, np.ndarray]:
-    """The vectors of all word slots and of all shapes."""
-    made = {}
-    for name, n, seed in (("words", SLOTS, 1), ("shapes", SHAPES, 2)):
-        index = index_vectors(n, seed)
-        context = np.zeros((n, WIDTH), dtype=np.float32)
-        for a, b in _chunks(texts):
-            slots, shapes, counts = _slots(texts[a:b])
-            at = slots if name == "words" else shapes
-            owner = np.repeat(np.arange(b - a), counts)
+def neighbours(parts: Iterable[list[str]]) -> dict[str, np.ndarray]:
+    """The sum of the index vectors beside each word slot and each shape: whole numbers, which add up exactly over parts of the texts in any order."""
+    index = {name: index_vectors(n, seed).astype(np.int8) for name, n, seed in TABLES}
+    sums = {name: np.zeros((n, WIDTH), dtype=np.int64) for name, n, _ in TABLES}
+    for texts in parts:
+        slots, shapes, counts = _slots(texts)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        for name, at in (("words", slots), ("shapes", shapes)):
             for reach in range(1, REACH + 1):
                 same = owner[reach:] == owner[:-reach]
                 left, right = at[:-reach][same], at[reach:][same]
                 if len(left):
-                    _add_rows(context, left, index[right])
-                    _add_rows(context, right, index[left])
+                    _add_rows(sums[name], left, index[name][right])
+                    _add_rows(sums[name], right, index[name][left])
+    return sums
+
+
+def unit_vectors(sums: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The vectors of all word slots and of all shapes, of the sums beside them."""
+    made = {}
+    for name, n, seed in TABLES:
+        index, context = index_vectors(n, seed), sums[name].astype(np.float32)
         seen = np.abs(context).sum(axis=1) > 0
         if seen.any():
             context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
@@ -86,6 +98,10 @@ def word_vectors(texts: list[str]) -> dict[str, np.ndarray]:
     return made
 
 
+def word_vectors(texts: list[str]) -> dict[str, np.ndarray]:
+    return unit_vectors(neighbours(texts[a:b] for a, b in _chunks(texts)))
+
+
 def pooled(texts: list[str], vectors: dict[str, np.ndarray]) -> np.ndarray:
     """One row for each text: the two mean vectors, their lengths, and the logarithm of the number of words."""
     out = np.zeros((len(texts), 2 * WIDTH + 3), dtype=np.float32)
@@ -141,10 +157,15 @@ def fit_network(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e
     return net
 
 
+def _constant(y: np.ndarray) -> dict | None:
+    """The model where there is too little to learn from."""
+    return {"constant": float(y.mean()) if len(y) else 0.5} if len(set(y.tolist())) < 2 or len(y) < 20 else None
+
+
 def train(sample: list[tuple[str, int]]) -> dict:
     y = np.array([v for _, v in sample])
-    if len(set(y.tolist())) < 2 or len(sample) < 20:
-        return {"constant": float(y.mean()) if len(y) else 0.5}
+    if constant := _constant(y):
+        return constant
     texts = [t for t, _ in sample]
     vectors = word_vectors(texts)
     return {"vectors": vectors, "net": fit_network(pooled(texts, vectors), y)}
@@ -175,8 +196,52 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
     return rows.mapInArrow(released(run), "doc_id bigint, node binary, score double")
 
 
+def summed_vectors(sample: DataFrame) -> dict[str, np.ndarray]:
+    """`word_vectors` of a frame's texts: sums by task, added up block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = neighbours(batch.column(0).slice(a, b - a).to_pylist() for batch in batches for a, b in runs_of(batch.column(0), CHUNK_BYTES))
+        parts = [sums[name][k : k + BLOCK] for name, n, _ in TABLES for k in range(0, n, BLOCK)]
+        for k, part in enumerate(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], names=["block", "sums"])
+
+    def add(block: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, dtype=np.int64) for x in block["sums"].to_pylist())
+        trim()
+        return pa.table([block["block"].slice(0, 1), pa.array([total.astype(np.float32).tobytes()])], names=["block", "sums"])
+
+    kind = "block int, sums binary"
+    found = sample.select("text").mapInArrow(released(run), kind).groupBy("block").applyInArrow(add, kind).toArrow().sort_by("block")
+    whole = np.frombuffer(b"".join(found["sums"].to_pylist()) or bytes(4 * WIDTH * (SLOTS + SHAPES)), dtype=np.float32).reshape(-1, WIDTH)
+    return unit_vectors({"words": whole[:SLOTS], "shapes": whole[SLOTS:]})
+
+
+def pooled_sample(sample: DataFrame, vectors: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """`pooled` of a frame's texts and their labels, by rank, doc_id and label."""
+    shared = sample.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in runs_of(batch.column(3), CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                rows = pooled(part.column(3).to_pylist(), shared.value)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([r.tobytes() for r in rows], pa.binary())], names=["rank", "doc_id", "label", "row"])
+
+    rows = sample.select("rank", "doc_id", "label", "text").mapInArrow(released(run), "rank bigint, doc_id bigint, label int, row binary")
+    found = rows.toArrow().sort_by([(k, "ascending") for k in ("rank", "doc_id", "label")])
+    shared.destroy()
+    x = np.frombuffer(b"".join(found["row"].to_pylist()), dtype=np.float32).reshape(-1, 2 * WIDTH + 3)
+    return x, found["label"].to_numpy()
+
+
 def fitted(spark: SparkSession, sf_dir: str) -> dict:
-    model = train(labelled_sample(spark, sf_dir, "quality", label_shares(spark, sf_dir, "quality", ROWS)))
+    """The model of `train` on the texts of `labelled_sample`, without bringing these to the driver."""
+    scratch = Scratch(spark)
+    sample = scratch.keep(labelled_texts(spark, sf_dir, "quality", label_shares(spark, sf_dir, "quality", ROWS)).coalesce(PARTS), "sample")
+    vectors = summed_vectors(sample)
+    x, y = pooled_sample(sample, vectors)
+    scratch.drop()
+    model = _constant(y) or {"vectors": vectors, "net": fit_network(x, y)}
     trim()
     return model
 

@@ -7,7 +7,7 @@ The network sees 24 characters before a candidate, the candidate and 8 after it;
 that overlap, all of it, and counts as its likeliest piece. One bank of filters slides over all places, and the
 largest and mean responses in each of the three segments go to a logistic output.
 
-Training (driver, in numpy) is on labelled findings alone: made in the formats of known keys and of harmless
+Training (driver, in numpy, on views that executors cut) is on labelled findings alone: made in the formats of known keys and of harmless
 look-alikes, and the pattern findings of a bounded sample of documents, their context hidden half the time. On a third kept aside a
 logistic curve calibrates the output, and the threshold is the highest that still finds RECALL of the labelled
 secrets; `precision` and `recall` there are kept with the network. What passes and does not lie within a pattern's span is reported as kind `learned`.
@@ -184,16 +184,22 @@ def made_findings(n: int, seed: int = 9) -> list[tuple[bytes, int]]:
     return out
 
 
-def train(texts: list[str], made: int = 4_000) -> dict:
-    """The network with its calibration and threshold."""
-    examples = made_findings(made)
-    for k, text in enumerate(texts):
+def pattern_findings(texts: list[str], first: int = 0) -> list[bytes]:
+    """Views of what the patterns find, the context of every other one hidden; `first`: the number of the first text."""
+    views = []
+    for k, text in enumerate(texts, first):
         spans = pattern_spans(text)
         own = candidates(text) if spans else []
         for j, (start, stop) in enumerate(own):
             if any(a < stop and start < b for a, _, b in spans):
                 hidden = text if (k + j) % 2 else " " * start + text[start:]
-                examples += [(view(hidden, a, b), 1) for a, b in pieces(start, stop)]
+                views += [view(hidden, a, b) for a, b in pieces(start, stop)]
+    return views
+
+
+def train(views: list[bytes], made: int = 4_000) -> dict:
+    """The network with its calibration and threshold, of made findings and of `views` of secrets."""
+    examples = [*made_findings(made), *((v, 1) for v in views)]
     x = np.frombuffer(b"".join(v for v, _ in examples), dtype=np.uint8).reshape(-1, SPAN)
     y = np.array([v for _, v in examples], dtype=np.float32)
     held = np.arange(len(x)) % 3 == 0
@@ -254,14 +260,23 @@ def fitted(documents: DataFrame) -> dict:
     """A network trained on made findings and on those of at most SAMPLE_ROWS documents with findings, by a hash of id and text.
 
     One pass finds the hash below which half as many rows again lie, another takes what is below, so no task sorts more than that.
+    The driver gets views of the findings (SPAN bytes each), no text.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = 0  # the rows lie in one partition, in order
+        for batch in batches:
+            for x, y in runs_of(batch.column(0), CHUNK_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array(pattern_findings(batch.column(0).slice(x, y - x).to_pylist(), k), pa.binary())], names=["view"])
+                k += y - x
+
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)).alias("dealt"), text.alias("text"))
     telling = F.col("text").rlike("AKIA|[0-9a-f]{24}|(?i)(passw|secret|token|api_?key)")
     facts = rows.filter(telling).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("dealt", [k / 1_000 for k in range(1_001)]).alias("at")).first()
     bound = facts["at"][min(1_000, 1_500 * SAMPLE_ROWS // facts["n"] + 1)] if facts["n"] else -1
-    found = rows.filter(F.col("dealt") <= bound).filter(telling).orderBy("dealt", "text").limit(SAMPLE_ROWS).select("text").toArrow()
-    net = train(found["text"].to_pylist())
+    found = rows.filter(F.col("dealt") <= bound).filter(telling).orderBy("dealt", "text").limit(SAMPLE_ROWS).select("text")
+    net = train(found.mapInArrow(released(run), "view binary").toArrow()["view"].to_pylist())
     trim()
     return net
 

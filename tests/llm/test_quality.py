@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from layoutlens.llm import quality, shingles
+from layoutlens.llm import common, quality, shingles
 
 
 def corpus(n, rng):
@@ -77,3 +77,33 @@ def test_query_matches_a_plain_pass(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     held = [k for k, r in found.items() if r.held_out and labels.get(k) in (0, 1)]
     assert sum(found[k].predicted == labels[k] for k in held) / len(held) >= 0.9
+
+
+def test_no_text_comes_to_the_driver(spark, tmp_path, monkeypatch):
+    """The model is that of the plain pass, also over long, repeated and null texts, and what is collected does not grow with them."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(10)
+    rows = [(k, t, v) for k, (t, v) in enumerate(corpus(300, rng))]
+    rows = [(k, t * 40 if k % 3 else None if k % 7 == 0 else t, v) for k, t, v in rows]
+    rows += rows[:40]
+    spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, v) for k, _, v in rows], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    shares = common.label_shares(spark, str(tmp_path), "quality", 250)
+    plain = common.labelled_sample(spark, str(tmp_path), "quality", shares)
+    taken, collect = [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: (taken.append(self.columns), collect(self))[1])
+    monkeypatch.setattr(quality, "ROWS", 250)
+    model = quality.fitted(spark, str(tmp_path))
+    assert taken and not any("text" in columns for columns in taken)
+    want = quality.train(plain)
+    assert len(plain) > 100 and all((model["vectors"][k] == want["vectors"][k]).all() for k in ("words", "shapes"))
+    assert all(np.array_equal(model["net"][k], want["net"][k]) for k in want["net"])
+
+
+def test_too_few_labels(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1) for k in (1, 2)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert quality.fitted(spark, str(tmp_path)) == {"constant": 1.0}
+    spark.createDataFrame([], "doc_id bigint, quality int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    assert quality.fitted(spark, str(tmp_path)) == {"constant": 0.5}

@@ -106,3 +106,19 @@ def test_edge_cases_and_redaction(make_documents):
     assert clean[0].text is None and clean[2].text == "é [secret:assign]' end" and clean[2].n_chars == len(clean[2].text)
     assert clean[4].text.endswith("words [secret:access]")
     assert secrets.scan_documents(make_documents([]), net).count() == 0
+
+
+def test_no_text_comes_to_the_driver(spark, make_documents, monkeypatch):
+    """The network is that of views taken from the texts in order, and only views are collected."""
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = [(k, "word " * 2_000 + f"password={'abc' * (k % 4 + 2)}{k} AKIA{k:016} " + "0123456789abcdef" * 2) for k in range(60)]
+    documents = make_documents(rows).repartition(5)
+    taken, collect = [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: (taken.append(collect(self)), taken[-1])[1])
+    net = secrets.fitted(documents)
+    assert sum(t.nbytes for t in taken) < 60 * 1_000 < sum(len(t) for _, t in rows)
+    order = [r.text for r in documents.orderBy(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)), "text").collect()]
+    want = secrets.train(secrets.pattern_findings(order))
+    assert set(net) == set(want) and all(np.array_equal(net[k], want[k]) for k in want)
